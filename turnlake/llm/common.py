@@ -58,8 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
     cur = materialize(
         edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
     )
-    print_of = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    mark = cur.agg(*print_of).first()
+    state_of = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    mark = cur.agg(*state_of).first()
     while mark[0]:
         both = cur.unionAll(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = materialize(small)
         for x in (*discard_later, large, low2):
             discard(x)
-        was, mark, cur = mark, nxt.agg(*print_of).first(), nxt
+        was, mark, cur = mark, nxt.agg(*state_of).first(), nxt
         if was == mark:
             break
     # every edge now joins a vertex with its component's smallest id
