@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     state_of = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     mark = cur.agg(*state_of).first()
     while mark[0]:
-        both = cur.unionAll(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        both = cur.unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)

@@ -89,12 +89,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def repeat(docs: DataFrame, **parameters) -> DataFrame:
     """docs with each row as often as the mix takes it; the one document per source
     that is taken in part is cut after its last taken word."""
-    plan = mix(docs, **parameters).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "whole", "part")
+    plan = mix(docs, **parameters).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("part").alias("_part"))
     plan = plan.dropDuplicates(["_id"])
     words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the space before it
-    cut = F.array_join(F.slice(words, 1, F.col("part").cast("int")), "")
-    whole = F.expr("array_repeat(false, cast(whole as int))")
-    times = F.concat(whole, F.when(F.col("part") > 0, F.array(F.col("part") < F.col("size"))).otherwise(F.expr("cast(array() as array<boolean>)")))
+    cut = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), "")
+    whole = F.expr("array_repeat(false, cast(_whole as int))")
+    times = F.concat(whole, F.when(F.col("_part") > 0, F.array(F.col("_part") < F.col("_size"))).otherwise(F.expr("cast(array() as array<boolean>)")))
     out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).withColumn("_cut", F.explode(times))
     out = out.withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
