@@ -8,9 +8,10 @@ miss a pair of similarity 0.75 with probability (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal sets are one node. In each band bucket every node is first paired
 with the smallest, and pairs whose signatures allow a link are verified on full sets.
-Buckets whose nodes are then still in several components are compared node by node on
-signatures, in tiles of bounded size, and what passes across components is verified too:
-no bucket is skipped or capped, and a group of copies costs its size, not its square.
+Where a bucket then still holds several components, signatures tell which of these may
+link; families of such components are compared on full sets. Both go in tiles of bounded
+size that return a forest of links, not pairs, and skip what is joined already: no bucket
+is skipped or capped, and near copies cost little more than their number.
 
 Edge cases: null, empty or blank texts have no set and link with nothing; shorter texts
 than five words are one shingle; rows that share a doc_id are one document; a null
@@ -150,21 +151,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile in different components whose signatures allow a link."""
+def _may_link(sig: np.ndarray, n: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+    """Those of places b whose size and signature allow a link with place a, likeliest first."""
+    b = b[SIMILAR[1] * np.minimum(n[b], n[a]) >= SIMILAR[0] * np.maximum(n[b], n[a])]
+    same = (sig[b] == sig[a]).sum(axis=1)
+    order = np.argsort(-same, kind="stable")
+    return b[order][same[order] >= LEAST_ESTIMATE * sig.shape[1]]
+
+
+def _sides(key: tuple, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a tile's two blocks."""
+    block = frame["block"].to_numpy()
+    return np.flatnonzero(block == int(key[1])), np.flatnonzero(block == int(key[2]))
+
+
+def _forest(label: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+    """Edges that join what label joins beyond comp: one per component, to the least of its label."""
+    f = pd.DataFrame({"label": label, "comp": comp, "doc": doc}).groupby(["label", "comp"])["doc"].min().reset_index()
+    f["low"] = f.groupby("label")["doc"].transform("min")
+    f = f[f["low"] != f["doc"]]
+    return pd.DataFrame({"a": f["low"].to_numpy(np.int64), "b": f["doc"].to_numpy(np.int64)})
+
+
+def _coarse_tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """A forest over a tile's components whose signatures allow links between them."""
+    sig = np.stack([np.frombuffer(x, np.uint16) for x in frame["sig"]])
+    doc, comp, n = (frame[c].to_numpy() for c in ("doc", "comp", "n"))
+    one, two = _sides(key, frame)
+    label = comp.copy()
+    for a in one:
+        left = two[label[two] != label[a]]
+        for at in range(0, len(left), 64):  # most find a partner among the first
+            b = left[at : at + 64]
+            for x in np.unique(label[_may_link(sig, n, a, b[label[b] != label[a]])]):
+                label[label == x] = label[a]
+    return _forest(label, comp, doc)
+
+
+def _exact_tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """A forest over a tile's components with links between them, verified on full sets."""
     sig = np.stack([np.frombuffer(x, np.uint16) for x in frame["sig"]])
-    doc, comp, n, block = (frame[c].to_numpy() for c in ("doc", "comp", "n", "block"))
-    i, j = int(key[1]), int(key[2])
-    one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    out_a, out_b = [], []
+    doc, comp, n = (frame[c].to_numpy() for c in ("doc", "comp", "n"))
+    sets: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(frame["text"].iat[i])
+        return sets[i]
+
+    one, two = _sides(key, frame)
+    label = comp.copy()
     for a in one:
-        b = two[(comp[two] != comp[a]) & (SIMILAR[1] * np.minimum(n[two], n[a]) >= SIMILAR[0] * np.maximum(n[two], n[a]))]
-        if i == j:
-            b = b[b > a]
-        b = b[(sig[b] == sig[a]).sum(axis=1) >= LEAST_ESTIMATE * sig.shape[1]]
-        out_a.append(np.minimum(doc[a], doc[b]))
-        out_b.append(np.maximum(doc[a], doc[b]))
-    return pd.DataFrame({"a": np.concatenate(out_a or [[]]).astype(np.int64), "b": np.concatenate(out_b or [[]]).astype(np.int64)})
+        for b in _may_link(sig, n, a, two[label[two] != label[a]]):
+            if label[b] != label[a] and _similar(of(a), of(b)):
+                label[label == label[b]] = label[a]
+    return _forest(label, comp, doc)
 
 
 def _estimate_allows(a: bytes, b: bytes) -> bool:
@@ -172,21 +213,32 @@ def _estimate_allows(a: bytes, b: bytes) -> bool:
     return bool((x == y).sum() >= LEAST_ESTIMATE * len(x))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose texts' full sets are similar; each text is shuffled
-    once, and then only those of documents in a pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose full sets are similar."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
-    return out, texts
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
+
+
+def _tiles(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, doc, ...) of groups of any size, dealt as pairs of blocks of about TILE rows."""
+    k = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("k"))
+    blocks = rows.join(k, group).withColumn("block", F.pmod(F.xxhash64("doc"), "k"))
+    pairs = F.expr("transform(sequence(0L, k - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))")
+    return blocks.withColumn("t", F.explode(pairs)).withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t", "k")
+
+
+def _with_component(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """rows (doc, ...) plus name: the component of doc in the graph of links, itself without one."""
+    c = materialize(components(links).toDF("_d", "_c"))
+    return rows.join(c, rows["doc"] == c["_d"], "left").withColumn(name, F.coalesce("_c", "doc")).drop("_d", "_c")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id, kept; one row per input row."""
     spark = docs.sparkSession
     small_batches(spark)
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, SIGNED))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    signed = materialize(texts.mapInArrow(_sign, SIGNED))
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
     # one node per distinct set
     node_of = materialize(with_set.groupBy("key").agg(F.min("doc_id").alias("node")))
@@ -195,35 +247,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bands", "sig")
     )
     in_bands = nodes.select("doc", F.explode("bands").alias("band"))
-    buckets = in_bands.groupBy("band").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = in_bands.groupBy("band").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     shared = materialize(in_bands.join(buckets, "band"))
+    # the texts that any comparison may need; always dealt by key, since the ids grow with the corpus
+    ids = shared.select(F.col("doc").alias("id")).distinct()
+    texts = materialize(texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
     sides = nodes.select("doc", "n", "sig")
+    # each node with the first of its bucket
     pairs = (
         shared.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
         .join(sides.toDF("a", "na", "sig_a"), "a").join(sides.toDF("b", "nb", "sig_b"), "b")
         .where(F.lit(SIMILAR[1]) * F.least("na", "nb") >= F.lit(SIMILAR[0]) * F.greatest("na", "nb"))
         .where(F.udf(_estimate_allows, "boolean", useArrow=True)("sig_a", "sig_b")).select("a", "b")
     )
-    pairs = materialize(pairs)
-    linked, texts = _verified(pairs, docs)
-    discard(texts)
-    comp = materialize(components(linked))
-    # buckets that still hold several components, compared on signatures in tiles
-    of = shared.join(comp.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    of = materialize(of.select("band", "doc", "comp"))
-    open_ = of.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("band", F.ceil(F.col("m") / TILE).alias("k"))
-    open_rows = of.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("doc"), "k")).join(sides, "doc")
-    tiles = F.expr("transform(sequence(0L, k - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))")
-    rows = open_rows.withColumn("t", F.explode(tiles)).select("band", "t.i", "t.j", "block", "doc", "comp", "n", "sig")
-    more = rows.groupBy("band", "i", "j").applyInPandas(_tile, "a long, b long").distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
-    linked2, texts = _verified(more, docs)
-    discard(texts)
-    all_links = linked.unionByName(linked2)
-    comp = materialize(components(all_links).toDF("node", "component"))
-    by_key = node_of.join(comp, "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("component"))
+    linked = _verified(pairs, texts)
+    # buckets that still hold several components: which of these may link, by signatures
+    of = materialize(_with_component(shared.select("band", "doc"), linked, "comp"))
+    open_ = of.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    rows = _tiles(of.join(open_, "band", "left_semi"), "band").join(sides, "doc")
+    maybe = rows.select("band", "i", "j", "block", "doc", "comp", "n", "sig").groupBy("band", "i", "j").applyInPandas(_coarse_tile, "a long, b long").distinct()
+    # families of components that may link, compared on full sets
+    of_doc = of.select("doc", "comp").distinct()
+    family = materialize(_with_component(of_doc, linked.unionByName(maybe), "family"))
+    several = family.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+    rows = family.join(several, "family", "left_semi").join(sides, "doc").join(texts.withColumnRenamed("id", "doc"), "doc")
+    rows = _tiles(rows, "family").select("family", "i", "j", "block", "doc", "comp", "n", "sig", "text")
+    more = materialize(rows.groupBy("family", "i", "j").applyInPandas(_exact_tile, "a long, b long"))
+    by_key = _with_component(node_of.withColumnRenamed("node", "doc"), linked.unionByName(more), "component").select(F.col("key").alias("k"), "component")
     by_key = materialize(by_key)
-    for x in (shared, of, nodes, pairs, more):
+    for x in (shared, of, nodes, texts, family):
         discard(x)
     out = signed.select("doc_id", "n_shingles", "key").join(by_key, F.col("key") == F.col("k"), "left")
     out = out.withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id"))
