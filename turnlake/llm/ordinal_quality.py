@@ -2,11 +2,12 @@
 
 Grades: 0 toxic, 1 of low quality, 2 good. P(grade <= k) = sigmoid(threshold_k - w.x)
 with one weight vector for all thresholds and increasing thresholds. x holds hashed
-words and word shapes of the whole text, and each text's rates of marks and of words
-seen most in toxic or low-quality training texts only through these weights.
+words of the whole text (damped counts) and the shares of word shapes.
 
 Fitted by Adam on at most SAMPLE labelled texts, those with the lowest hash of doc_id;
-the rest of the labels and all texts are only scored. A text is kept while its
+all texts are scored. Features are screened first: a weight is learned where a feature is
+in LEAST_TEXTS texts and its share of low grades is LEAST_Z standard errors off chance,
+so that words of single documents are not learned by heart. A text is kept while its
 probability of at least grade 2 is not under KEEP.
 
 Edge cases: null or empty text has no features and gets the intercept's grade; without
@@ -30,7 +31,8 @@ from turnlake.llm.common import materialize, small_batches
 BITS = 18
 SAMPLE = 8000
 GRADES = 3
-EPOCHS = 60
+EPOCHS = 150
+LEAST_TEXTS, LEAST_Z = 4, 4.0
 KEEP = 0.35
 _CACHE = 500_000
 _MARKS = b"#*$%&|<>!"
@@ -60,7 +62,7 @@ def _features() -> _Features:
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: damped word counts and shares of shapes, each part of length 1."""
+    """Indices and values: damped word counts and shares of shapes."""
     words = (text or "").encode("utf-8", "replace").split()
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
@@ -73,8 +75,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         shape[s] += n
     v = 1 + np.log(np.fromiter(word.values(), np.float32, len(word)))
     u = np.fromiter(shape.values(), np.float32, len(shape)) / len(words)
-    v = np.minimum(v / np.sqrt(len(word)) * 4, 1.0)  # one word stands out in a long text too
-    return np.fromiter([*word, *shape], np.int32, len(word) + len(shape)), np.concatenate([v, 3 * u])
+    return np.fromiter([*word, *shape], np.int32, len(word) + len(shape)), np.concatenate([v, 6 * u])
 
 
 @dataclass(frozen=True)
@@ -87,16 +88,32 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def screened(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> np.ndarray:
+    """Which features tell low grades from others beyond chance."""
+    size = 1 << BITS
+    idx, of = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    n = np.bincount(idx, minlength=size)
+    keep = np.zeros(size, bool)
+    for k in range(GRADES - 1):
+        p = (grades <= k).mean()
+        low = np.bincount(idx, weights=(grades <= k)[of], minlength=size)
+        z = (low - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
+        keep |= (n >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z) & (0 < p < 1)
+    return keep
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Full-batch Adam on the likelihood of the grades, with a little weight decay."""
+    keep = screened(rows, grades)
+    rows = [(i[keep[i]], v[keep[i]]) for i, v in rows]
     idx = np.concatenate([r[0] for r in rows]).astype(np.int64)
     val = np.concatenate([r[1] for r in rows]).astype(np.float64)
     of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     n, size = len(rows), 1 << BITS
-    w, t = np.zeros(size), np.array([-1.0, 1.0])  # t: first threshold, log of the gap
+    w = np.zeros(size)
     share = [max(0.5, (grades <= k).sum()) / (n + 1) for k in range(GRADES - 1)]
     logit = [np.log(p / (1 - p)) for p in share]
-    t = np.array([logit[0], np.log(max(0.1, logit[1] - logit[0]))])
+    t = np.array([logit[0], np.log(max(0.1, logit[1] - logit[0]))])  # first threshold, log of the gap
     m1, m2, k1, k2 = np.zeros(size), np.zeros(size), np.zeros(2), np.zeros(2)
     for step in range(1, epochs + 1):
         score = np.bincount(of, weights=w[idx] * val, minlength=n)
