@@ -50,13 +50,17 @@ def hash_of(doc_id: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def _sized(docs: DataFrame, seed: str, *carry: Column) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), hash_of(F.col("doc_id"), seed).alias("h"), *carry)
+    return rows.withColumn("bucket", F.substring("h", 1, 3))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: Column | None = None) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken,
-    whole (times it is taken whole) and part (words of one more, partial repetition)."""
-    sized = materialize(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash_of(F.col("doc_id"), seed).alias("h"))
-        .withColumn("bucket", F.substring("h", 1, 3))
-    )
+    whole (times it is taken whole) and part (words of one more, partial repetition).
+    carry: one more column, such as a struct of the row, that stays beside its plan."""
+    sized = materialize(_sized(docs, seed))
     buckets = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     sources = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
     rank = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -76,27 +80,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         s.join(edge, F.col("s").eqNullSafe(F.col("e")), "left")
         .select("s", "source_size", "target", "whole", "need", F.coalesce("bucket", F.lit("g")).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
     )
-    rows = sized.join(s, F.col("source").eqNullSafe(F.col("s")))  # one row per source: Spark broadcasts it if small
+    rows = sized if carry is None else _sized(docs, seed, carry.alias("_row"))  # no join brings a row to its plan
+    rows = rows.join(s, F.col("source").eqNullSafe(F.col("s")))  # one row per source: Spark broadcasts it if small
     clear = rows.where("bucket <> edge").withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
     done = Window.partitionBy("s").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = rows.where("bucket = edge").withColumn("part", F.col("before") + F.coalesce(F.sum("size").over(done), F.lit(0)))
     at_edge = at_edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("need") - F.col("part"))))
     out = clear.unionByName(at_edge)
     # a part as long as the document is one more whole repetition
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part", *(["_row"] if carry is not None else []))
 
 
 def repeat(docs: DataFrame, **parameters) -> DataFrame:
     """docs with each row as often as the mix takes it; the one document per source
     that is taken in part is cut after its last taken word."""
-    plan = mix(docs, **parameters).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("part").alias("_part"))
-    plan = plan.dropDuplicates(["_id"])
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the space before it
-    cut = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), "")
-    whole = F.expr("array_repeat(false, cast(_whole as int))")
-    times = F.concat(whole, F.when(F.col("_part") > 0, F.array(F.col("_part") < F.col("_size"))).otherwise(F.expr("cast(array() as array<boolean>)")))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).withColumn("_cut", F.explode(times))
-    out = out.withColumn("text", F.when(F.col("_cut"), cut).otherwise(F.col("text")))
+    words = F.split("_row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the space before it
+    cut = F.array_join(F.slice(words, 1, F.col("part").cast("int")), "")
+    whole = F.expr("array_repeat(false, cast(whole as int))")
+    times = F.concat(whole, F.when(F.col("part") > 0, F.array(F.col("part") < F.col("size"))).otherwise(F.expr("cast(array() as array<boolean>)")))
+    out = mix(docs, carry=F.struct(*docs.columns), **parameters).withColumn("_cut", F.explode(times))
+    text = F.when(F.col("_cut"), cut).otherwise(F.col("_row.text"))
+    rest = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        rest["n_chars"] = F.when(F.col("_cut"), F.length(text).cast("long")).otherwise(F.col("_row.n_chars"))
+    return out.select(*(rest.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
