@@ -217,6 +217,22 @@ def test_packs(spark):
         training.mix_plan(spark, 4, 0.5)
 
 
+def test_packs_in_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 1, 3, 9, 40, 99, 100])) for i in range(400)]
+    pack, used, want = 0, 0, {}
+    for i, n in rows:
+        if used and used + n > 100:
+            pack, used = pack + 1, 0
+        want[i] = (pack, used)
+        used += n
+    df = spark.createDataFrame(rows, "ord long, n int").repartition(3)
+    for size in (1000, 37, 5):
+        assert {r.ord: (r.pack, r.offset) for r in training.greedy_packs(df, 100, rows_per_part=size).collect()} == want
+
+
 def test_losses(spark):
     import math
 

@@ -10,29 +10,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_packs(sized: DataFrame, cap: int, order: str = "ord", length: str = "n") -> DataFrame:
+def _break_table(n, cap: int):
+    """How a run of lengths acts on a pack with `used` tokens: if it first breaks at record k
+    (used + sum before k fits, with k it does not), it opens packs[k] packs and the last holds
+    tail[k]. Only records that some used in 0..cap can break at are listed, with the sum through k."""
+    import numpy as np
+
+    cum = np.concatenate([[0], np.cumsum(n)])
+    nxt = np.searchsorted(cum, cum[:-1] + cap, side="right") - 1  # a pack that starts at i ends before nxt[i]
+    packs, tail = np.ones(len(n), np.int64), cum[-1] - cum[:-1]
+    for i in range(len(n) - 1, -1, -1):
+        if nxt[i] < len(n):
+            packs[i], tail[i] = packs[nxt[i]] + 1, tail[nxt[i]]
+    some = np.flatnonzero(cum[:-1] <= cap)
+    return some, cum[1:][some], packs[some], tail[some], int(cum[-1])
+
+
+def greedy_packs(sized: DataFrame, cap: int, order: str = "ord", length: str = "n", rows_per_part: int = 1_000_000) -> DataFrame:
     """Sequential packing in record order: a record that no longer fits starts the next pack;
     records longer than cap are skipped. Adds pack (from 0) and offset.
 
-    The fold is sequential by definition. It runs over (order, length) pairs alone, a range
-    partition at a time in order, carrying two numbers from one partition to the next."""
+    Ranges of the order are folded apart: each reports how it acts on any fill of the pack it
+    is entered with (where it first breaks decides the rest), the driver chains these short
+    tables, and each range then places its records from its own entry."""
     fits = sized.where(F.col(length) <= cap).select(F.col(order).alias("o"), F.col(length).cast("bigint").alias("n"))
-
-    # one pass over ordered pairs; a partition's fold from every start is not needed, since
-    # the pairs are 16 bytes and stream through one worker
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, used = 0, 0
-        for f in frames:
-            packs, offs = [], []
-            for n in f["n"].tolist():
-                if used and used + n > cap:
-                    pack, used = pack + 1, 0
-                packs.append(pack)
-                offs.append(used)
-                used += n
-            yield pd.DataFrame({"o": f["o"], "pack": packs, "offset": offs})
-
-    placed = fits.coalesce(1).sortWithinPartitions("o").mapInPandas(fold, "o bigint, pack bigint, offset bigint")
+    parts = max(1, -(-fits.count() // rows_per_part))
+    bounds = sorted(set(fits.approxQuantile("o", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    part = F.size(F.filter(F.lit(bounds), lambda b: F.col("o") > b)) if bounds else F.lit(0)
+    ranged = fits.withColumn("part", part.cast("bigint"))
+
+    def act(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        _, through, packs, tail, total = _break_table(f.sort_values("o")["n"].to_numpy(), cap)
+        return pd.DataFrame([(int(key[0]), through.tolist(), packs.tolist(), tail.tolist(), total)], columns=["part", "through", "packs", "tail", "total"])
+
+    acts = ranged.groupBy("part").applyInPandas(act, "part bigint, through array<bigint>, packs array<bigint>, tail array<bigint>, total bigint").orderBy("part").collect()
+    entry, pack, used = {}, 0, 0
+    for r in acts:
+        entry[r.part] = (pack, used)
+        k = next((k for k, t in enumerate(r.through) if used + t > cap), None)
+        pack, used = (pack, used + r.total) if k is None else (pack + r.packs[k], r.tail[k])
+
+    def place(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        pack, used = entry[int(key[0])]
+        f = f.sort_values("o")
+        packs, offs = [], []
+        for n in f["n"].tolist():
+            if used and used + n > cap:
+                pack, used = pack + 1, 0
+            packs.append(pack)
+            offs.append(used)
+            used += n
+        return pd.DataFrame({"o": f["o"], "pack": packs, "offset": offs})
+
+    placed = ranged.groupBy("part").applyInPandas(place, "o bigint, pack bigint, offset bigint")
     return sized.join(placed, sized[order] == placed["o"]).drop("o")
 
 
