@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space, as a Java/RE2/Python pattern.
@@ -55,30 +55,27 @@ def components(edges: DataFrame) -> DataFrame:
     each step re-links a vertex's neighbours to its smallest one, so hubs become stars
     with aggregates and joins alone; the work tables stay no larger than the edges.
     Ids without an edge are not in the result. Self-loops and repeats are ignored."""
-    cur = materialize(
-        edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
-    )
-    state_of = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    mark = cur.agg(*state_of).first()
+
+    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
+        """Materialised, with its count and a checksum that the same job observes."""
+        seen = Observation()
+        out = materialize(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+        return out, (seen.get.get("n", 0), seen.get.get("x"))
+
+    cur, mark = written(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
     while mark[0]:
+        # both joins read written tables on both sides, so that Spark can split a hub's rows
         both = cur.unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
-        discard_later = [cur, low]
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (
-            large.join(low2, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = materialize(small)
-        for x in (*discard_later, large, low2):
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(low2, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        nxt, now = written(small)
+        for x in (cur, low, large, low2):
             discard(x)
-        was, mark, cur = mark, nxt.agg(*state_of).first(), nxt
-        if was == mark:
+        same, mark, cur = now == mark, now, nxt
+        if same:
             break
     # every edge now joins a vertex with its component's smallest id
     return cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionAll(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -267,13 +267,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _tiles(of.join(open_, "band", "left_semi"), "band").join(sides, "doc")
     maybe = rows.select("band", "i", "j", "block", "doc", "comp", "n", "sig").groupBy("band", "i", "j").applyInPandas(_coarse_tile, "a long, b long").distinct()
     # families of components that may link, compared on full sets
-    of_doc = of.select("doc", "comp").distinct()
-    family = materialize(_with_component(of_doc, linked.unionByName(maybe), "family"))
+    of_doc = materialize(of.select("doc", "comp").distinct())
+    stars = of_doc.where("doc <> comp").select(F.col("comp").alias("a"), F.col("doc").alias("b"))
+    family = materialize(_with_component(of_doc, stars.unionByName(maybe), "family"))
     several = family.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
     rows = family.join(several, "family", "left_semi").join(sides, "doc").join(texts.withColumnRenamed("id", "doc"), "doc")
     rows = _tiles(rows, "family").select("family", "i", "j", "block", "doc", "comp", "n", "sig", "text")
     more = materialize(rows.groupBy("family", "i", "j").applyInPandas(_exact_tile, "a long, b long"))
-    by_key = _with_component(node_of.withColumnRenamed("node", "doc"), linked.unionByName(more), "component").select(F.col("key").alias("k"), "component")
+    by_key = _with_component(node_of.withColumnRenamed("node", "doc"), stars.unionByName(more), "component").select(F.col("key").alias("k"), "component")
     by_key = materialize(by_key)
     for x in (shared, of, nodes, texts, family):
         discard(x)
