@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,38 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def by_group(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], tuple | None], schema: str) -> DataFrame:
+    """work(columns as arrays) -> result columns as arrays, or None, for the rows of each key.
+    Groups are cut from sorted batches, so that very many small ones cost little each.
+    A group must be of bounded size."""
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+
+        def done(f: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            cols = {c: f[c].to_numpy() for c in f.columns}
+            out = [r for a, b in zip(ends[:-1], ends[1:]) if (r := work({c: v[a:b] for c, v in cols.items()})) is not None]
+            return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*out), strict=True)} if out else {n: [] for n in names})
+
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            new = np.zeros(len(f), bool)
+            for k in keys:
+                v = f[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new)
+            if not len(starts):
+                rest = f
+                continue
+            rest = f.iloc[starts[-1] :]
+            yield done(f.iloc[: starts[-1]], np.r_[0, starts])
+        if rest is not None and len(rest):
+            yield done(rest, np.array([0, len(rest)]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long) edges as (id, component): the smallest
     reachable id. Alternating large-star and small-star steps (Kiveris et al., 2014):

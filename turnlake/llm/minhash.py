@@ -24,12 +24,11 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import components, discard, materialize, small_batches
+from turnlake.llm.common import by_group, components, discard, materialize, small_batches
 
 WIDTH = 5
 SIMILAR = (75, 100)
@@ -159,53 +158,55 @@ def _may_link(sig: np.ndarray, n: np.ndarray, a: int, b: np.ndarray) -> np.ndarr
     return b[order][same[order] >= LEAST_ESTIMATE * sig.shape[1]]
 
 
-def _sides(key: tuple, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sides(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places of a tile's two blocks."""
-    block = frame["block"].to_numpy()
-    return np.flatnonzero(block == int(key[1])), np.flatnonzero(block == int(key[2]))
+    return np.flatnonzero(g["block"] == g["i"][0]), np.flatnonzero(g["block"] == g["j"][0])
 
 
-def _forest(label: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
-    """Edges that join what label joins beyond comp: one per component, to the least of its label."""
-    f = pd.DataFrame({"label": label, "comp": comp, "doc": doc}).groupby(["label", "comp"])["doc"].min().reset_index()
-    f["low"] = f.groupby("label")["doc"].transform("min")
-    f = f[f["low"] != f["doc"]]
-    return pd.DataFrame({"a": f["low"].to_numpy(np.int64), "b": f["doc"].to_numpy(np.int64)})
+def _forest(label: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Edges that join what label joins beyond comp: one per component, to the first of its label."""
+    if (label == comp).all():
+        return None
+    first: dict[int, int] = {}
+    edges: dict[tuple[int, int], tuple[int, int]] = {}
+    for x, c, d in sorted(zip(label.tolist(), comp.tolist(), doc.tolist())):
+        low = first.setdefault(x, d)
+        edges.setdefault((x, c), (low, d))
+    out = np.array([e for e in edges.values() if e[0] != e[1]], np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
 
 
-def _coarse_tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _coarse_tile(g: dict[str, np.ndarray]) -> tuple | None:
     """A forest over a tile's components whose signatures allow links between them."""
-    sig = np.stack([np.frombuffer(x, np.uint16) for x in frame["sig"]])
-    doc, comp, n = (frame[c].to_numpy() for c in ("doc", "comp", "n"))
-    one, two = _sides(key, frame)
+    sig, (one, two) = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), -1), _sides(g)
+    comp, n = g["comp"], g["n"]
     label = comp.copy()
     for a in one:
         left = two[label[two] != label[a]]
         for at in range(0, len(left), 64):  # most find a partner among the first
             b = left[at : at + 64]
-            for x in np.unique(label[_may_link(sig, n, a, b[label[b] != label[a]])]):
+            for x in set(label[_may_link(sig, n, a, b[label[b] != label[a]])].tolist()):
                 label[label == x] = label[a]
-    return _forest(label, comp, doc)
+    return _forest(label, comp, g["doc"])
 
 
-def _exact_tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _exact_tile(g: dict[str, np.ndarray]) -> tuple | None:
     """A forest over a tile's components with links between them, verified on full sets."""
-    sig = np.stack([np.frombuffer(x, np.uint16) for x in frame["sig"]])
-    doc, comp, n = (frame[c].to_numpy() for c in ("doc", "comp", "n"))
+    sig, (one, two) = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), -1), _sides(g)
+    comp, n = g["comp"], g["n"]
     sets: dict[int, np.ndarray] = {}
 
     def of(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = shingles(frame["text"].iat[i])
+            sets[i] = shingles(g["text"][i])
         return sets[i]
 
-    one, two = _sides(key, frame)
     label = comp.copy()
     for a in one:
         for b in _may_link(sig, n, a, two[label[two] != label[a]]):
             if label[b] != label[a] and _similar(of(a), of(b)):
                 label[label == label[b]] = label[a]
-    return _forest(label, comp, doc)
+    return _forest(label, comp, g["doc"])
 
 
 def _estimate_allows(a: bytes, b: bytes) -> bool:
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = materialize(_with_component(shared.select("band", "doc"), linked, "comp"))
     open_ = of.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     rows = _tiles(of.join(open_, "band", "left_semi"), "band").join(sides, "doc")
-    maybe = rows.select("band", "i", "j", "block", "doc", "comp", "n", "sig").groupBy("band", "i", "j").applyInPandas(_coarse_tile, "a long, b long").distinct()
+    maybe = by_group(rows.select("band", "i", "j", "block", "doc", "comp", "n", "sig"), ["band", "i", "j"], _coarse_tile, "a long, b long").distinct()
     # families of components that may link, compared on full sets
     of_doc = materialize(of.select("doc", "comp").distinct())
     stars = of_doc.where("doc <> comp").select(F.col("comp").alias("a"), F.col("doc").alias("b"))
@@ -273,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = family.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
     rows = family.join(several, "family", "left_semi").join(sides, "doc").join(texts.withColumnRenamed("id", "doc"), "doc")
     rows = _tiles(rows, "family").select("family", "i", "j", "block", "doc", "comp", "n", "sig", "text")
-    more = materialize(rows.groupBy("family", "i", "j").applyInPandas(_exact_tile, "a long, b long"))
+    more = materialize(by_group(rows, ["family", "i", "j"], _exact_tile, "a long, b long"))
     by_key = _with_component(node_of.withColumnRenamed("node", "doc"), stars.unionByName(more), "component").select(F.col("key").alias("k"), "component")
     by_key = materialize(by_key)
     for x in (shared, of, nodes, texts, family):

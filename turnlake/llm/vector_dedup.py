@@ -25,12 +25,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import components, discard, materialize, small_batches
+from turnlake.llm.common import by_group, components, discard, materialize, small_batches
 
 LEAST_COSINE = 0.98
 TREES = 6
@@ -114,18 +113,20 @@ def _index(depth: int, by_dim: dict[int, dict]):
     return run
 
 
-def _compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _compare(g: dict[str, np.ndarray]) -> tuple | None:
     """One row per linked vector of a tile: (node, links counted here, smallest joined)."""
-    leaf, i, j = int(key[1]), int(key[2]), int(key[3])
-    unit = _unit(np.stack([np.frombuffer(v) for v in frame["vector"]]))
-    block, node, copies = (frame[c].to_numpy() for c in ("block", "node", "copies"))
+    leaf, i, j = (int(g[k][0]) for k in ("leaf", "i", "j"))
+    unit = _unit(np.frombuffer(b"".join(g["vector"])).reshape(len(g["node"]), -1))
+    block, node, copies = g["block"], g["node"], g["copies"]
     one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
     hit = unit[one] @ unit[two].T >= LEAST_COSINE
     if i == j:
         hit = np.triu(hit, 1)
     a, b = np.nonzero(hit)
+    if not len(a):
+        return None
     a, b = one[a], two[b]
-    own = [np.frombuffer(v, np.int64) for v in frame["leaves"]]
+    own = [np.frombuffer(v, np.int64) for v in g["leaves"]]
     width = max(map(len, own))
     codes = np.full((len(own), width), -1, np.int64)
     for k, v in enumerate(own):
@@ -148,7 +149,7 @@ def _compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(low, b, m)
     some = np.zeros(len(node), bool)
     some[a] = some[b] = True
-    return pd.DataFrame({"node": node[some], "links": links[some], "low": low[some]})
+    return node[some], links[some], low[some]
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     tiled = entries.join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("node"), "k"))
     tiled = tiled.withColumn("t", F.explode(F.expr("transform(sequence(0L, k - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))")))
     tiled = tiled.select("label", "leaf", "t.i", "t.j", "block", "node", "copies", "vector", "leaves")
-    found = materialize(tiled.groupBy("label", "leaf", "i", "j").applyInPandas(_compare, "node long, links long, low long"))
+    found = materialize(by_group(tiled, ["label", "leaf", "i", "j"], _compare, "node long, links long, low long"))
     comp = materialize(components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))).toDF("c", "component")
     links = found.groupBy(F.col("node").alias("l")).agg(F.sum("links").alias("links"))
     of = nodes.join(links, F.col("node") == F.col("l"), "left").join(comp, F.col("node") == F.col("c"), "left")
