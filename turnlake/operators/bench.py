@@ -100,3 +100,27 @@ def grid(**axes: DataFrame) -> DataFrame:
     for df in axes.values():
         out = df if out is None else out.crossJoin(F.broadcast(df))
     return out
+
+
+def region_extremes(regions: DataFrame) -> DataFrame:
+    """The lowest and highest alpha over regions, and region 0's share of verified places."""
+    zero = F.sum(F.when(F.col("region") == 0, F.col("n_verified")).otherwise(0))
+    return regions.agg(F.min("alpha").alias("lowest"), F.max("alpha").alias("highest"), F.try_divide(zero, F.sum("n_verified")).alias("context_share"))
+
+
+def positions_improved(trained: DataFrame, untuned: DataFrame) -> DataFrame:
+    """How many places have an alpha at least as high as before. Both: pos, alpha_n."""
+    j = trained.select("pos", F.col("alpha_n").alias("a")).join(untuned.select("pos", F.col("alpha_n").alias("b")), "pos")
+    return j.agg(F.count(F.lit(1)).alias("n_positions"), F.coalesce(F.sum((F.col("a") >= F.col("b")).cast("bigint")), F.lit(0)).alias("n_improved"))
+
+
+def sampling_seed(base: Column, step: Column, micro: Column, index: Column) -> Column:
+    """A context's own seed."""
+    return base + step * 1_000_003 + micro * 1_009 + index
+
+
+def vocab_guard(model_vocab: int, real_vocab: int) -> int:
+    """The real vocabulary's size; a smaller model is an error."""
+    if model_vocab < real_vocab:
+        raise ValueError(f"model vocabulary {model_vocab} under {real_vocab}")
+    return real_vocab

@@ -247,6 +247,27 @@ SELECT ga.id AS item_id, count(DISTINCT gb.id) AS n_docs, count(DISTINCT ga.g) A
 WITH f AS (SELECT lang, ({WORDS_SQL})[1] AS first FROM documents), c AS (SELECT lang, first, count(*) AS n FROM f GROUP BY lang, first)
 SELECT lang, first, n, round(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE), 6) AS share FROM c""",
 }
+_REGIONS = ORACLE["q24_region_metrics"]
+_TOKEN = r"'<\|im_(?:start|end)\|>|[ \n]|[^ \n<]+|<'"
+ORACLE |= {
+    "q47_render": "WITH r AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, md5(t) AS text_md5, length(t) AS n_chars FROM r",
+    "q48_records": f"""
+WITH p AS (SELECT conv_id, turn, role, len(regexp_extract_all('<|im_start|>' || role || chr(10), {_TOKEN})) AS h, len(regexp_extract_all(text || '<|im_end|>', {_TOKEN})) AS b FROM conversations),
+c AS (SELECT *, sum(h + b + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - b - 1 AS slot FROM p)
+SELECT conv_id, CAST(sum(h + b + 1) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN b ELSE 0 END) AS BIGINT) AS n_loss,
+  CAST(coalesce(min(CASE WHEN role = 'assistant' THEN slot END), sum(h + b + 1)) AS BIGINT) AS n_prompt_tokens FROM c GROUP BY conv_id""",
+    "q49_assistant_spans": """
+WITH c AS (SELECT conv_id, turn, role, length(text) + 10 AS b, 12 + length(role) + 1 AS h,
+  coalesce(sum(12 + length(role) + 1 + length(text) + 11) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CAST(before + h AS BIGINT) AS s, CAST(before + h + b AS BIGINT) AS e FROM c WHERE role = 'assistant'""",
+    "q50_region_extremes": f"SELECT round(min(alpha), 6) AS lowest, round(max(alpha), 6) AS highest, round(CAST(sum(CASE WHEN region = 0 THEN n_verified ELSE 0 END) AS DOUBLE) / CAST(sum(n_verified) AS DOUBLE), 6) AS context_share FROM ({_REGIONS})",
+    "q51_positions_improved": f"""WITH {EVENTS_SQL}, att AS (SELECT user_id % 2 AS odd, accepted, unnest(range(0, n)) AS pos FROM st),
+a AS (SELECT odd, pos, CAST(count(*) FILTER (WHERE pos < accepted) AS DOUBLE) / nullif(count(*) FILTER (WHERE pos <= accepted), 0) AS alpha FROM att GROUP BY odd, pos)
+SELECT count(*) AS n_positions, count(*) FILTER (WHERE x.alpha >= y.alpha) AS n_improved FROM (SELECT * FROM a WHERE odd = 0) x JOIN (SELECT * FROM a WHERE odd = 1) y USING (pos)""",
+    "q52_worst_gate": "SELECT event_type, count(*) FILTER (WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 2 = 0) AS n_exact FROM events GROUP BY event_type ORDER BY n_exact, event_type LIMIT 1",
+    "q53_teacher_width": "SELECT CAST(greatest(1, max(least(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 25, 20))) AS BIGINT) AS width FROM events",
+    "q54_cyclic_contexts": "WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) SELECT o_orderkey, n_name FROM orders JOIN n ON n.i = o_orderkey % (SELECT count(*) FROM nation)",
+}
 ORACLE["q04b_funnel"] = f"SELECT reason, count(*) AS n FROM ({ORACLE['q04_conv_filter']}) GROUP BY reason"
 
 

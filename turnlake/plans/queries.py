@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.functions import losses, seq
+from turnlake.functions import losses, render, seq
 from turnlake.functions import text as T
 from turnlake.operators import assemble, bench, clean, integrity, metrics, training
 from turnlake.plans import proxies
@@ -431,5 +431,50 @@ def q46_ci_overlap(spark, sf):
     return metrics.ci_overlap(parts)
 
 
+def _rendered(spark, sf):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("m")).select("conv_id", render.render(F.col("m")).alias("text"))
+
+
+def q47_render(spark, sf):
+    return _rendered(spark, sf).select("conv_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def q48_records(spark, sf):
+    r = render.records(_rendered(spark, sf))
+    loss = F.size(F.filter("labels", lambda x: x != -100))
+    return r.select("conv_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), loss.cast("bigint").alias("n_loss"), F.col("n_prompt_tokens").cast("bigint").alias("n_prompt_tokens"))
+
+
+def q49_assistant_spans(spark, sf):
+    s = _rendered(spark, sf).select("conv_id", F.posexplode(render.assistant_spans(F.col("text"))).alias("i", "x"))
+    return s.select("conv_id", F.col("i").cast("bigint").alias("i"), F.col("x.s").cast("bigint").alias("s"), F.col("x.e").cast("bigint").alias("e"))
+
+
+def q50_region_extremes(spark, sf):
+    x = bench.region_extremes(metrics.region_metrics(_placed(spark, sf)))
+    return x.select(*(R6(c).alias(c) for c in x.columns))
+
+
+def q51_positions_improved(spark, sf):
+    s = _stats(spark, sf)
+    even = (F.col("query_id").cast("bigint") % 2) == 0
+    return bench.positions_improved(metrics.alpha_by_position(s.where(even)), metrics.alpha_by_position(s.where(~even)))
+
+
+def q52_worst_gate(spark, sf):
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.sum((proxies.k_of(F.col("props")) % 2 == 0).cast("bigint")).alias("n_exact"))
+    return bench.worst_gate(e, "event_type")
+
+
+def q53_teacher_width(spark, sf):
+    e = table(spark, sf, "events").select(F.array_repeat(F.lit(1), (proxies.k_of(F.col("props")) % 25).cast("int")).alias("teacher"))
+    return training.teacher_width(e).select(F.col("width").cast("bigint").alias("width"))
+
+
+def q54_cyclic_contexts(spark, sf):
+    return training.cyclic(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "nation").select("n_nationkey", "n_name"), "o_orderkey", "n_nationkey").select("o_orderkey", "n_name")
+
+
 def catalogue() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("q") and k[1:3].isdigit()}
