@@ -96,10 +96,10 @@ def converted(raw: DataFrame) -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, key, order: str) -> DataFrame:
-    """Keep the first row in order of each key. min_by pre-aggregates, so a hot key is no hot task."""
-    cols = df.columns
-    firsts = df.withColumn("_key", key).groupBy("_key").agg(F.min(order).alias("_first"))
-    return df.withColumn("_key", key).join(firsts, "_key").where(F.col(order) == F.col("_first")).select(*cols)
+    """Keep the first row in order of each key; order is unique. Keys are dealt as digests and
+    pre-aggregated, so neither texts nor a hot key's rows meet in one task."""
+    firsts = df.select(F.sha2(key.cast("binary"), 256).alias("_key"), order).groupBy("_key").agg(F.min(order).alias(order))
+    return df.join(firsts.select(order), order, "left_semi")
 
 
 def clean_stats(before: DataFrame, after_filter: DataFrame, kept: DataFrame) -> DataFrame:
