@@ -152,11 +152,12 @@ def mixed_contexts(df: DataFrame, key: str, capped: str, share: float, seed: str
 
 
 def contamination(queries: DataFrame, corpus: DataFrame, width: int = 5) -> DataFrame:
-    """queries (item_id, text) by corpus (doc_id, text): documents that share a word n-gram, and n-grams shared."""
+    """queries (item_id, text) by corpus (doc_id, text): documents that share a word n-gram, and n-grams shared.
+    N-grams are compared by 64-bit hashes."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = df.select(key, F.split(F.lower(T.collapse(F.col("text"))), " ").alias("w"))
-        g = F.expr(f"transform(sequence(1, greatest(size(w) - {width - 1}, 1)), i -> array_join(slice(w, i, {width}), ' '))")
+        g = F.expr(f"transform(sequence(1, greatest(size(w) - {width - 1}, 1)), i -> xxhash64(slice(w, i, {width})))")
         return words.where(F.size("w") >= width).select(key, F.explode(F.array_distinct(g)).alias("g"))
 
     return grams(queries, "item_id").join(grams(corpus, "doc_id"), "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("g").alias("n_grams"))

@@ -118,10 +118,10 @@ class NgramProposer:
         self.max_n, self.min_n, self.pad = max_n, min_n, pad
 
     def propose(self, sequence: list[int], k: int) -> list[int]:
-        for n in range(min(self.max_n, len(sequence)), self.min_n - 1, -1):
-            tail = sequence[len(sequence) - n :]
-            at = next((s for s in range(len(sequence) - n) if sequence[s : s + n] == tail), None)
-            if at is not None:
+        text = "".join(map(chr, sequence))  # token ids as code points: the search is str.find
+        for n in range(min(self.max_n, len(text)), self.min_n - 1, -1):
+            at = text.find(text[len(text) - n :], 0, len(text) - 1)
+            if at >= 0:
                 return sequence[at + n : at + n + k]
         return [self.pad]
 

@@ -295,12 +295,12 @@ def q30b_context_mix(spark, sf):
 
 
 def q31_pack(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.size(proxies.words()).cast("bigint").alias("n"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0b]+")).cast("bigint").alias("n"))
     return training.greedy_packs(d, 8192).select("ord", "n", "pack", "offset")
 
 
 def q31b_pack_stats(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.size(proxies.words()).cast("bigint").alias("n"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0b]+")).cast("bigint").alias("n"))
     return training.pack_stats(training.greedy_packs(d, 1024), d.where("n > 1024"))
 
 
