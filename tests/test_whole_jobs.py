@@ -1,11 +1,24 @@
 """Queries cover every row and whole texts: brute force in Python."""
 
+import re
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from turnlake.functions import seq
 from turnlake.plans import proxies
 
 SF = "/root/testdata/sf0.001"
 
 
+def words(text):
+    return re.findall(r"[^ \t\n\r\f\x0b]+", text or "")
+
+
+def documents(spark):
+    return {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
 def test_name_args_cut_of_all_events(spark):
     sf = "/root/testdata/sf0.01"  # more than 2,000 events
     want = set()
@@ -14,3 +27,25 @@ def test_name_args_cut_of_all_events(spark):
         want.add((r.event_id, n_name, -(-len(r.call) // 4) - n_name))
     got = [(r.span, r.n_name, r.n_args) for r in entry.queries()["q27_name_args_cut"](spark, sf).collect()]
     assert len(got) == len(want) > 2000 and set(got) == want
+
+
+def proposal(ws, k, max_n, min_n, pad):
+    for n in range(min(max_n, len(ws)), min_n - 1, -1):
+        for at in range(len(ws) - n):
+            if ws[at : at + n] == ws[len(ws) - n :]:
+                return ws[at + n : at + n + k]
+    return [pad]
+
+
+def test_ngram_lookup_of_whole_texts(spark):
+    want = {i: proposal([w.lower() for w in ws], 3, 3, 1, "<pad>") for i, ws in documents(spark).items()}
+    got = {r.doc_id: (r.n, r.proposal) for r in entry.queries()["q28_ngram_lookup"](spark, SF).collect()}
+    assert got == {i: (len(p), " ".join(p)) for i, p in want.items()} and any(p != ["<pad>"] for p in want.values())
+
+
+def test_ngram_propose_of_short_and_repeated(spark):
+    rows = [(i, [(i * j * j + j // 3) % 3 for j in range(i)]) for i in range(12)] + [(50, [4] * 9), (51, None)]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    for max_n, min_n in ((3, 1), (3, 2), (1, 1), (4, 3)):
+        got = {r.i: r.p for r in df.select("i", seq.ngram_propose(F.col("v"), F.lit(3), max_n, min_n, 9).alias("p")).collect()}
+        assert got == {i: proposal(v or [], 3, max_n, min_n, 9) for i, v in rows}, (max_n, min_n)

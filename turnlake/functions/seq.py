@@ -75,15 +75,23 @@ def clip_left(ids: Column, most: int, start_token: int) -> Column:
 
 
 def ngram_propose(seq: Column, k: Column, max_n: int = 3, min_n: int = 1, pad: int = 0) -> Column:
-    """Followers of the earliest earlier occurrence of the longest suffix, at most k; else [pad]."""
+    """Followers of the earliest earlier occurrence of the longest suffix, at most k; else [pad].
 
-    def of(v: Column, n: int) -> Column:
-        suffix = F.slice(v, F.greatest(F.size(v) - n + 1, F.lit(1)), F.lit(n))
-        places = F.when(F.size(v) > n, F.sequence(F.lit(0), F.size(v) - n - 1))
-        hit = let(suffix, lambda x: F.get(F.filter(places, lambda s: F.slice(v, s + 1, F.lit(n)) == x), F.lit(0)))
-        return F.when(hit.isNotNull(), F.slice(v, hit + n + 1, k))
+    One pass finds where the last token occurs earlier; longer suffixes are sought among these places only."""
 
-    return let(seq, lambda v: F.coalesce(*(of(v, n) for n in range(max_n, min_n - 1, -1)), F.array(F.lit(pad))))
+    def of(v: Column, ends: Column, n: int) -> Column:
+        """ends: where the earlier occurrences of the last n tokens end."""
+        here = F.when(F.size(ends) > 0, F.slice(v, F.get(ends, F.lit(0)) + 2, k)) if n >= min_n else F.lit(None)
+        if n == max_n:
+            return here
+        longer = F.filter(ends, lambda e: (e >= n) & F.get(v, e - n).eqNullSafe(F.get(v, F.size(v) - 1 - n)))
+        return F.coalesce(let(longer, lambda at: of(v, at, n + 1)), here)
+
+    def ends(v: Column) -> Column:
+        earlier = F.when(F.size(v) > 1, F.sequence(F.lit(0), F.size(v) - 2)).otherwise(F.expr(NO_INTS))
+        return let(F.get(v, F.size(v) - 1), lambda last: F.filter(earlier, lambda e: F.get(v, e).eqNullSafe(last)))
+
+    return let(seq, lambda v: F.coalesce(let(ends(v), lambda at: of(v, at, 1)), F.array(F.lit(pad))))
 
 
 def verify_round(proposal: Column, preds: Column, budget: Column, eos: int) -> Column:
