@@ -49,3 +49,22 @@ def test_ngram_propose_of_short_and_repeated(spark):
     for max_n, min_n in ((3, 1), (3, 2), (1, 1), (4, 3)):
         got = {r.i: r.p for r in df.select("i", seq.ngram_propose(F.col("v"), F.lit(3), max_n, min_n, 9).alias("p")).collect()}
         assert got == {i: proposal(v or [], 3, max_n, min_n, 9) for i, v in rows}, (max_n, min_n)
+
+
+def test_token_regions_of_whole_texts(spark):
+    want = set()
+    for i, ws in documents(spark).items():
+        region = [3 if p in (9, 29, 30) else 2 if 10 <= p <= 28 else 1 for p in range(len(ws))]
+        for code in set(region):
+            at = [p for p, r in enumerate(region) if r == code]
+            want.add((i, code, len(at), at[0], at[-1]))
+    got = [(r.doc_id, r.region, r.n, r["first"], r["last"]) for r in entry.queries()["q08_token_regions"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(last > 50 for *_, last in want) and any(n < 40 for n in map(len, documents(spark).values()))
+
+
+def test_offsets_of_any_length(spark):
+    rows = [(n, [(i * 7) % 5 + 1 for i in range(n)]) for n in (0, 1, seq.RUN - 1, seq.RUN, seq.RUN + 1, 5 * seq.RUN)]
+    for n, got in spark.createDataFrame(rows, "n int, v array<int>").select("n", seq.offsets(F.col("v"))).collect():
+        ends = [sum(rows_v[: i + 1]) for rows_v in [dict(rows)[n]] for i in range(n)]
+        assert [(x.s, x.e) for x in got] == list(zip([0, *ends], ends)), n

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from turnlake.schemas import NO_LOSS, REGION_PROSE
 
 NO_INTS = "cast(array() as array<int>)"
+#: offsets sums this many tokens at a time.
+RUN = 64
 
 
 def let(value: Column, body) -> Column:
@@ -124,10 +126,23 @@ def with_eos(ids: Column, finish: Column, eos: int) -> Column:
 
 
 def offsets(lengths: Column) -> Column:
-    """array<struct<s, e>> of tokens from their lengths, by a running sum."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("out"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + n).alias("e")))).alias("out"))
-    return F.aggregate(lengths, start, step, lambda a: a["out"])
+    """array<struct<s, e>> of tokens from their lengths, by a running sum.
+
+    Appending copies what is there, so runs of RUN tokens are summed apart, each from its own start."""
+    empty, none = F.expr("cast(array() as array<struct<s: int, e: int>>)"), F.expr(NO_INTS)
+
+    def of_run(run: Column, at: Column) -> Column:
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + n).alias("e")))).alias("out"))
+        return F.aggregate(run, F.struct(at.alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    def joined(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+        return F.flatten(F.zip_with(runs, starts, of_run))
+
+    runs = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(RUN)), lambda at: F.slice(v, at + 1, F.lit(RUN)))
+    return let(lengths, lambda v: let(runs(v), joined))
 
 
 def regions_of(offs: Column, spans: list[tuple[Column, int]], default: int = REGION_PROSE) -> Column:

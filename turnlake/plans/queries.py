@@ -83,13 +83,14 @@ def q07b_pool_minus(spark, sf):
 
 
 def q08_token_regions(spark, sf):
-    """Whitespace tokens with offsets; a call span from the 10th to the 30th token, a tag on each side."""
-    d = table(spark, sf, "documents").select("doc_id", F.slice(proxies.words(), 1, 50).alias("w")).where(F.size("w") >= 40)
-    d = d.withColumn("o", seq.offsets(F.transform("w", F.length)))
-    span = lambda a, b: F.array(F.struct(F.get("o", F.lit(a))["s"].alias("s"), F.get("o", F.lit(b))["s"].alias("e")))
-    d = d.withColumn("calls", span(10, 30)).withColumn("tags", F.concat(span(9, 10), span(29, 31)))
-    d = d.withColumn("r", seq.regions_of(F.col("o"), [(F.col("tags"), 3), (F.col("calls"), 2)]))
-    return d.select("doc_id", F.posexplode("r").alias("pos", "region")).groupBy("doc_id", "region").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first"), F.max("pos").cast("bigint").alias("last"))
+    """Whitespace tokens with offsets; a call span from the 10th to the 30th token, a tag on each side.
+    Spans end with a text that is shorter; those that it does not reach are empty."""
+    span = lambda o, a, b: F.array(F.struct(F.get(o, F.lit(a))["s"].alias("s"), F.coalesce(F.get(o, F.lit(b))["s"], F.get(o, F.size(o) - 1)["e"]).alias("e")))
+    regions = lambda o: seq.regions_of(o, [(F.concat(span(o, 9, 10), span(o, 29, 31)), 3), (span(o, 10, 30), 2)])
+    r = seq.let(seq.offsets(F.transform(proxies.words(), F.length)), regions)
+    # an inner explode would add a filter that computes r once more
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(r).alias("pos", "region")).where("pos is not null")
+    return d.groupBy("doc_id", "region").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("bigint").alias("first"), F.max("pos").cast("bigint").alias("last"))
 
 
 def _labels(spark, sf):
