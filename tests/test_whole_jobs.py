@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnlake.functions import seq
+from turnlake.operators import training
 from turnlake.plans import proxies
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,22 @@ def test_offsets_of_any_length(spark):
     for n, got in spark.createDataFrame(rows, "n int, v array<int>").select("n", seq.offsets(F.col("v"))).collect():
         ends = [sum(rows_v[: i + 1]) for rows_v in [dict(rows)[n]] for i in range(n)]
         assert [(x.s, x.e) for x in got] == list(zip([0, *ends], ends)), n
+
+
+def test_round_loop_of_whole_texts(spark):
+    w = F.transform(proxies.words(), lambda w: F.abs(F.xxhash64(F.lower(w)) % 50).cast("int") + 2)
+    docs = {str(r.doc_id): list(r.w or []) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", w.alias("w")).collect()}
+    want = set()
+    for i, ids in docs.items():
+        prompt, target, out, step = ids[:-64], ids[-64:], [], 0
+        while len(out) < 64:
+            left = 64 - len(out)
+            p = proposal(prompt + out, min(5, left), 3, 1, 0)
+            preds = [target[j] if j < len(target) else 1 for j in range(len(out), len(out) + len(p) + 1)]
+            mask, fix, kind, end = training.judge(p, preds, left, 1)
+            want.add((i, step, len(mask), sum(mask), kind))
+            out, step = out + p[: sum(mask)] + ([] if fix is None else [fix]), step + 1
+            if end:
+                break
+    got = [(r.query_id, r.step, r.n, r.n_accepted, r.step_type) for r in entry.queries()["q42_round_loop"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want and {x[0] for x in got} == set(docs)

@@ -116,9 +116,13 @@ class NgramProposer:
 
     def __init__(self, max_n: int = 3, min_n: int = 1, pad: int = 0):
         self.max_n, self.min_n, self.pad = max_n, min_n, pad
+        self.seen, self.text = [], ""
 
     def propose(self, sequence: list[int], k: int) -> list[int]:
-        text = "".join(map(chr, sequence))  # token ids as code points: the search is str.find
+        # token ids as code points: the search is str.find; a longer sequence only adds its new tokens
+        n = len(self.seen) if sequence[: len(self.seen)] == self.seen else 0
+        self.seen, self.text = sequence, self.text[:n] + "".join(map(chr, sequence[n:]))
+        text = self.text
         for n in range(min(self.max_n, len(text)), self.min_n - 1, -1):
             at = text.find(text[len(text) - n :], 0, len(text) - 1)
             if at >= 0:

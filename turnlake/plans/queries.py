@@ -397,8 +397,12 @@ def q41_verify_round(spark, sf):
 
 
 def q42_round_loop(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("query_id"), F.transform(F.slice(proxies.words(), 1, 120), lambda w: F.abs(F.xxhash64(F.lower(w)) % 50).cast("int") + 2).alias("w")).where(F.size("w") >= 40)
-    rows = d.select("query_id", F.slice("w", 1, 30).alias("prompt_ids"), F.slice("w", F.lit(31), F.greatest(F.size("w") - 30, F.lit(1))).alias("target_ids"))
+    """Each text's last 64 words are proposed and verified after all its words before them."""
+    none = F.expr("cast(array() as array<int>)")
+    w = F.coalesce(F.transform(proxies.words(), lambda w: F.abs(F.xxhash64(F.lower(w)) % 50).cast("int") + 2), none)
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("query_id"), w.alias("w"))
+    n = F.greatest(F.size("w") - 64, F.lit(0))
+    rows = d.select("query_id", F.slice("w", F.lit(1), n).alias("prompt_ids"), F.slice("w", n + 1, F.lit(64)).alias("target_ids"))
     return training.simulate(rows, 5, 64, 1).select("query_id", "step", F.size("draft_tokens").alias("n"), F.size(F.filter("accept_mask", lambda x: x)).alias("n_accepted"), "step_type")
 
 
