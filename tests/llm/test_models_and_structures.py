@@ -194,6 +194,13 @@ def test_extraction(spark):
     assert html_template.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_of_several_slots(spark):
+    main = "<div class='body'><h1>Head {i}</h1><div class='text'><p>Long text of page {i} with many words</p></div><div class='more'><p>the rest {i}</p></div></div>"
+    rows = [(i, f"http://a.example/{i}", PAGE.format(i=i, main=main.format(i=i))) for i in range(6)]
+    out = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Head {i} Long text of page {i} with many words the rest {i}" for i in range(6)}
+
+
 def test_extraction_of_pages(spark):
     import html
     import re

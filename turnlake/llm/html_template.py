@@ -6,8 +6,7 @@ pages of a host share an occurrence vector, and so an equivalence class; vectors
 compared by a fingerprint that is a plain XOR aggregate, so a host of any size is summed
 where its pages lie. Valid classes (several tokens, enough pages) nest by their page sets
 into the host's template. What a page has beside template tokens fills the template's
-slots, a slot being the innermost template element around a text; each host's main slot
-is the article element, or else the container of the slot with most text that is no page furniture.
+slots. A page's main slot is its article element, or else all slots together.
 
 A page's text is that of its main slot without elements that are furniture by role
 (navigation, forms, adverts, notices, comments, scripts). Template texts are dropped
@@ -180,44 +179,26 @@ def templates(pages: DataFrame) -> DataFrame:
     return seen.join(valid, ["host", "vector"]).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("template"))
 
 
-def slots(html: str, template: frozenset[int]) -> Iterator[tuple[int, str | None, Element]]:
-    """(slot, text or None for a break, element): what is left beside the template's texts."""
+def slots(html: str, template: frozenset[int]) -> Iterator[tuple[str | None, Element]]:
+    """(text or None for a break, element): what is left beside the template's texts."""
     for kind, x, e in walk(html):
         if kind == "open":
             continue
         if kind == "break":
-            yield 0, None, e
+            yield None, e
         elif x.isspace():
-            yield 0, " ", e
+            yield " ", e
         elif e.article or _text_token(x, e) not in template:
-            yield e.place if e.place in template else 0, x, e
-
-
-def _within(e: Element | None, place: int) -> bool:
-    while e is not None:
-        if e.place == place:
-            return True
-        e = e.parent
-    return False
+            yield x, e
 
 
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text: its article's, or its largest slot's if it has no article."""
-    parts: list[tuple[int, str | None, Element]] = [p for p in slots(html, template) if not p[2].furniture]
-    if any(e.article for _, x, e in parts if x and not x.isspace()):
-        parts = [p for p in parts if p[2].article]
-    elif template:
-        mass: Counter = Counter()
-        for slot, x, _ in parts:
-            if x and not x.isspace():
-                mass[slot] += len(x)
-        if mass:
-            # the slot's element is one block of its container: all of that is the main text
-            slot = mass.most_common(1)[0][0]
-            inside = Counter(e.parent.place if e.parent else e.place for at, x, e in parts if at == slot and x and not x.isspace()).most_common(1)[0][0]
-            parts = [p for p in parts if p[1] is None or p[1].isspace() or _within(p[2], inside)]
+    """The page's main text: its article's, or all its slots' if it has no article."""
+    parts: list[tuple[str | None, Element]] = [p for p in slots(html, template) if not p[1].furniture]
+    if any(e.article for x, e in parts if x and not x.isspace()):
+        parts = [p for p in parts if p[1].article]
     blocks, block = [], []
-    for _, x, _e in parts:
+    for x, _ in parts:
         if x is None:
             blocks.append("".join(block))
             block = []
