@@ -163,6 +163,13 @@ def test_language(spark):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held) and sum(r.rejected for r in out) <= 0.01 * len(out)
 
 
+def test_every_language_is_learned(spark):
+    rows = [(3 * i + j, f"{chr(0x4E00 + 7 * i)}{chr(0x4E01 + 7 * i)} " * 9, f"l{i:03}") for i in range(120) for j in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {r[2] for r in rows}
+    assert language_id.predict(model, [r[1] for r in rows])[0] == [r[2] for r in rows]
+
+
 def test_language_edges(spark, docs, texts):
     out = {r.doc_id: r for r in language_id.identify(docs).collect()}
     assert set(out) == set(texts) and all(0 <= r.score <= 1 for r in out.values())

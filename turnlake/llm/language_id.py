@@ -7,8 +7,8 @@ centroid with the highest cosine. It is rejected where its distance exceeds what
 all training texts of that centroid have, by a margin that shrinks with the text's length.
 
 The classifier is fitted on at most SAMPLE texts per language, those with the lowest hash
-of doc_id among the rows allowed for training; at most LANGUAGES languages, the most
-frequent. Everything else covers all rows, and whole texts.
+of doc_id among the rows allowed for training; every language is learned, BLOCK of them
+at a time. Everything else covers all rows, and whole texts.
 
 Edge cases: null text or text without a letter is ``und`` with score 0, and rejected;
 without any training row all texts are ``und``; other columns are ignored.
@@ -29,7 +29,8 @@ from turnlake.llm.common import materialize, small_batches
 
 BITS = 12
 SAMPLE = 600
-LANGUAGES = 100
+#: Languages whose sampled vectors are held at once.
+BLOCK = 32
 CENTROIDS = 3
 #: A centroid's radius: this quantile of its training texts' distances, times SLACK.
 RADIUS_QUANTILE, SLACK = 0.99, 1.5
@@ -78,10 +79,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def fit(vectors: np.ndarray, languages: list[str], k: int = CENTROIDS) -> Model:
-    """vectors: counts of the training texts."""
-    df = (vectors > 0).sum(axis=0)
-    idf = (np.log((1 + len(vectors)) / (1 + df)) + 1).astype(np.float32)
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+
+def fit(vectors: np.ndarray, languages: list[str], k: int = CENTROIDS, idf: np.ndarray | None = None) -> Model:
+    """vectors: counts of the training texts; idf: of more texts than these, if given."""
+    if idf is None:
+        idf = _idf(len(vectors), (vectors > 0).sum(axis=0))
     unit = _unit(np.sqrt(vectors) * idf)
     names, cents, radii = [], [], []
     for lang in sorted(set(languages)):
@@ -97,7 +102,7 @@ def fit(vectors: np.ndarray, languages: list[str], k: int = CENTROIDS) -> Model:
         names += [lang] * len(c)
         cents.append(c)
         radii += [max(whole, np.quantile(far[of == i], RADIUS_QUANTILE) if (of == i).any() else 0) for i in range(len(c))]
-    return Model(idf, names, np.concatenate(cents).astype(np.float32), np.array(radii))
+    return Model(idf, names, np.concatenate(cents or [np.zeros((0, 1 << BITS))]).astype(np.float32), np.array(radii))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
@@ -124,22 +129,37 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows (doc_id, text, lang): per language the sample texts with the lowest hashes."""
     small_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return Model(np.ones(1 << BITS, np.float32), [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
     # a hash limit per language that lets about 1.2 samples through
-    limits = F.create_map(*(x for r in per for x in (F.lit(r.lang), F.lit(min(2**32, int(1.2 * sample / r.n * 2**32) + 1)))))
-    some = rows.where(F.col("h") < F.try_element_at(limits, "lang")).select("lang", "h", "doc_id", arrow_udf(_counted, "binary")("text").alias("v"))
-    got = materialize(some).collect()  # at most about 1.2 x SAMPLE per language, 4 << BITS bytes each
-    got.sort(key=lambda r: (r.lang, r.h, r.doc_id))
-    kept, seen = [], {}
-    for r in got:
-        seen[r.lang] = seen.get(r.lang, 0) + 1
-        if seen[r.lang] <= sample:
-            kept.append(r)
-    vectors = np.stack([np.frombuffer(r.v, np.float32) for r in kept])
-    full = vectors.sum(axis=1) > 0
-    return fit(vectors[full], [r.lang for r, f in zip(kept, full, strict=True) if f])
+    limits = rows.sparkSession.createDataFrame([(k, min(2**32, int(1.2 * sample / n * 2**32) + 1)) for k, n in per.items()], "lang string, most long")
+    some = rows.join(F.broadcast(limits), "lang").where("h < most").select("lang", "h", "doc_id", arrow_udf(_counted, "binary")("text").alias("v"))
+    some, names = materialize(some), sorted(per)
+
+    def block(at: int) -> tuple[np.ndarray, list[str]]:
+        """Sampled vectors that are not empty, and their languages: about 1.2 x sample x BLOCK are collected."""
+        got = some.where(F.col("lang").isin(names[at : at + BLOCK])).collect()
+        got.sort(key=lambda r: (r.lang, r.h, r.doc_id))
+        kept, seen = [], {}
+        for r in got:
+            seen[r.lang] = seen.get(r.lang, 0) + 1
+            if seen[r.lang] <= sample:
+                kept.append(r)
+        vectors = np.stack([np.frombuffer(r.v, np.float32) for r in kept])
+        full = vectors.sum(axis=1) > 0
+        return vectors[full], [r.lang for r, f in zip(kept, full, strict=True) if f]
+
+    starts = range(0, len(names), BLOCK)
+    if len(starts) == 1:
+        vectors, langs = block(0)
+        return fit(vectors, langs)
+    n, df = 0, np.zeros(1 << BITS, np.int64)  # over all blocks, then each is fitted with them
+    for at in starts:
+        vectors, _ = block(at)
+        n, df = n + len(vectors), df + (vectors > 0).sum(axis=0)
+    parts = [fit(*block(at), idf=_idf(n, df)) for at in starts]
+    return Model(_idf(n, df), [x for p in parts for x in p.languages], np.concatenate([p.centroids for p in parts]), np.concatenate([p.radii for p in parts]))
 
 
 def identified(model: Model) -> Column:
