@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,11 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="turnlake-local-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temp folder only where that is unset."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a session whose executors
+    run in the driver's process uses a temp folder of its own; a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="turnlake-test-")
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/turnlake-{uuid.uuid4().hex}"
 
 
@@ -47,9 +61,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows a Python worker holds at once; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows that a Python worker gets at once: texts can be long.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to BATCH_ROWS where it is larger. Spark reads it when a
+    plan runs, so it must stay set; it is the same for every operator, and a session that
+    sets a smaller size itself keeps it."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def by_group(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], tuple | None], schema: str) -> DataFrame:

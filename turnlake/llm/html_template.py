@@ -1,20 +1,26 @@
 """Main text of pages by equivalence-class template deduction.
 
-Pages of a host come from templates. A token is a tag or a text in its place (the path of
-open elements with their class and id words). Tokens that occur equally often on the same
-pages of a host share an occurrence vector, and so an equivalence class; vectors are
-compared by a fingerprint that is a plain XOR aggregate, so a host of any size is summed
-where its pages lie. Valid classes (several tokens, enough pages) nest by their page sets
-into the host's template. What a page has beside template tokens fills the template's
-slots. A page's main slot is its article element, or else all slots together.
-
-A page's text is that of its main slot without elements that are furniture by role
-(navigation, forms, adverts, notices, comments, scripts). Template texts are dropped
-outside articles only: articles may quote each other.
-
-Edge cases: null html is an empty page; a null or odd URL is its own host; a page of a
-host without a template uses its own structure; repeated rows repeat (and count as one
-page in vectors if page_id repeats an even number of times); other columns are ignored.
+Pages of a host come from templates. A token is an element in its place: the path of open
+elements with their class, id and role names, digits left out. Tokens that occur equally
+often on the same pages of a host share an occurrence vector and so an equivalence class.
+Vectors are compared by two sums of page hashes, so a host of any size is a plain
+aggregate, and repeated pages do not cancel. A class is valid with several tokens on
+enough pages; classes nest where their tokens lie: all of a class's outer tokens must lie
+in one class on at least as many pages. What nests in order is the host's template.
+
+An element of the template is a slot where its text differs between pages. The main slot
+is found from the root down: into the inner slot that holds nearly all page-specific text, or
+into one for each layout of the host, as long as no page-specific heading stays outside. An
+article or main element is a cue: it may hold less of the text, and the search ends there. A page's text is what its main slot holds, without elements that
+are furniture by role (navigation, forms, adverts, comments, scripts) and without named
+blocks that say the same on most pages of the host. Other repeated text stays: articles
+may quote each other. A page of a host without a template is treated as a template of its
+own, all of whose text is page-specific.
+
+Edge cases: null html is an empty page with text ''; a null or odd URL is a host of its
+own; tags left open, closed twice or nested to any depth cost time in proportion; a host
+whose pages are all the same keeps its main slot by length; repeated rows and repeated
+page_ids repeat; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,96 +37,195 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from turnlake.llm.common import materialize, small_batches
+from turnlake.llm.common import bounded_batches, materialize
 
 #: A class is valid with so many tokens, on so many pages and on this share of the host's.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 3, 0.3
+#: Of the page-specific text around it, what an inner slot must hold to be the main one; as an article.
+MAIN_SHARE, ARTICLE_SHARE = 0.8, 0.5
+#: A named block that says the same on this share of the main slot's pages is template.
+CONSTANT_SHARE = 0.5
 
-#: Elements and class or id words of page furniture; fixed values.
+#: Elements and whole class, id or role names of page furniture; fixed values.
 FURNITURE_TAGS = frozenset("aside button datalist dialog footer form header iframe menu nav noscript object select style script svg template textarea title head".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+FURNITURE_NAMES = frozenset(
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies cookie-banner cookie-consent cookie-notice consent disqus gdpr modal nav navbar navigation newsletter popup promo promoted related related-articles related-posts share sharing sidebar signup social social-share sponsor sponsored subscribe toolbar widget".split()
 )
-ARTICLE_TAGS = ("article", "main")
+#: Furniture outside articles only.
+OUTER_NAMES = frozenset("banner footer header login masthead menu notice notices search site-footer site-header".split())
+ARTICLE_TAGS = frozenset(("article", "main"))
+CONTAINERS = frozenset("#root html body div main section article center table tbody tr td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening tag closes these open elements first.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {
-    t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {
+    t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()
 }
+#: Closing tags of inline elements, paragraphs and list items do not reach beyond these.
 _STOP = frozenset(("article", "aside", "body", "div", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "table", "td", "th", "ul"))
+_SCOPED = INLINE | {"p", "li"}
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+_MASK = (1 << 31) - 1
 
+CONTAINER, ARTICLE, HEADING, NAMED, FURNITURE = 1, 2, 4, 8, 16
 
-class Element:
-    """An open element: its tag, its place as a path hash, and whether it is furniture or in an article."""
 
-    __slots__ = ("tag", "place", "furniture", "article", "parent")
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 
-    def __init__(self, tag: str, rest: str, parent: Element | None):
-        words = []
-        if rest and "=" in rest:
-            for m in _NAMES.finditer(rest):
-                words += _WORDS.findall((m[1] or m[2] or m[3] or "").lower())
-        words = [w for w in words if not w.isdigit()]
-        self.tag, self.parent = tag, parent
-        self.place = _hash(f"{parent.place if parent else 0}/{tag}.{'.'.join(sorted(words))}")
-        self.article = bool(parent and parent.article) or tag in ARTICLE_TAGS
-        own = tag in FURNITURE_TAGS and not (tag == "header" and parent is not None and parent.article)
-        named = tag not in ("html", "body", *ARTICLE_TAGS) and not FURNITURE_WORDS.isdisjoint(words)
-        self.furniture = bool(parent and parent.furniture) or own or named
 
+class Page:
+    """A page's elements in document order and its pieces of text (None: a block's border).
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
+    An element holds pieces first to last; kind is a set of the bits above."""
 
+    __slots__ = ("tags", "places", "parents", "depths", "kinds", "in_article", "first", "last", "pieces", "owners")
 
-def walk(html: str) -> Iterator[tuple[str, object, Element]]:
-    """("open", element, element), ("text", raw text, its element) and ("break", None, element)."""
-    stack = [Element("#root", "", None)]
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            yield "text", html[at:], stack[-1]
-            return
-        if m.start() > at:
-            yield "text", html[at : m.start()], stack[-1]
-        at = m.end()
-        if not m["name"]:
-            continue
-        tag = m["name"].lower()
-        if m["close"]:
-            if tag not in INLINE:
-                yield "break", None, stack[-1]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE | {"p", "li"} and stack[k].tag in _STOP:
-                    break
-            continue
-        if tag not in INLINE:
-            yield "break", None, stack[-1]
-        for k in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[k].tag in CLOSES[tag]:
-                del stack[k:]
-                break
-            if stack[k].tag in _STOP:
+    def __init__(self, html: str):
+        self.tags: list[str] = []
+        self.places: list[int] = []
+        self.parents: list[int] = []
+        self.depths: list[int] = []
+        self.kinds: list[int] = []
+        self.in_article: list[bool] = []
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.pieces: list[str | None] = []
+        self.owners: list[int] = []
+        self._parse(html)
+
+    def _open(self, tag: str, rest: str, parent: int) -> int:
+        names = []
+        if rest and "=" in rest:
+            for m in _NAMES.finditer(rest):
+                names += (m[1] or m[2] or m[3] or "").lower().split()
+        names = sorted(n for n in (_DIGITS.sub("", x) for x in names) if n)
+        inside = parent >= 0 and self.in_article[parent]
+        kind = CONTAINER if tag in CONTAINERS else 0
+        if tag in ARTICLE_TAGS:
+            kind |= ARTICLE
+        elif tag in ("h1", "h2"):
+            kind |= HEADING
+        if names and tag not in INLINE and tag not in ("html", "body"):
+            kind |= NAMED
+        own = tag in FURNITURE_TAGS and not (tag == "header" and inside)
+        if not own and tag not in ("html", "body") and tag not in ARTICLE_TAGS:
+            own = any(n in FURNITURE_NAMES or (n in OUTER_NAMES and not inside) for n in names)
+        if own or (parent >= 0 and self.kinds[parent] & FURNITURE):
+            kind |= FURNITURE
+        self.tags.append(tag)
+        self.places.append(_hash(f"{self.places[parent] if parent >= 0 else 0}/{tag}.{'.'.join(names)}"))
+        self.parents.append(parent)
+        self.depths.append(self.depths[parent] + 1 if parent >= 0 else 0)
+        self.kinds.append(kind)
+        self.in_article.append(inside or tag in ARTICLE_TAGS)
+        self.first.append(len(self.pieces))
+        self.last.append(len(self.pieces))
+        return len(self.tags) - 1
+
+    def _parse(self, html: str) -> None:
+        stack = [self._open("#root", "", -1)]
+        where: dict[str, list[int]] = defaultdict(list)  # tag -> places of its open elements in the stack
+        stops: list[int] = []
+
+        def close(k: int) -> None:
+            while len(stack) > k:
+                e = stack.pop()
+                self.last[e] = len(self.pieces)
+                where[self.tags[e]].pop()
+                if self.tags[e] in _STOP:
+                    stops.pop()
+
+        def piece(x: str | None) -> None:
+            self.pieces.append(x)
+            self.owners.append(stack[-1])
+
+        at, n = 0, len(html)
+        while at < n:
+            m = _TAG.search(html, at)
+            if m is None:
+                piece(html[at:])
                 break
-        e = Element(tag, m["rest"], stack[-1])
-        yield "open", e, e
-        if tag in VOID or m["rest"].rstrip().endswith("/"):
-            continue
-        if tag in RAW:
-            end = _raw_end(tag)(html, at)
-            at = end.end() if end else n
-            continue
-        stack.append(e)
+            if m.start() > at:
+                piece(html[at : m.start()])
+            at = m.end()
+            if not m["name"]:
+                continue
+            tag = m["name"].lower()
+            if tag not in INLINE:
+                piece(None)
+            stop = stops[-1] if stops else 0
+            if m["close"]:
+                if where[tag] and not (tag in _SCOPED and where[tag][-1] < stop):
+                    close(where[tag][-1])
+                continue
+            if tag in CLOSES:
+                k = max((where[t][-1] for t in CLOSES[tag] if where[t]), default=0)
+                if k and k >= stop:
+                    close(k)
+            e = self._open(tag, m["rest"], stack[-1])
+            if tag in VOID or m["rest"].rstrip().endswith("/"):
+                continue
+            if tag in RAW:
+                end = _raw_end(tag)(html, at)
+                at = end.end() if end else n
+                continue
+            where[tag].append(len(stack))
+            if tag in _STOP:
+                stops.append(len(stack))
+            stack.append(e)
+        close(0 + 1)
+        self.last[0] = len(self.pieces)
+
+    def seen(self) -> dict[int, list]:
+        """place -> [times, hash of its text, characters without furniture, parent's place, depth, kind],
+        parents first; what lies inside furniture is left out."""
+        sums, chars, s, c = [0], [0], 0, 0
+        for x, o in zip(self.pieces, self.owners):
+            if x and not x.isspace():
+                words = " ".join(x.split())
+                s = (s + _hash(words)) & _MASK
+                if not self.kinds[o] & FURNITURE:
+                    c += len(words)
+            sums.append(s)
+            chars.append(c)
+        out: dict[int, list] = {}
+        for e, place in enumerate(self.places):
+            p = self.parents[e]
+            if p >= 0 and self.kinds[p] & FURNITURE:
+                continue
+            a, b = self.first[e], self.last[e]
+            row = out.get(place)
+            if row is None:
+                row = out[place] = [0, 0, 0, self.places[p] if p >= 0 else 0, self.depths[e], self.kinds[e]]
+            row[0] += 1
+            row[1] = (row[1] + sums[b] - sums[a]) & _MASK
+            row[2] += chars[b] - chars[a]
+        return out
+
+    def text(self, mains: list[int], constants: frozenset[int]) -> str:
+        """The text of the first of mains that the page has."""
+        at = {}
+        for e, place in enumerate(self.places):
+            at.setdefault(place, e)
+        main = next((at[p] for p in mains if p in at), 0)
+        skip = []
+        for e, p in enumerate(self.parents):
+            skip.append(bool(p >= 0 and skip[p]) or bool(self.kinds[e] & FURNITURE) or (self.places[e] in constants and e != main))
+        blocks, block = [], []
+        for k in range(self.first[main], self.last[main]):
+            x, o = self.pieces[k], self.owners[k]
+            if x is None:
+                blocks.append("".join(block))
+                block = []
+            elif not skip[o]:
+                block.append(entities.unescape(x))
+        blocks.append("".join(block))
+        return " ".join(t for b in blocks if (t := " ".join(b.split())))
 
 
 @functools.cache
@@ -128,99 +233,166 @@ def _raw_end(tag: str):
     return re.compile(rf"</{tag}\s*>", re.I).search
 
 
-def _texts(html: str) -> Iterator[tuple[str, Element]]:
-    for kind, x, e in walk(html):
-        if kind == "text" and not x.isspace():
-            yield x, e
+def tokens(html: str) -> Counter:
+    """token -> how often the page has it."""
+    return Counter({place: row[0] for place, row in Page(html).seen().items()})
 
 
-def _text_token(text: str, e: Element) -> int:
-    return _hash(f"{e.place}#{' '.join(text.split())}")
+class Token:
+    """A place over all pages of a host (or of one page)."""
 
+    __slots__ = ("place", "parent", "depth", "kind", "cls", "pages", "most", "chars", "varies")
 
-def tokens(html: str) -> Counter:
-    """token -> how often the page has it."""
-    out: Counter = Counter()
-    for kind, x, e in walk(html):
-        if kind == "open":
-            out[e.place] += 1
-        elif kind == "text" and not x.isspace() and not e.article:
-            out[_text_token(x, e)] += 1
-    return out
+    def __init__(self, place: int, parent: int, depth: int, kind: int, cls: object, pages: int, most: int, chars: int, varies: bool):
+        self.place, self.parent, self.depth, self.kind, self.cls = place, parent, depth, kind, cls
+        self.pages, self.most, self.chars, self.varies = pages, most, chars, varies
+
+
+def nested(tokens: list[Token]) -> list[Token]:
+    """The tokens, parents first, of valid classes that nest in order."""
+    tokens = sorted(tokens, key=lambda t: (t.depth, t.place))
+    size = Counter(t.cls for t in tokens)
+    by = {t.place: t for t in tokens}
+    around: dict[int, object] = {}  # place -> the nearest valid class of its ancestors, but its own
+    outer: dict[object, set] = defaultdict(set)
+    for t in tokens:
+        p = by.get(t.parent)
+        if p is None:
+            around[t.place] = None
+        else:
+            around[t.place] = around[p.place] if size[p.cls] < LEAST_TOKENS or p.cls == t.cls else p.cls
+        if p is None or p.cls != t.cls:
+            outer[t.cls].add(around[t.place])
+    pages = {t.cls: t.pages for t in tokens}
+    good = {c for c in size if size[c] >= LEAST_TOKENS and len(outer[c]) == 1 and all(o is None or pages[o] >= pages[c] for o in outer[c])}
+    return [t for t in tokens if t.cls in good]
+
+
+def slots(template: list[Token]) -> tuple[list[int], list[int]]:
+    """Main slots, inner ones first, and blocks that say the same on most of their pages.
+    template: tokens, parents first."""
+    if not template:
+        return [], []
+    some = any(t.varies for t in template)
+    weight = {t.place: t.chars if t.varies or not some else 0 for t in template}
+    by = {t.place: t for t in template}
+    near: dict[int, int | None] = {}  # place -> nearest container that holds it
+    inside: dict[int, list[Token]] = defaultdict(list)
+    headings: Counter = Counter()  # container -> pages of headings in it
+    roots: list[Token] = []
+    is_slot = lambda t: t.kind & CONTAINER and not t.kind & FURNITURE and t.most == 1
+    for t in template:
+        p = by.get(t.parent)
+        near[t.place] = None if p is None else (p.place if is_slot(p) else near[p.place])
+        if is_slot(t):
+            up = near[t.place]
+            (roots if up is None else inside[up]).append(t)
+    for t in reversed(template):
+        up = near[t.place]
+        if up is not None:
+            if t.kind & HEADING and not t.kind & FURNITURE and (t.varies or not some):
+                headings[up] += t.pages
+            elif is_slot(t):
+                headings[up] += headings[t.place]
+    order: list[Token] = []
+    todo = sorted(roots, key=lambda t: weight[t.place])
+    while todo:
+        c = todo.pop()
+        order.append(c)
+        if c.kind & ARTICLE:
+            continue
+        # inner slots that no page has two of, the fullest first: one, or one for each layout
+        into: list[Token] = []
+        for k in sorted(inside[c.place], key=lambda t: -weight[t.place]):
+            if weight[k.place] and sum(x.pages for x in into) + k.pages <= c.pages:
+                into.append(k)
+        articles = all(k.kind & ARTICLE for k in into)
+        held, apart = sum(weight[k.place] for k in into), headings[c.place] - sum(headings[k.place] for k in into)
+        beside = apart > c.pages - sum(k.pages for k in into)  # a heading beside them on their pages
+        if held and held >= (ARTICLE_SHARE if articles else MAIN_SHARE) * weight[c.place] and (articles or not beside):
+            todo += into
+    mains = [t.place for t in reversed(order)]
+    first = by[mains[0]]
+    same = [t.place for t in template if t.kind & NAMED and not t.varies and t.chars and t.pages >= max(LEAST_PAGES, CONSTANT_SHARE * first.pages)] if first.varies else []
+    return mains, same
+
+
+def own_slots(page: Page) -> list[int]:
+    """The main slots of a page without a template."""
+    return slots([Token(place, r[3], r[4], r[5], None, 1, r[0], r[2], True) for place, r in page.seen().items()])[0]
+
+
+def main_text(html: str, mains: list[int] | None = None, constants: frozenset[int] = frozenset()) -> str:
+    """The page's main text; without mains by its own structure alone."""
+    page = Page(html)
+    return page.text(own_slots(page) if not mains else mains, constants)
 
 
 def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))), F.concat(F.lit("?"), F.coalesce(url, F.lit(""))))
 
 
+#: Per (host, token): sums of two hashes of (page, times) over its pages, and what slots() asks.
+SEEN = "host string, token long, a long, b long, pages long, most long, lo long, hi long, chars long, parent long, depth long, kind long"
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and (host, token): XOR of hashes of (page, count), and pages."""
+    """Per batch and (host, token) the row of SEEN."""
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        for page, host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for token, n in tokens(html.as_py() or "").items():
-                s = sums.setdefault((host, token), [0, 0])
-                s[0] ^= _hash(f"{page}:{n}")
-                s[1] += 1
-        cols = [[k[0] for k in sums], [k[1] for k in sums], [v[0] for v in sums.values()], [v[1] for v in sums.values()]]
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "token", "vector", "pages"])
+        rows: dict[tuple[str, int], list[int]] = {}
+        for host, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            html = x.as_py() or ""
+            page = _hash(html)
+            for token, (n, text, chars, parent, depth, kind) in Page(html).seen().items():
+                h = _hash(f"{page}:{n}")
+                r = rows.get((host, token))
+                if r is None:
+                    rows[host, token] = [h & _MASK, h >> 31 & _MASK, 1, n, text, text, chars, parent, depth, kind]
+                else:
+                    r[0] += h & _MASK
+                    r[1] += h >> 31 & _MASK
+                    r[2] += 1
+                    r[3], r[4], r[5] = max(r[3], n), min(r[4], text), max(r[5], text)
+                    r[6] += chars
+        cols = [[k[0] for k in rows], [k[1] for k in rows], *(list(c) for c in zip(*rows.values()))] if rows else [[]] * 12
+        names = [f.split()[0] for f in SEEN.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(cols)], names)
+
+
+def _deduced(tokens: pa.Array) -> pa.Array:
+    out = []
+    for rows in tokens.to_pylist():
+        t = nested([Token(r["token"], r["parent"], r["depth"], r["kind"], (r["a"], r["b"], r["pages"]), r["pages"], r["most"], r["chars"], r["lo"] != r["hi"]) for r in rows])
+        mains, same = slots(t)
+        out.append({"template": [x.place for x in t], "mains": mains, "constants": same})
+    longs = pa.list_(pa.int64())
+    return pa.array(out, pa.struct([("template", longs), ("mains", longs), ("constants", longs)]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(page_id, host, html) to (host, template): the host's template tokens, an array of longs."""
-    small_batches(pages.sparkSession, 200)
-    seen = pages.select("page_id", "host", "html").mapInArrow(_vectors, "host string, token long, vector long, pages long")
-    seen = materialize(seen.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES))
-    all_pages = seen.groupBy("host").agg(F.max("pages").alias("n"))  # the root elements are on every page
-    classes = seen.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).join(all_pages, "host")
-    valid = classes.where((F.col("size") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_SHARE * F.col("n"))).select("host", "vector")
-    # a class nests in those on more pages; together they are the template
-    return seen.join(valid, ["host", "vector"]).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("template"))
-
-
-def slots(html: str, template: frozenset[int]) -> Iterator[tuple[str | None, Element]]:
-    """(text or None for a break, element): what is left beside the template's texts."""
-    for kind, x, e in walk(html):
-        if kind == "open":
-            continue
-        if kind == "break":
-            yield None, e
-        elif x.isspace():
-            yield " ", e
-        elif e.article or _text_token(x, e) not in template:
-            yield x, e
-
-
-def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text: its article's, or all its slots' if it has no article."""
-    parts: list[tuple[str | None, Element]] = [p for p in slots(html, template) if not p[1].furniture]
-    if any(e.article for x, e in parts if x and not x.isspace()):
-        parts = [p for p in parts if p[1].article]
-    blocks, block = [], []
-    for x, _ in parts:
-        if x is None:
-            blocks.append("".join(block))
-            block = []
-        else:
-            block.append(entities.unescape(x))
-    blocks.append("".join(block))
-    return " ".join(t for b in blocks if (t := " ".join(b.split())))
+    """(host, html) to (host, template, mains, constants) of the hosts that have a template:
+    its tokens, its main slots and its constant blocks. A host's tokens on a given share of
+    its pages are no more than a page's tokens divided by that share, so a list stays small."""
+    bounded_batches(pages.sparkSession)
+    seen = pages.select("host", "html").mapInArrow(_vectors, SEEN).groupBy("host", "token").agg(
+        *(F.sum(c).alias(c) for c in ("a", "b", "pages", "chars")), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.max(c).alias(c) for c in ("most", "parent", "depth", "kind"))
+    )
+    seen = materialize(seen.where(F.col("pages") >= LEAST_PAGES))
+    all_pages = seen.groupBy("host").agg(F.max("pages").alias("n"))  # the root is on every page
+    shared = seen.join(all_pages, "host").where(F.col("pages") >= LEAST_SHARE * F.col("n")).drop("n")
+    one = F.struct(*(c for c in shared.columns if c != "host"))
+    found = shared.groupBy("host").agg(F.collect_list(one).alias("tokens"))
+    return found.select("host", arrow_udf(_deduced, "struct<template: array<long>, mains: array<long>, constants: array<long>>")("tokens").alias("t")).select("host", "t.*").where(F.size("mains") > 0)
 
 
-def _extracted(html: pa.Array, template: pa.Array) -> pa.Array:
-    last, as_set, out = None, frozenset(), []
-    for x, t in zip(html, template.to_pylist(), strict=True):
-        if t != last:
-            last, as_set = t, frozenset(t or ())
-        out.append(main_text(x.as_py() or "", as_set))
-    return pa.array(out, pa.string())
+def _extracted(html: pa.Array, mains: pa.Array, constants: pa.Array) -> pa.Array:
+    return pa.array([main_text(x.as_py() or "", m, frozenset(c or ())) for x, m, c in zip(html, mains.to_pylist(), constants.to_pylist(), strict=True)], pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = materialize(templates(rows)).withColumnRenamed("host", "h")
-    small_batches(pages.sparkSession, 200)
-    joined = rows.join(found, rows["host"] == found["h"], "left")  # broadcast if small, else a join that splits hot hosts
-    return joined.select("page_id", "url", arrow_udf(_extracted, "string")("html", "template").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = materialize(templates(rows).select(F.col("host").alias("h"), "mains", "constants"))
+    bounded_batches(pages.sparkSession)
+    joined = rows.join(found, rows["host"] == found["h"], "left")  # a few numbers a host: broadcast if small, else a join that splits hot hosts
+    return joined.select("page_id", "url", arrow_udf(_extracted, "string")("html", "mains", "constants").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from turnlake.llm.common import materialize, small_batches
+from turnlake.llm.common import materialize, bounded_batches
 
 BITS = 12
 SAMPLE = 600
@@ -127,7 +127,7 @@ def _counted(text: pa.Array) -> pa.Array:
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows (doc_id, text, lang): per language the sample texts with the lowest hashes."""
-    small_batches(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
@@ -180,7 +180,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """Train on the rows not held out; judge all: doc_id, held_out, lang_pred, score, rejected."""
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     model = train(docs.where(~held).select("doc_id", "text", "lang"))
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", held.alias("held_out"), identified(model).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.rejected")
 
 
@@ -188,5 +188,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     model = train(docs.where(~held).select("doc_id", "text", "lang"))
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("_p", identified(model)).where(~F.col("_p.rejected")).drop("_p")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import by_group, components, discard, materialize, small_batches
+from turnlake.llm.common import by_group, components, discard, materialize, bounded_batches
 
 WIDTH = 5
 SIMILAR = (75, 100)
@@ -237,7 +237,7 @@ def _with_component(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id, kept; one row per input row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     signed = materialize(texts.mapInArrow(_sign, SIGNED))
     with_set = signed.where("n_shingles > 0 and doc_id is not null")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from turnlake.llm.common import materialize, small_batches
+from turnlake.llm.common import materialize, bounded_batches
 
 BITS = 18
 SAMPLE = 8000
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     graded = labels.where("doc_id is not null").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
     h = F.xxhash64("doc_id", F.lit("quality"))
     some = materialize(graded.dropDuplicates(["doc_id"]).orderBy(h, "doc_id").limit(sample))  # the bound: SAMPLE rows of two numbers
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(text: pa.Array) -> pa.Array:
         rows = [features(x.as_py()) for x in text]
@@ -161,7 +161,7 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 4 << BITS bytes
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(text: pa.Array) -> pa.Array:
         m = shared.value

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from turnlake.llm.common import small_batches
+from turnlake.llm.common import bounded_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "url")
@@ -189,7 +189,7 @@ def _redacted(text: pa.Array) -> pa.Array:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, counts of base spans, their digest and all spans."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", arrow_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.*")
 
 
@@ -199,6 +199,6 @@ def redacted(text: Column | str) -> Column:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn("text", redacted("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import WORD, shared_dir, small_batches
+from turnlake.llm.common import WORD, shared_dir, bounded_batches
 from turnlake.llm.tokenizing import default_path, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -100,7 +100,7 @@ def bpe_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             n = pa.array([len(enc.ids(t.as_py() or "")) // 4 for t in b.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], n], ["doc_id", "source", "lang", "tokens"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, tokens long")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import by_group, components, discard, materialize, small_batches
+from turnlake.llm.common import by_group, components, discard, materialize, bounded_batches
 
 LEAST_COSINE = 0.98
 TREES = 6
@@ -155,7 +155,7 @@ def _compare(g: dict[str, np.ndarray]) -> tuple | None:
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding, label) to vec_id, n_links, component_id, kept; one row per input row."""
     spark = vectors.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     finite = "size(embedding) > 0 and forall(embedding, x -> x is not null and x = x and abs(x) < double('inf') and not isnan(x)) and exists(embedding, x -> x <> 0)"
     usable = rows.where("label is not null and vec_id is not null and embedding is not null").where(finite)
