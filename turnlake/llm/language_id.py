@@ -11,7 +11,8 @@ of doc_id among the rows allowed for training; every language is learned, BLOCK
 at a time. Everything else covers all rows, and whole texts.
 
 Edge cases: null text or text without a letter is ``und`` with score 0, and rejected;
-without any training row all texts are ``und``; other columns are ignored.
+without any training row all texts are ``und``; languages with one text have one centroid;
+repeated rows repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from turnlake.llm.common import materialize, bounded_batches
+from turnlake.llm.common import bounded_batches, materialize
 
 BITS = 12
 SAMPLE = 600
 #: Languages whose sampled vectors are held at once.
 BLOCK = 32
 CENTROIDS = 3
+#: k-means: starts, steps, the least share of a language's texts that a centroid stands for.
+RESTARTS, STEPS, LEAST_CLUSTER, SEED = 4, 10, 0.05, 3
 #: A centroid's radius: this quantile of its training texts' distances, times SLACK.
 RADIUS_QUANTILE, SLACK = 0.99, 1.5
 UNKNOWN = "und"
@@ -83,6 +86,30 @@ def _idf(n: int, df: np.ndarray) -> np.ndarray:
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
 
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the rows, each drawn by its distance from those before it."""
+    c = x[[rng.integers(len(x))]]
+    while len(c) < k:
+        far = np.maximum(1 - (x @ c.T).max(axis=1), 0)
+        c = np.r_[c, x[[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]]]
+    return c
+
+
+def clustered(x: np.ndarray, k: int) -> np.ndarray:
+    """Centroids of at most k clusters of unit rows by spherical k-means: the best of RESTARTS
+    by mean cosine, in each of which clusters under LEAST_CLUSTER of the rows are given up."""
+    best, rng = (-2.0, None), np.random.default_rng(SEED)
+    for _ in range(RESTARTS):
+        c = _spread(x, min(k, len(x)), rng)
+        for _ in range(STEPS):
+            of = (x @ c.T).argmax(axis=1)
+            n = np.bincount(of, minlength=len(c))
+            good = np.flatnonzero(n >= max(1, LEAST_CLUSTER * len(x)))
+            c = np.stack([_unit(x[of == i].mean(axis=0)) for i in (good if len(good) else [n.argmax()])])
+        best = max(best, (float((x @ c.T).max(axis=1).mean()), c), key=lambda b: b[0])
+    return best[1]
+
+
 def fit(vectors: np.ndarray, languages: list[str], k: int = CENTROIDS, idf: np.ndarray | None = None) -> Model:
     """vectors: counts of the training texts; idf: of more texts than these, if given."""
     if idf is None:
@@ -91,12 +118,7 @@ def fit(vectors: np.ndarray, languages: list[str], k: int = CENTROIDS, idf: np.n
     names, cents, radii = [], [], []
     for lang in sorted(set(languages)):
         x = unit[[i for i, v in enumerate(languages) if v == lang]]
-        c = _unit(x.mean(axis=0, keepdims=True))
-        while len(c) < min(k, len(x)):  # farthest text first, then k-means
-            c = np.r_[c, x[[np.argmin((x @ c.T).max(axis=1))]]]
-        for _ in range(10):
-            of = (x @ c.T).argmax(axis=1)
-            c = np.stack([_unit(x[of == i].mean(axis=0)) if (of == i).any() else c[i] for i in range(len(c))])
+        c = clustered(x, k)
         of, far = (x @ c.T).argmax(axis=1), 1 - (x @ c.T).max(axis=1)
         whole = np.quantile(far, RADIUS_QUANTILE)
         names += [lang] * len(c)
@@ -162,14 +184,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(_idf(n, df), [x for p in parts for x in p.languages], np.concatenate([p.centroids for p in parts]), np.concatenate([p.radii for p in parts]))
 
 
-def identified(model: Model) -> Column:
-    """struct<lang, score, rejected> of column text."""
+def identified(model: Model, text: Column) -> Column:
+    """struct<lang, score, rejected> of texts."""
 
     def run(text: pa.Array) -> pa.Array:
         lang, score, rejected = predict(model, text.to_pylist())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
-    return arrow_udf(run, "struct<lang: string, score: double, rejected: boolean>")("text")
+    return arrow_udf(run, "struct<lang: string, score: double, rejected: boolean>")(text)
 
 
 def fold(doc_id: Column) -> Column:
@@ -181,12 +203,14 @@ def identify(docs: DataFrame) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     model = train(docs.where(~held).select("doc_id", "text", "lang"))
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", held.alias("held_out"), identified(model).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.rejected")
+    return docs.select("doc_id", held.alias("held_out"), identified(model, F.col("text")).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects."""
+    """docs, with all their columns, without those that the classifier rejects: no letters, or
+    beyond the radius of the nearest centroid."""
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     model = train(docs.where(~held).select("doc_id", "text", "lang"))
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("_p", identified(model)).where(~F.col("_p.rejected")).drop("_p")
+    beside = docs.select(F.struct("*").alias("row"), identified(model, F.col("text")).alias("p"))  # no name can clash
+    return beside.where(~F.col("p.rejected")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
