@@ -11,7 +11,9 @@ so that words of single documents are not learned by heart. A text is kept while
 probability of at least grade 2 is not under KEEP.
 
 Edge cases: null or empty text has no features and gets the intercept's grade; without
-labels every grade is 2; labels of unknown documents are ignored; repeated rows repeat.
+labels every grade is 2; labels of unknown documents are ignored; of several labels of a
+document the lowest grade counts; repeated rows repeat (and are fitted as often); a null
+doc_id is scored but not fitted; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from turnlake.llm.common import materialize, bounded_batches
+from turnlake.llm.common import bounded_batches, materialize
 
 BITS = 18
 SAMPLE = 8000
@@ -102,6 +104,23 @@ def screened(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> n
     return keep
 
 
+def loss_and_gradients(w: np.ndarray, t: np.ndarray, idx: np.ndarray, val: np.ndarray, of: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades and its gradients by the weights and by t:
+    the first threshold and the log of the gap to the second. Entry e of the texts' features
+    has index idx[e], value val[e] and belongs to text of[e]."""
+    n = len(grades)
+    score = np.bincount(of, weights=w[idx] * val, minlength=n)
+    th = np.array([t[0], t[0] + np.exp(t[1])])
+    up = np.where(grades < GRADES - 1, _sigmoid(th[np.minimum(grades, 1)] - score), 1.0)
+    lo = np.where(grades > 0, _sigmoid(th[np.maximum(grades - 1, 0)] - score), 0.0)
+    p = np.maximum(up - lo, 1e-9)
+    du, dl = up * (1 - up) / p, lo * (1 - lo) / p
+    gw = np.bincount(idx, weights=(du - dl)[of] * val, minlength=len(w)) / n
+    d0 = -((grades == 0) * du).sum() / n + ((grades == 1) * dl).sum() / n
+    d1 = -((grades == 1) * du).sum() / n + ((grades == 2) * dl).sum() / n
+    return float(-np.log(p).mean()), gw, np.array([d0 + d1, d1 * np.exp(t[1])])
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Full-batch Adam on the likelihood of the grades, with a little weight decay."""
     keep = screened(rows, grades)
@@ -113,23 +132,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: i
     w = np.zeros(size)
     share = [max(0.5, (grades <= k).sum()) / (n + 1) for k in range(GRADES - 1)]
     logit = [np.log(p / (1 - p)) for p in share]
-    t = np.array([logit[0], np.log(max(0.1, logit[1] - logit[0]))])  # first threshold, log of the gap
+    t = np.array([logit[0], np.log(max(0.1, logit[1] - logit[0]))])
     m1, m2, k1, k2 = np.zeros(size), np.zeros(size), np.zeros(2), np.zeros(2)
     for step in range(1, epochs + 1):
-        score = np.bincount(of, weights=w[idx] * val, minlength=n)
-        th = np.array([t[0], t[0] + np.exp(t[1])])
-        up = np.where(grades < GRADES - 1, _sigmoid(th[np.minimum(grades, 1)] - score), 1.0)
-        lo = np.where(grades > 0, _sigmoid(th[np.maximum(grades - 1, 0)] - score), 0.0)
-        p = np.maximum(up - lo, 1e-9)
-        du, dl = up * (1 - up) / p, lo * (1 - lo) / p
-        g = np.bincount(idx, weights=(du - dl)[of] * val, minlength=size) / n + 1e-5 * w
-        d0 = -((grades == 0) * du).sum() / n + ((grades == 1) * dl).sum() / n
-        d1 = -((grades == 1) * du).sum() / n + ((grades == 2) * dl).sum() / n
-        gt = np.array([d0 + d1, d1 * np.exp(t[1])])
-        for x, grad, a, b, rate in ((w, g, m1, m2, 0.1), (t, gt, k1, k2, 0.1)):
+        _, gw, gt = loss_and_gradients(w, t, idx, val, of, grades)
+        for x, grad, a, b in ((w, gw + 1e-5 * w, m1, m2), (t, gt, k1, k2)):
             a += 0.1 * (grad - a)
             b += 0.01 * (grad * grad - b)
-            x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            x -= 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
     return Model(w.astype(np.float32), np.array([t[0], t[0] + np.exp(t[1])]))
 
 
@@ -141,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """Fit on the sample labelled documents with the lowest hashes."""
     graded = labels.where("doc_id is not null").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
     h = F.xxhash64("doc_id", F.lit("quality"))
-    some = materialize(graded.dropDuplicates(["doc_id"]).orderBy(h, "doc_id").limit(sample))  # the bound: SAMPLE rows of two numbers
+    graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade"))  # of several ratings the lowest
+    some = materialize(graded.orderBy(h, "doc_id").limit(sample))  # the bound: SAMPLE rows of two numbers
     bounded_batches(docs.sparkSession)
 
     def run(text: pa.Array) -> pa.Array:
