@@ -1,13 +1,16 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs before digits,
-digits, URL schemes and account cues. A deterministic parser per anchor expands to both
-sides and validates what it finds, so the work is linear in the text.
+digits, URL schemes and identifier cues (of accounts and of secrets). A deterministic parser
+per anchor expands to both sides and validates what it finds, so the work is linear in the
+text.
 
 Kinds email, ip, card and phone have base spans: leftmost, non-overlapping per kind, a
 failing match dropped without retry. The parsers add spans that base matching loses:
 numbers that run together (a phone number before a card number), IBANs and numbers after
-an account cue, and URLs that carry a user name or password.
+an account cue, URLs that carry a user name or password, and secrets: the value that follows
+a cue and ":" or "=", if it is quoted or mixes letters and digits, and keys that begin with
+a known prefix.
 
 Edge cases: null is an empty text; texts of any length are read whole; the result has a
 row per input row, so repeated rows repeat. Offsets are code points, end exclusive.
@@ -27,9 +30,12 @@ from pyspark.sql.functions import arrow_udf
 from turnlake.llm.common import bounded_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "account", "url")
+KINDS = (*BASE_KINDS, "account", "url", "secret")
 CUES = ("account", "Account", "ACCOUNT", "acct", "Acct", "ACCT", "iban", "Iban", "IBAN")
 SCHEMES = ("http://", "https://", "ftp://", "HTTP://", "HTTPS://")
+#: Cues of secrets, in any case, and beginnings of keys with how many characters follow; fixed values.
+SECRETS = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "client_key", "auth_key")
+PREFIXES = {"AKIA": 16, "ghp_": 36, "gho_": 36, "xoxb-": 20, "xoxp-": 20, "sk_live_": 16}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -41,6 +47,10 @@ _NUMBERS = re.compile(r"[0-9]+").finditer
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}").match
 _CUED = re.compile(r"(?:[\x20]?(?:number|no\.?|#))?[\x20]?[:#=]?[\x20]?", re.I).match
 _ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,17}(?![0-9])").match
+_ASSIGNED = re.compile(r"[\"']?[\x20\t]{0,4}(?::=|=>|[:=])[\x20\t]{0,4}").match
+_QUOTED = re.compile(r"\"[^\"\s]{6,512}\"|'[^'\s]{6,512}'").match
+_BARE = re.compile(r"[A-Za-z0-9_+/=~.-]{8,512}").match
+_KEY = re.compile(r"[A-Za-z0-9_-]{1,512}").match
 _LOGIN = re.compile(r"[^\s/@<>\"']+@[^\s<>\"']+").match
 
 
@@ -49,7 +59,9 @@ def _anchors():
     import ahocorasick
 
     auto = ahocorasick.Automaton()
-    for word, kind in [("@", "@"), *((d, "0") for d in "0123456789"), *((f"+{d}", "+") for d in "0123456789"), *((c, "cue") for c in CUES), *((s, "scheme") for s in SCHEMES)]:
+    for word, kind in [("@", "@"), *((d, "0") for d in "0123456789"), *((f"+{d}", "+") for d in "0123456789"),
+                       *((c, "cue") for c in CUES), *((s, "scheme") for s in SCHEMES), *((p, "prefix") for p in PREFIXES),
+                       *((c, "secret") for s in SECRETS for c in {s, s.title(), s.upper()})]:
         auto.add_word(word, (kind, len(word)))
     auto.make_automaton()
     return auto
@@ -101,11 +113,25 @@ def _phone_prefix(text: str, a: int, b: int) -> tuple[int, int] | None:
     return best
 
 
+def _secret(text: str, end: int) -> tuple[int, int] | None:
+    """The value assigned to a cue that ends before end."""
+    m = _ASSIGNED(text, end)
+    if m is None:
+        return None
+    at = m.end()
+    if m := _QUOTED(text, at):
+        return m.start() + 1, m.end() - 1
+    m = _BARE(text, at)
+    if m and any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
+        return m.start(), m.start() + len(m[0].rstrip("."))
+    return None
+
+
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans and all spans, per kind, ordered by start."""
     base = {k: [] for k in BASE_KINDS}
     more = {k: [] for k in KINDS}
-    email_at = ip_at = card_at = account_at = url_at = 0  # where each kind's search goes on
+    email_at = ip_at = card_at = account_at = url_at = secret_at = 0  # where each kind's search goes on
     for last, (anchor, n) in _anchors().iter(text):
         at = last - n + 1
         if anchor == "0":
@@ -150,6 +176,12 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
         elif anchor == "scheme" and at >= url_at and (m := _LOGIN(text, last + 1)):
             more["url"].append((at, m.end()))
             url_at = m.end()
+        elif anchor == "secret" and at >= secret_at and (span := _secret(text, last + 1)):
+            more["secret"].append(span)
+            secret_at = span[1]
+        elif anchor == "prefix" and at >= secret_at and (m := _KEY(text, last + 1)) and len(m[0]) >= PREFIXES[text[at : last + 1]]:
+            more["secret"].append((at, m.end()))
+            secret_at = m.end()
     every = {k: sorted(set(base.get(k, []) + more[k])) for k in KINDS}
     return base, every
 
@@ -169,7 +201,7 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
     return "".join([*out, text[done:]])
 
 
-FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string>"
+FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_account: long, n_url: long, n_secret: long, n_spans: long>"
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -178,9 +210,10 @@ def _found(text: pa.Array) -> pa.Array:
     for x in text:
         base, every = find(x.as_py() or "")
         joined = _joined(base)
-        rows.append({f"n_{k}": len(base[k]) for k in BASE_KINDS} | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest() if joined else _NONE, "spans": _joined(every)})
-    kinds = [(f"n_{k}", pa.int64()) for k in BASE_KINDS]
-    return pa.array(rows, pa.struct([*kinds, ("base_sha256", pa.string()), ("spans", pa.string())]))
+        added = {f"n_{k}": len(every[k]) for k in KINDS if k not in BASE_KINDS}
+        rows.append({f"n_{k}": len(base[k]) for k in BASE_KINDS} | added | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest() if joined else _NONE, "spans": _joined(every), "n_spans": sum(map(len, every.values()))})
+    kinds, more = [(f"n_{k}", pa.int64()) for k in BASE_KINDS], [(f"n_{k}", pa.int64()) for k in KINDS if k not in BASE_KINDS]
+    return pa.array(rows, pa.struct([*kinds, ("base_sha256", pa.string()), ("spans", pa.string()), *more, ("n_spans", pa.int64())]))
 
 
 def _redacted(text: pa.Array) -> pa.Array:
@@ -188,7 +221,8 @@ def _redacted(text: pa.Array) -> pa.Array:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, counts of base spans, their digest and all spans."""
+    """(doc_id, text) to doc_id, counts of base spans, their digest, all spans, and counts of
+    the kinds that the method adds and of all spans."""
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", arrow_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.*")
 
@@ -199,6 +233,7 @@ def redacted(text: Column | str) -> Column:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
+    """docs, with all their columns and rows, with redacted texts; null texts stay null."""
     bounded_batches(docs.sparkSession)
     out = docs.withColumn("text", redacted("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
