@@ -2,14 +2,18 @@
 
 Statistics of each text are Spark expressions. Sequential covering (grow and prune, as in
 IREP) learns ordered rules for the low-quality class from labelled statistics: a rule is
-a conjunction of thresholds grown on one fold by FOIL's gain, cut back to its best prefix
-on the other, and taken only while it is precise there; what it covers is then set aside.
-Counts per (feature, bin) come from Spark aggregates, so each step moves a few hundred
-rows whatever the corpus. The list is emitted as one ordered CASE WHEN expression.
+a conjunction of thresholds grown on one fold by FOIL's gain until it covers no good text,
+cut back to its best prefix on the other, and taken only while it is precise there; what it
+covers is then set aside. The list is emitted as one ordered CASE WHEN expression.
+
+Rules are fitted on at most SAMPLE labelled texts, those with the lowest hash of doc_id, in
+one collect of a few numbers each; statistics and verdicts cover all texts.
 
 Edge cases: a null text counts as no words and fails the base rule; without labels of
-both classes the list is empty and only the base rule decides; null labels are ignored;
-repeated rows repeat; other columns are ignored.
+both classes the list is empty and only the base rule decides; null labels are ignored; of
+several labels of a document the lowest counts; a repeated document repeats, and counts as
+often as a labelled text; other columns (such as toxic) are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,16 +24,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import WORD, discard, materialize
+from turnlake.llm.common import WORD, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_RULES = 8
-MAX_CONDITIONS = 3
+MAX_CONDITIONS = 4
+#: Labelled texts that the rules are fitted on.
+SAMPLE = 20_000
 #: Of a rule on the pruning fold.
 MIN_PRECISION = 0.95
-MIN_COVERED = 5
-QUANTILES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
+MIN_COVERED = 3
+#: With fewer bad texts in the pruning fold, all texts are in both folds.
+MIN_FOLD = 15
 
 #: name -> SQL over the statistics' columns.
 FEATURES = {
@@ -116,81 +123,88 @@ def decision_list(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def _gain(p: int, n: int, before_p: int, before_n: int) -> float:
-    if not p:
-        return -math.inf
-    return p * (math.log2(p / (p + n)) - math.log2(before_p / (before_p + before_n)))
+Example = tuple[bool, bool, tuple[float, ...]]  # bad, in the pruning fold, a value per feature
 
 
-def learn(labelled: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION) -> list[Rule]:
-    """Rules for rows with bad = true. labelled: doc_id, the statistics and bad boolean."""
-    names = list(FEATURES)
-    values = [F.expr(FEATURES[f]).cast("double") for f in names]
-    cuts_of = labelled.groupBy("bad").agg(*(F.percentile_approx(v, list(QUANTILES), 2000).alias(f) for f, v in zip(names, values, strict=True))).collect()
-    if len(cuts_of) < 2:
-        return []
-    cuts = {f: sorted({x for r in cuts_of for x in (r[f] or [])}) for f in names}
-    bin_of = lambda v, at: F.size(F.filter(F.lit(at) if at else F.array().cast("array<double>"), lambda t: v > t))
-    bins = F.array(*(bin_of(v, cuts[f]) for f, v in zip(names, values, strict=True)))
-    # rows that fall into the same bins are one weighted row
-    cells = materialize(labelled.select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), bins.alias("bins")).groupBy("bad", "prune", "bins").agg(F.count(F.lit(1)).alias("w")))
-
-    def on_bins(c: Condition) -> Column:
-        k = cuts[c.feature].index(c.threshold)  # value > cuts[k] if and only if its bin > k
-        b = F.get("bins", F.lit(names.index(c.feature)))
-        return b > k if c.above else b <= k
-
-    def both(conditions: Rule) -> Column:
-        out = F.lit(True)
-        for c in conditions:
-            out = out & on_bins(c)
-        return out
-
-    pos, neg = F.sum(F.when(F.col("bad"), F.col("w")).otherwise(0)), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("w")))
-    rules: list[Rule] = []
-    left = cells
-    for _ in range(max_rules):
-        grown: Rule = ()
-        while len(grown) < max_conditions:
-            rows = left.where(~F.col("prune") & both(grown)).select("bad", "w", F.posexplode("bins").alias("f", "bin"))
-            counts: dict[int, list] = {}
-            for r in rows.groupBy("f", "bin").agg(pos.alias("p"), neg.alias("n")).collect():  # features x bins at most
-                counts.setdefault(r.f, []).append((r.bin, r.p, r.n))
-            if not counts:
-                break
-            all_p, all_n = (sum(x[i] for x in next(iter(counts.values()))) for i in (1, 2))
-            if not all_p or not all_n:
-                break
-            best = (0.0, None)
-            for f, at in sorted(counts.items()):
-                for k, cut in enumerate(cuts[names[f]]):
-                    p, n = (sum(x[i] for x in at if x[0] > k) for i in (1, 2))
-                    for above, hit_p, hit_n in ((True, p, n), (False, all_p - p, all_n - n)):
-                        if (g := _gain(hit_p, hit_n, all_p, all_n)) > best[0] + 1e-9:
-                            best = (g, Condition(names[f], above, cut))
-            if best[1] is None:
-                break
-            grown = (*grown, best[1])
+def _gain(p: int, n: int, before_p: int, before_n: int) -> float:
+    """FOIL's gain of a condition that leaves p and n of before_p bad and before_n good examples."""
+    return p * (math.log2(p / (p + n)) - math.log2(before_p / (before_p + before_n))) if p else -math.inf
+
+
+def _best_condition(rows: list[Example], orders: list[list[int]], alive: list[bool]) -> tuple[int, bool, float] | None:
+    """The (feature, above, threshold) of the highest gain; thresholds lie midway between
+    neighbouring values. Of equal gains the first feature, threshold and "above" wins."""
+    all_p = sum(rows[i][0] for i, a in enumerate(alive) if a)
+    all_n = sum(alive) - all_p
+    if not all_p or not all_n:
+        return None
+    best, found = 1e-9, None
+    for f, order in enumerate(orders):
+        p = n = 0  # at or under the threshold
+        last = None
+        for i in order:
+            if not alive[i]:
+                continue
+            bad, _, values = rows[i]
+            v = values[f]
+            if last is not None and v != last:
+                for above, hit_p, hit_n in ((True, all_p - p, all_n - n), (False, p, n)):
+                    if hit_p >= MIN_COVERED and (g := _gain(hit_p, hit_n, all_p, all_n)) > best + 1e-9:
+                        best, found = g, (f, above, (last + v) / 2)
+            last = v
+            p, n = p + bad, n + (not bad)
+    return found
+
+
+def _holds(values: tuple[float, ...], conditions: list[tuple[int, bool, float]]) -> bool:
+    return all((values[f] > t) == above for f, above, t in conditions)
+
+
+def cover(rows: list[Example], max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION) -> list[Rule]:
+    """Sequential covering of the bad examples."""
+    if sum(bad and prune for bad, prune, _ in rows) < MIN_FOLD:  # too few to set any aside: both folds are all rows
+        grow, prune = list(range(len(rows))), list(range(len(rows)))
+    else:
+        grow, prune = [i for i, r in enumerate(rows) if not r[1]], [i for i, r in enumerate(rows) if r[1]]
+    orders = [sorted(grow, key=lambda i: rows[i][2][f]) for f in range(len(FEATURES))]
+    names, left, out = list(FEATURES), [True] * len(rows), []
+    growing = set(grow)
+    while len(out) < max_rules:
+        alive = [left[i] and i in growing for i in range(len(rows))]
+        grown: list[tuple[int, bool, float]] = []
+        while len(grown) < max_conditions and (c := _best_condition(rows, orders, alive)):
+            grown.append(c)
+            alive = [a and _holds(rows[i][2], [c]) for i, a in enumerate(alive)]
         if not grown:
             break
-        prefixes = [grown[: k + 1] for k in range(len(grown))]
-        sums = [x for k, pre in enumerate(prefixes) for x in (F.sum(F.when(both(pre) & F.col("bad"), F.col("w")).otherwise(0)).alias(f"p{k}"), F.sum(F.when(both(pre) & ~F.col("bad"), F.col("w")).otherwise(0)).alias(f"n{k}"))]
-        got = left.where("prune").agg(*sums).first()
-        score = lambda k: ((got[f"p{k}"] or 0) - (got[f"n{k}"] or 0)) / max(1, (got[f"p{k}"] or 0) + (got[f"n{k}"] or 0))
-        k = max(range(len(prefixes)), key=lambda k: (score(k), -k))
-        p, n = got[f"p{k}"] or 0, got[f"n{k}"] or 0
+        scores = []
+        for k in range(1, len(grown) + 1):
+            hit = [rows[i][0] for i in prune if left[i] and _holds(rows[i][2], grown[:k])]
+            p, n = sum(hit), len(hit) - sum(hit)
+            scores.append(((p - n) / max(1, p + n), -k, p, n))
+        _, k, p, n = max(scores)
         if p < MIN_COVERED or p < min_precision * (p + n):
             break
-        rules.append(prefixes[k])
-        left = left.where(~both(prefixes[k]))
-    discard(cells)
-    return rules
+        rule = grown[:-k]
+        out.append(tuple(Condition(names[f], above, t) for f, above, t in rule))
+        left = [x and not _holds(rows[i][2], rule) for i, x in enumerate(left)]
+    return out
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, **parameters) -> list[Rule]:
+    """Rules for rows with bad = true. labelled: doc_id, the statistics and bad boolean."""
+    h = F.xxhash64("doc_id", F.lit("rules"))
+    values = F.array(*(F.expr(f).cast("double") for f in FEATURES.values()))
+    some = labelled.select(h.alias("h"), "doc_id", "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), values.alias("values"))
+    rows = [(r.bad, r.prune, tuple(r["values"])) for r in some.orderBy("h", "doc_id").limit(sample).collect()]  # the bound: sample rows of a few numbers
+    return cover(rows, **parameters)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from labels (doc_id, quality: 0 is low) and judge all docs (doc_id, text)."""
+    """Learn from labels (doc_id, quality: 0 is low) and judge all docs (doc_id, text): doc_id,
+    the base counts, base_failed, kept, and rule: the number of the rule that fired, or 0."""
     stats = materialize(statistics(docs))
-    bad = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad"))
+    bad = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg((F.min("quality") == 0).alias("bad"))
     labelled = stats.where(~base_failed()).join(bad, F.col("doc_id") == F.col("id")).drop("id")
     rules = learn(labelled)
     verdict = decision_list(rules)
