@@ -6,8 +6,9 @@ about ``shard`` pieces, and each problem is evolved by ``islands`` populations,
 task of its own. An individual is a grouping of pieces into sequences. Crossover injects
 whole well-filled sequences of one parent into the other, drops the sequences that now
 hold a piece twice, and best-fits the displaced pieces. Between epochs an island's elite
-migrates to its neighbour. A problem ends early at its lower bound. Pieces of its
-less-filled sequences are dealt anew, with those of other problems, until one is left.
+migrates to its neighbour. An epoch ends early at the lower bound, but never before a few
+crossovers. Pieces of a problem's less-filled sequences are dealt anew, with those of other
+problems, until one is left.
 
 Edge cases: a null or empty text is its end id alone; an empty table gives an empty
 result; repeated rows are packed one by one; other columns are ignored.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import materialize, bounded_batches
+from turnlake.llm.common import bounded_batches, materialize
 from turnlake.llm.tokenizing import default_path, encoder
 
 CAPACITY = 2048
@@ -33,7 +36,10 @@ SHARD = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 6
+#: Crossovers an epoch: always, and at most while above the lower bound.
+LEAST_GENERATIONS, GENERATIONS = 2, 16
+#: The emptiest sequences of a parent, which its child deals anew.
+OPENED = 4
 #: Sequences filled less than this share are opened again in the next round.
 LOW_FILL = 0.97
 ROUNDS = 4
@@ -89,8 +95,7 @@ class _Fit:
 
 
 def _fitness(groups: list[list[int]], length: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer sequences first, then well-filled ones beside nearly empty ones."""
-    return -len(groups), sum((sum(length[i] for i in g) / capacity) ** 2 for g in groups)
+    return _score(_filled(groups, length), capacity)
 
 
 def _best_fit(order: list[int], length: list[int], capacity: int) -> list[list[int]]:
@@ -100,46 +105,84 @@ def _best_fit(order: list[int], length: list[int], capacity: int) -> list[list[i
     return fit.groups()
 
 
-def _cross(one: list[list[int]], two: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    fills = sorted(two, key=lambda g: -sum(length[i] for i in g))
-    good = fills[: max(1, len(fills) // 2)]
+Filled = list[tuple[int, list[int]]]  # (tokens, pieces) per sequence
+
+
+def _filled(groups: list[list[int]], length: list[int]) -> Filled:
+    return [(sum([length[i] for i in g]), g) for g in groups]
+
+
+def _score(groups: Filled, capacity: int) -> tuple[int, float]:
+    """Fewer sequences first, then well-filled ones beside nearly empty ones."""
+    return -len(groups), sum([n * n for n, _ in groups]) / capacity**2
+
+
+def _cross(one: Filled, two: Filled, length: list[int], capacity: int, rng: random.Random) -> Filled:
+    """A child of one: some of two's well-filled sequences are put in whole; sequences of one
+    that now hold a piece twice, and its OPENED emptiest, give up what is left of them; these
+    displaced pieces first take the place of shorter ones where they fill a sequence better,
+    then go where they fit best."""
+    good = sorted(two, key=lambda g: -g[0])[: max(1, len(two) // 2)]
     given = rng.sample(good, rng.randint(1, max(1, len(good) // 2)))
-    inside = {i for g in given for i in g}
-    fit, displaced = _Fit(capacity), []
-    for g in given:
-        fit.put_open(list(g), capacity - sum(length[i] for i in g))
-    for g in one:
+    inside = {i for _, g in given for i in g}
+    kept, free = list(given), []
+    for n, g in sorted(one, key=lambda g: -g[0])[: max(0, len(one) - OPENED)]:
         if inside.isdisjoint(g):
-            fit.put_open(list(g), capacity - sum(length[i] for i in g))
+            kept.append((n, g))
         else:
-            displaced += [i for i in g if i not in inside]
-    for i in sorted(displaced, key=lambda i: -length[i]):
-        fit.place(i, length[i])
-    return fit.groups()
-
-
-def evolve(length: list[int], elites: list[list[list[int]]], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """One epoch of one island: the best grouping found. elites: groupings to start from."""
+            free += [(length[i], i) for i in g if i not in inside]
+    for _, g in sorted(one, key=lambda g: -g[0])[max(0, len(one) - OPENED) :]:
+        free += [(length[i], i) for i in g if i not in inside]
+    free.sort()
+    fit = _Fit(capacity)
+    for n, g in kept:
+        room, members = capacity - n, list(g)
+        if room and free:
+            for at, x in enumerate(members):
+                k = bisect_right(free, (length[x] + room, 1 << 62)) - 1
+                if k >= 0 and free[k][0] > length[x]:
+                    longer, y = free.pop(k)
+                    insort(free, (length[x], x))
+                    members[at] = y
+                    room -= longer - length[x]
+                    if not room:
+                        break
+        fit.put_open(members, room)
+    for n, i in reversed(free):
+        fit.place(i, n)
+    return [(capacity - room, g) for room, at in enumerate(fit.rooms) for g in at]
+
+
+def evolve(length: list[int], elites: list[list[list[int]]], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS, trace: Counter | None = None) -> list[list[int]]:
+    """One epoch of one island: the best grouping found. elites: groupings to start from; the
+    rest of the population is best fit in orders that mix length with chance, the first by
+    length alone. A generation is a crossover whose child replaces the worst individual if it
+    is better. LEAST_GENERATIONS always run; beyond them an island stops at the lower bound."""
     rng = random.Random(seed)
     least = -(-sum(length) // capacity)
     pool = list(elites)
-    if not pool:
-        pool.append(_best_fit(sorted(range(len(length)), key=lambda i: -length[i]), length, capacity))
-    best = max(pool, key=lambda g: _fitness(g, length, capacity))
-    if len(best) <= least:
-        return best
     while len(pool) < population:
-        noise = [v * rng.uniform(0.8, 1.0) for v in length]
-        pool.append(_best_fit(sorted(range(len(length)), key=lambda i: -noise[i]), length, capacity))
-    scored = sorted(((_fitness(g, length, capacity), k, g) for k, g in enumerate(pool)), reverse=True)
+        chance = rng.random() ** 2 * capacity if pool else 0.0
+        key = [n + chance * rng.random() for n in length] if chance else length
+        pool.append(_best_fit(sorted(range(len(length)), key=lambda i: -key[i]), length, capacity))
+    scored = []
+    for k, groups in enumerate(pool):
+        filled = _filled(groups, length)
+        scored.append((_score(filled, capacity), -k, filled))
+    scored.sort(reverse=True)
     for step in range(generations):
-        if -scored[0][0][0] <= least:
+        if step >= LEAST_GENERATIONS and -scored[0][0][0] <= least or len(scored) < 2:
             break
-        a, b = rng.sample(scored, 2)
-        child = _cross(a[2], b[2], length, capacity, rng)
-        scored[-1] = (_fitness(child, length, capacity), population + step, child)
-        scored.sort(reverse=True)
-    return scored[0][2]
+        a, b = sorted(rng.sample(range(len(scored)), 2))
+        child = _cross(scored[a][2], scored[b][2], length, capacity, rng)
+        score = _score(child, capacity)
+        better = score > scored[-1][0]
+        if trace is not None:
+            trace.update(crossovers=1, taken=int(better), best=int(score > scored[0][0]))
+        if better:
+            scored[-1] = (score, -len(pool) - step, child)
+            scored.sort(reverse=True)
+    return [g for _, g in scored[0][2]]
 
 
 STATE = "shard long, island int, uids binary, lengths binary, groups binary, n_groups int, fit double"
