@@ -8,14 +8,18 @@ miss a pair of similarity 0.75 with probability (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal sets are one node. In each band bucket every node is first paired
 with the smallest, and pairs whose signatures allow a link are verified on full sets.
-Where a bucket then still holds several components, signatures tell which of these may
-link; families of such components are compared on full sets. Both go in tiles of bounded
-size that return a forest of links, not pairs, and skip what is joined already: no bucket
-is skipped or capped, and near copies cost little more than their number.
+Where a bucket then still holds several components, signatures tell which nodes may link
+with one of another component; only these are compared on full sets, in families of
+components that they may join. Both go in tiles of bounded rows and bytes that return a
+forest of links, not pairs. A group's largest component is never compared with itself, so
+its rows are copied once per block of the other rows, and a group that is one component but
+for a few rows costs little more than its number: no bucket is skipped or capped.
 
 Edge cases: null, empty or blank texts have no set and link with nothing; shorter texts
-than five words are one shingle; rows that share a doc_id are one document; a null
-doc_id links with nothing and is kept; an empty table gives an empty result.
+than five words are one shingle; texts of any length are compared whole; rows that share a
+doc_id are compared each by its own text, and each gets the component of its own set; a
+null doc_id links with nothing and is kept; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import by_group, components, discard, materialize, bounded_batches
+from turnlake.llm.common import bounded_batches, by_group, components, discard, materialize
 
 WIDTH = 5
 SIMILAR = (75, 100)
@@ -36,7 +40,8 @@ BANDS, ROWS = 32, 4
 #: A signature's share of equal coordinates below which a pair is not verified: 0.75
 #: less five standard deviations of an estimate from 128 coordinates.
 LEAST_ESTIMATE = 0.56
-TILE = 512
+#: A block's rows and bytes of hashed sets; a tile compares two blocks.
+TILE, TILE_BYTES = 1024, 16 << 20
 _CACHE = 500_000
 _WORDS = np.uint64(0x9E3779B97F4A7C15)
 _SIGMA = np.uint64(0xBF58476D1CE4E5B9)
@@ -177,17 +182,29 @@ def _forest(label: np.ndarray, comp: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 
 def _coarse_tile(g: dict[str, np.ndarray]) -> tuple | None:
-    """A forest over a tile's components whose signatures allow links between them."""
+    """By signatures: a forest (a, b) over a tile's components that may link, and (d, d) for
+    each row that may link with one of another component."""
     sig, (one, two) = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), -1), _sides(g)
     comp, n = g["comp"], g["n"]
-    label = comp.copy()
-    for a in one:
-        left = two[label[two] != label[a]]
-        for at in range(0, len(left), 64):  # most find a partner among the first
-            b = left[at : at + 64]
-            for x in set(label[_may_link(sig, n, a, b[label[b] != label[a]])].tolist()):
-                label[label == x] = label[a]
-    return _forest(label, comp, g["doc"])
+    label, some = comp.copy(), np.zeros(len(comp), bool)
+    for at in range(0, len(one), 16):
+        a = one[at : at + 16]
+        small, large = np.minimum(n[a][:, None], n[two][None, :]), np.maximum(n[a][:, None], n[two][None, :])
+        may = (comp[a][:, None] != comp[two][None, :]) & (SIMILAR[1] * small >= SIMILAR[0] * large)
+        cols = np.flatnonzero(may.any(axis=0))
+        if not len(cols):
+            continue
+        may = may[:, cols]
+        may &= (sig[a][:, None, :] == sig[two[cols]][None, :, :]).sum(axis=2) >= LEAST_ESTIMATE * sig.shape[1]
+        some[a] |= may.any(axis=1)
+        some[two[cols]] |= may.any(axis=0)
+        for x, y in {(x, y) for i, j in zip(*np.nonzero(may)) if (x := label[a[i]]) != (y := label[two[cols[j]]])}:
+            label[label == label[comp == y][0]] = label[comp == x][0]
+    if not some.any():
+        return None
+    edges = _forest(label, comp, g["doc"])
+    own = g["doc"][some]
+    return (np.r_[edges[0], own], np.r_[edges[1], own]) if edges else (own, own)
 
 
 def _exact_tile(g: dict[str, np.ndarray]) -> tuple | None:
@@ -221,11 +238,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, group: str) -> DataFrame:
-    """rows (group, doc, ...) of groups of any size, dealt as pairs of blocks of about TILE rows."""
-    k = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / TILE).alias("k"))
-    blocks = rows.join(k, group).withColumn("block", F.pmod(F.xxhash64("doc"), "k"))
-    pairs = F.expr("transform(sequence(0L, k - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))")
-    return blocks.withColumn("t", F.explode(pairs)).withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t", "k")
+    """rows (group, doc, comp, n, ...) of groups of any size, dealt as pairs of blocks i <= j of
+    about TILE rows and TILE_BYTES of hashed sets. Blocks before k hold the rows outside the
+    group's largest component, the others this component; no pair has both blocks of it."""
+    per = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    top = F.max_by(F.struct("comp", "m", "w"), F.struct("m", "comp"))
+    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(m / TILE), F.ceil(8 * w / TILE_BYTES)).cast("long")
+    per = per.groupBy(group).agg(top.alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    k = per.select(group, F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("k"), blocks(F.col("top.m"), F.col("top.w")).alias("l"))
+    at = F.when(F.col("comp") == F.col("top"), F.col("k") + F.pmod(F.xxhash64("doc"), "l")).otherwise(F.pmod(F.xxhash64("doc"), "k"))
+    dealt = rows.join(k, group).withColumn("block", at)
+    pairs = F.expr("transform(sequence(0L, if(block < k, k + l - 1, k - 1)), x -> struct(least(block, x) as i, greatest(block, x) as j))")
+    return dealt.withColumn("t", F.explode(pairs)).withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t", "k", "l", "top")
 
 
 def _with_component(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -252,7 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(in_bands.join(buckets, "band"))
     # the texts that any comparison may need; always dealt by key, since the ids grow with the corpus
     ids = shared.select(F.col("doc").alias("id")).distinct()
-    texts = materialize(texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    texts = materialize(texts.join(ids.hint("merge"), "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"))
     sides = nodes.select("doc", "n", "sig")
     # each node with the first of its bucket
     pairs = (
@@ -262,22 +286,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(F.udf(_estimate_allows, "boolean", useArrow=True)("sig_a", "sig_b")).select("a", "b")
     )
     linked = _verified(pairs, texts)
-    # buckets that still hold several components: which of these may link, by signatures
+    # buckets that still hold several components: which of their nodes may link beyond their own, by signatures
     of = materialize(_with_component(shared.select("band", "doc"), linked, "comp"))
     open_ = of.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    rows = _tiles(of.join(open_, "band", "left_semi"), "band").join(sides, "doc")
-    maybe = by_group(rows.select("band", "i", "j", "block", "doc", "comp", "n", "sig"), ["band", "i", "j"], _coarse_tile, "a long, b long").distinct()
-    # families of components that may link, compared on full sets
+    sizes = nodes.select("doc", "n")
+    rows = _tiles(of.join(open_, "band", "left_semi").join(sizes, "doc"), "band").join(nodes.select("doc", "sig"), "doc")
+    found = materialize(by_group(rows.select("band", "i", "j", "block", "doc", "comp", "n", "sig"), ["band", "i", "j"], _coarse_tile, "a long, b long"))
+    # families of components that may link: these nodes are compared on full sets
     of_doc = materialize(of.select("doc", "comp").distinct())
     stars = of_doc.where("doc <> comp").select(F.col("comp").alias("a"), F.col("doc").alias("b"))
-    family = materialize(_with_component(of_doc, stars.unionByName(maybe), "family"))
-    several = family.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
-    rows = family.join(several, "family", "left_semi").join(sides, "doc").join(texts.withColumnRenamed("id", "doc"), "doc")
-    rows = _tiles(rows, "family").select("family", "i", "j", "block", "doc", "comp", "n", "sig", "text")
+    some = of_doc.join(found.where("a = b").select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
+    family = materialize(_with_component(some, stars.unionByName(found.where("a <> b").distinct()), "family").join(sizes, "doc"))
+    rows = _tiles(family, "family").join(nodes.select("doc", "sig"), "doc").join(texts.withColumnRenamed("id", "doc"), "doc")
+    rows = rows.select("family", "i", "j", "block", "doc", "comp", "n", "sig", "text")
     more = materialize(by_group(rows, ["family", "i", "j"], _exact_tile, "a long, b long"))
     by_key = _with_component(node_of.withColumnRenamed("node", "doc"), stars.unionByName(more), "component").select(F.col("key").alias("k"), "component")
     by_key = materialize(by_key)
-    for x in (shared, of, nodes, texts, family):
+    for x in (shared, of, of_doc, found, nodes, texts, family):
         discard(x)
     out = signed.select("doc_id", "n_shingles", "key").join(by_key, F.col("key") == F.col("k"), "left")
     out = out.withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id"))
@@ -285,6 +310,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the smallest doc_id stays."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """docs, with all their columns, without the near copies: of each component the rows with
+    the smallest doc_id stay; a doc_id goes with all its rows if one of them is a copy of a
+    smaller doc_id's. Documents without words and those with a null doc_id stay."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
