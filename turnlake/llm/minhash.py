@@ -211,18 +211,23 @@ def _exact_tile(g: dict[str, np.ndarray]) -> tuple | None:
     """A forest over a tile's components with links between them, verified on full sets."""
     sig, (one, two) = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), -1), _sides(g)
     comp, n = g["comp"], g["n"]
-    sets: dict[int, np.ndarray] = {}
-
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingles(g["text"][i])
-        return sets[i]
-
+    sets = [shingles(t) for t in g["text"]]
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
+    size, mark = np.array([len(x) for x in sets]), np.zeros(len(words), np.int64)
     label = comp.copy()
     for a in one:
-        for b in _may_link(sig, n, a, two[label[two] != label[a]]):
-            if label[b] != label[a] and _similar(of(a), of(b)):
-                label[label == label[b]] = label[a]
+        left = _may_link(sig, n, a, two[label[two] != label[a]])
+        for at in range(0, len(left), 256):  # the likeliest first: most find their partners among these
+            b = left[at : at + 256]
+            b = b[label[b] != label[a]]
+            if not len(b):
+                continue
+            mark[sets[a]] = 1
+            both = np.add.reduceat(mark[np.concatenate([sets[i] for i in b])], np.r_[0, np.cumsum(size[b])[:-1]])
+            mark[sets[a]] = 0
+            for x in np.unique(label[b[SIMILAR[1] * both >= SIMILAR[0] * (size[a] + size[b] - both)]]).tolist():
+                label[label == x] = label[a]
     return _forest(label, comp, g["doc"])
 
 
