@@ -59,6 +59,7 @@ def converted(raw: DataFrame) -> DataFrame:
     c = c.withColumn("last", last_assistant)
     finish = F.get("p", F.col("last"))["call"]
     answer = F.get_json_object(finish["arguments"], "$.final_answer")
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(finish["arguments"]), "$.final_answer", "variant")), F.lit("VOID"))
     at = lambda i: F.get("p", i)
     any_turn = lambda test: F.exists(F.sequence(F.lit(0), F.col("n") - 1), test)
     reason = (
@@ -69,10 +70,10 @@ def converted(raw: DataFrame) -> DataFrame:
         .when(any_turn(lambda i: (at(i)["role"] == "assistant") & at(i)["call"].isNull()), "unparseable_turn")
         .when(any_turn(lambda i: (i < F.col("last")) & F.coalesce(at(i)["call"]["name"] == FINISH, F.lit(False))), "early_finish")
         .when(any_turn(lambda i: F.coalesce((at(i)["call"]["name"] != FINISH) & ~F.array_contains("names", at(i)["call"]["name"]), F.lit(False))), "unknown_action")
-        .when(any_turn(lambda i: (i > 0) & (at(i)["role"] == "function") & ~((at(i - 1)["role"] == "assistant") & F.coalesce(at(i - 1)["call"]["name"] != FINISH, F.lit(False)) | (at(i - 1)["role"] == "function") & F.lit(False))), "function_without_call")
+        .when(any_turn(lambda i: (i > 0) & (at(i)["role"] == "function") & ~((at(i - 1)["role"] == "assistant") & F.coalesce(at(i - 1)["call"]["name"] != FINISH, F.lit(False)))), "function_without_call")
         .when(~F.coalesce(finish["name"] == FINISH, F.lit(False)), "no_finish")
         .when(~F.coalesce(F.get_json_object(finish["arguments"], "$.return_type") == GIVE_ANSWER, F.lit(False)), "gave_up")
-        .when(F.coalesce(F.btrim(answer), F.lit("")) == "", "blank_answer")
+        .when((F.coalesce(F.btrim(answer), F.lit("")) == "") | (kind != "STRING"), "blank_answer")
         .otherwise("kept")
     )
 
@@ -135,11 +136,11 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
-def numpy_sample(ids: list[int], n: int, seed: int = 42) -> list[int]:
-    """The sample of sorted places that Python's seeded generator takes, for small indexes."""
-    import random
+def numpy_sample(n_rows: int, n: int, seed: int = 42) -> list[int]:
+    """Sorted places of a sample without replacement, as numpy's default generator draws them."""
+    import numpy as np
 
-    return sorted(random.Random(seed).sample(ids, n))
+    return sorted(np.random.default_rng(seed).choice(n_rows, size=n, replace=False).tolist())
 
 
 def mixed_contexts(df: DataFrame, key: str, capped: str, share: float, seed: str = "42") -> DataFrame:
@@ -153,7 +154,7 @@ def mixed_contexts(df: DataFrame, key: str, capped: str, share: float, seed: str
 
 def contamination(queries: DataFrame, corpus: DataFrame, width: int = 5) -> DataFrame:
     """queries (item_id, text) by corpus (doc_id, text): documents that share a word n-gram, and n-grams shared.
-    N-grams are compared by 64-bit hashes."""
+    N-grams are compared by 64-bit hashes; each text's are distinct before they are dealt."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = df.select(key, F.split(F.lower(T.collapse(F.col("text"))), " ").alias("w"))

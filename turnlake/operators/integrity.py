@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, bytes) of all files under path; contents are hashed where they are read."""
+    """(file, sha256, bytes) of all files under path, by their path within it; contents are
+    hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    within = F.substring(F.regexp_replace("path", r"^[a-z0-9]+:(?://[^/]*)?(?=/)", ""), len(root) + 2, 1 << 30)
+    return files.select(F.when(within == "", F.element_at(F.split("path", "/"), -1)).otherwise(within).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def verify_manifest(now: DataFrame, frozen: DataFrame) -> DataFrame:

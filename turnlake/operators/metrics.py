@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import seq
+from turnlake.operators import bench
 from turnlake.schemas import SUB_ARGS, SUB_NAME
 
 
@@ -15,7 +16,7 @@ def event_stats(events: DataFrame) -> DataFrame:
     n = F.size("accept_mask")
     run = F.when(first_no > 0, first_no - 1).otherwise(n)
     late = F.size(F.filter("accept_mask", lambda x: x)) != run
-    checked = F.when(late, F.raise_error(F.concat(F.lit("accepted token after a rejection: "), F.col("query_id"), F.lit("/"), F.col("step").cast("string"))).cast("int")).otherwise(run)
+    checked = F.when(late, F.raise_error(F.concat(F.lit("mask has an acceptance behind a rejection: "), F.col("query_id"), F.lit("/"), F.col("step").cast("string"))).cast("int")).otherwise(run)
     out = events.withColumn("accepted", checked.cast("bigint"))
     bonus = F.col("correction_token").isNotNull().cast("bigint")
     return out.withColumns({"scored": F.col("accepted") + (F.col("accepted") < n).cast("bigint"), "bonus": bonus, "emitted": F.col("accepted") + bonus})
@@ -90,14 +91,15 @@ def region_metrics(placed: DataFrame) -> DataFrame:
 
 
 def bootstrap_ci(prompts: DataFrame, stat: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """95% interval of the mean over prompts; draws are (b * 7919 + i * 104729 + seed) mod n.
-    Prompts are aggregated first, so the one cross join is n_boot small numbers by prompts."""
-    order = Window.orderBy("query_id")
-    values = prompts.select(F.coalesce(F.col(stat), F.lit(0.0)).alias("v"), (F.row_number().over(order) - 1).cast("bigint").alias("at"))
+    """95% interval of the mean over prompts. Draw i of replicate b takes the prompt at place
+    hash(seed, b, i) mod n in order of query_id, with repeats: 60 bits of an MD5, so that other
+    engines can draw the same. Draws are n_boot times prompts, dealt by replicate."""
+    placed = bench.chunked(prompts.select("query_id", F.coalesce(F.col(stat), F.lit(0.0)).alias("v")), "query_id", 1 << 62)
+    values = placed.select("v", F.col("place").cast("bigint").alias("at"))
     n = values.agg(F.count(F.lit(1)).alias("n"))
-    spark = prompts.sparkSession
-    draws = spark.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-    draws = draws.withColumn("at", F.pmod(F.col("b") * 7919 + F.col("i") * 104729 + seed, F.col("n")))
+    draws = prompts.sparkSession.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), F.lit(15)), 16, 10).cast("bigint")
+    draws = draws.where("n > 0").withColumn("at", F.pmod(h, F.col("n")))
     means = draws.join(values, "at").groupBy("b").agg((F.sum(F.round(F.col("v") * 1e6).cast("bigint")) / F.count(F.lit(1)) / 1e6).alias("m"))
     lohi = means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     mean = values.agg((F.sum(F.round(F.col("v") * 1e6).cast("bigint")) / F.count(F.lit(1)) / 1e6).alias("mean"), F.count(F.lit(1)).alias("n_prompts"))

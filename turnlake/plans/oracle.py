@@ -45,7 +45,7 @@ def _boot(name: str, value: str, n_boot: int, per: str) -> str:
     return f"""
 {name}_v AS (SELECT CAST(round(coalesce({value}, 0.0::DOUBLE) * 1e6::DOUBLE) AS BIGINT) AS v, row_number() OVER (ORDER BY query_id) - 1 AS slot FROM {per}),
 {name}_n AS (SELECT count(*) AS n FROM {name}_v),
-{name}_d AS (SELECT b, (b * 7919 + i * 104729 + 42) % (SELECT n FROM {name}_n) AS slot
+{name}_d AS (SELECT b, CAST('0x' || left(md5('42:' || b || ':' || i), 15) AS BIGINT) % (SELECT n FROM {name}_n) AS slot
   FROM (SELECT unnest(range(0, {n_boot})) AS b), (SELECT unnest(range(0, (SELECT n FROM {name}_n))) AS i)),
 {name}_m AS (SELECT b, CAST(sum(v) AS DOUBLE) / count(*) / 1e6::DOUBLE AS m FROM {name}_d JOIN {name}_v USING (slot) GROUP BY b),
 {name}_ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM {name}_m)"""
@@ -105,7 +105,7 @@ SELECT (SELECT count(*) FROM documents) AS raw, kept, (SELECT count(*) FROM docu
     "q07_seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('42' || doc_id), doc_id LIMIT 100",
     "q07b_pool_minus": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY md5('42' || doc_id), doc_id LIMIT 100)",
     "q08_token_regions": f"""
-WITH w AS (SELECT doc_id, ({WORDS_SQL})[1:50] AS w FROM documents), t AS (SELECT doc_id, unnest(range(0, len(w))) AS pos FROM w WHERE len(w) >= 40)
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), t AS (SELECT doc_id, unnest(range(0, len(w))) AS pos FROM w)
 SELECT doc_id, CAST(region AS INTEGER) AS region, count(*) AS n, min(pos) AS first, max(pos) AS last
 FROM (SELECT *, CASE WHEN pos IN (9, 29, 30) THEN 3 WHEN pos BETWEEN 10 AND 28 THEN 2 ELSE 1 END AS region FROM t) GROUP BY doc_id, region""",
     "q09_turn_starts": f"WITH {_STARTS} SELECT conv_id, turn_index, start FROM starts",
@@ -168,16 +168,16 @@ SELECT 'alpha' AS stat, round((SELECT CAST(sum(v) AS DOUBLE) / count(*) / 1e6::D
 UNION ALL SELECT 'tau', round((SELECT CAST(sum(v) AS DOUBLE) / count(*) / 1e6::DOUBLE FROM t_v), 6), round(lo, 6), round(hi, 6), (SELECT n FROM t_n) FROM t_ci""",
     "q27_name_args_cut": f"""
 WITH {_CALLS}, t AS (SELECT event_id, '{{"name": "' || CASE WHEN k % 7 = 1 THEN 'nope' ELSE event_type END || '", "arguments": ' ||
-  CASE WHEN k % 7 = 2 THEN '{{"city": "c' || k || '", "zoom": 1}}' WHEN k % 7 = 3 THEN '{{"unit": "m"}}' ELSE '{{"city": "c' || k || '", "unit": "m"}}' END || '}}' AS call FROM c WHERE event_id < 2000),
+  CASE WHEN k % 7 = 2 THEN '{{"city": "c' || k || '", "zoom": 1}}' WHEN k % 7 = 3 THEN '{{"unit": "m"}}' ELSE '{{"city": "c' || k || '", "unit": "m"}}' END || '}}' AS call FROM c),
 p AS (SELECT event_id, length(call) AS n, strpos(call, '"arguments"') - 1 AS cut FROM t)
 SELECT event_id AS span, cut // 4 AS n_name, (n + 3) // 4 - cut // 4 AS n_args FROM p""",
     "q28_ngram_lookup": f"""
-WITH w AS (SELECT doc_id, list_transform(({WORDS_SQL})[1:40], lambda x: lower(left(x, 2))) AS s FROM documents),
-c AS (SELECT doc_id, s, n, unnest(range(0, greatest(len(s) - n, 0))) AS slot FROM w, (SELECT unnest([3, 2, 1]) AS n)),
-hit AS (SELECT doc_id, any_value(s) AS s, n, min(slot) AS slot FROM c WHERE s[slot + 1 : slot + n] = s[len(s) - n + 1 : len(s)] GROUP BY doc_id, n),
-best AS (SELECT doc_id, arg_max(s, n) AS s, max(n) AS n, arg_max(slot, n) AS slot FROM hit GROUP BY doc_id),
-p AS (SELECT w.doc_id, CASE WHEN b.n IS NULL THEN ['<pad>'] ELSE b.s[b.slot + b.n + 1 : b.slot + b.n + 3] END AS p FROM w LEFT JOIN best b USING (doc_id))
-SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, ' ') AS proposal FROM p""",
+WITH w AS (SELECT doc_id, list_transform({WORDS_SQL}, lambda x: lower(x)) AS s FROM documents),
+t AS (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i, len(s) AS l, s[len(s)] AS e1, s[len(s) - 1] AS e2, s[len(s) - 2] AS e3 FROM w),
+p AS (SELECT *, lag(x, 1) OVER o AS x1, lag(x, 2) OVER o AS x2 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (SELECT doc_id, coalesce(min(i) FILTER (WHERE x = e1 AND x1 = e2 AND x2 = e3 AND l >= 3), min(i) FILTER (WHERE x = e1 AND x1 = e2 AND l >= 2), min(i) FILTER (WHERE x = e1)) AS e FROM p WHERE i < l GROUP BY doc_id),
+g AS (SELECT w.doc_id, CASE WHEN e IS NULL THEN ['<pad>'] ELSE s[e + 1 : e + 3] END AS p FROM w LEFT JOIN hit USING (doc_id))
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, ' ') AS proposal FROM g""",
     "q29_integrity": "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "q29b_set_checks": f"""
 WITH {_CARVE}, pt AS (SELECT DISTINCT tool FROM uses WHERE example IN (SELECT example FROM pool))
@@ -296,7 +296,7 @@ def _overlap() -> None:
     ctes = [EVENTS_SQL]
     for t in types:
         ctes.append(_PER_PROMPT.format(src=f"(SELECT * FROM st WHERE event_type = '{t}')").replace("per AS", f"per_{t} AS"))
-        ctes.append(_boot(t, "CAST(n_accepted AS DOUBLE) / n_steps", 200, f"per_{t}"))
+        ctes.append(_boot(t, "CAST(n_accepted AS DOUBLE) / n_steps", 1000, f"per_{t}"))
     union = " UNION ALL ".join(f"SELECT '{t}' AS run, lo, hi FROM {t}_ci" for t in types)
     ORACLE["q46_ci_overlap"] = f"WITH {', '.join(ctes)}, ci AS ({union}) SELECT a.run AS run_a, b.run AS run_b, greatest(a.lo, b.lo) > least(a.hi, b.hi) AS apart FROM ci a JOIN ci b ON a.run < b.run"
 

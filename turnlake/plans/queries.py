@@ -431,7 +431,7 @@ def q46_ci_overlap(spark, sf):
     s = _stats(spark, sf)
     parts = None
     for t in proxies.TYPE_CODE:
-        ci = metrics.bootstrap_ci(metrics.per_prompt(s.where(F.col("event_type") == t)), "tau", 200).select(F.lit(t).alias("run"), "lo", "hi")
+        ci = metrics.bootstrap_ci(metrics.per_prompt(s.where(F.col("event_type") == t)), "tau").select(F.lit(t).alias("run"), "lo", "hi")
         parts = ci if parts is None else parts.unionByName(ci)
     return metrics.ci_overlap(parts)
 
