@@ -75,3 +75,18 @@ def opener_distribution(df: DataFrame, by: str) -> DataFrame:
     """Counts of first tokens per group, and their share of the group. df: by, first."""
     c = df.groupBy(by, "first").agg(F.count(F.lit(1)).alias("n"))
     return c.join(c.groupBy(by).agg(F.sum("n").alias("of")), by).select(by, "first", "n", F.round(F.col("n") / F.col("of"), 6).alias("share"))
+
+
+def single_turn_messages(raw: DataFrame) -> DataFrame:
+    """Raw single-turn rows (id, query, tools and answers as JSON) to query_id, messages (a user
+    turn, then one assistant turn with all answer calls), converted tools and n_answers.
+    Broken JSON is an error."""
+    tools = F.from_json("tools", "array<struct<name: string, description: string, parameters: map<string, struct<type: string, description: string, default: string>>>>", {"mode": "FAILFAST"})
+    answers = F.from_json("answers", "array<struct<name: string, arguments: variant>>", {"mode": "FAILFAST"})
+    call = lambda a: F.struct(a["name"].alias("name"), F.to_json(a["arguments"]).alias("arguments"))
+    none = F.expr("cast(null as array<struct<name: string, arguments: string>>)")
+    user = F.struct(F.lit("user").alias("role"), F.col("query").alias("content"), none.alias("tool_calls"))
+    turn = F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content"), F.transform("_a", call).alias("tool_calls"))
+    tool = lambda t: F.struct(t["name"].alias("name"), F.coalesce(t["description"], F.lit("")).alias("description"), T.convert_flat_tool(t["parameters"]).alias("parameters"))
+    rows = raw.withColumn("_a", answers)
+    return rows.select(F.col("id").cast("string").alias("query_id"), F.array(user, turn).alias("messages"), F.transform(tools, tool).alias("tools"), F.size("_a").alias("n_answers"))

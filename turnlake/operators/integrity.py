@@ -40,3 +40,17 @@ def set_checks(spark: SparkSession, *, disjoint=(), subset=(), size=(), non_empt
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def freeze(spark: SparkSession, path: str, sets: dict[str, DataFrame], indices: dict[str, DataFrame]) -> DataFrame:
+    """Write sets as Parquet and indices (idx) as sorted JSON lines under path, and their
+    manifest beside it; then verify it. Any problem is an error. Returns the manifest."""
+    for name, df in sets.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, df in indices.items():
+        df.select("idx").repartition(1).sortWithinPartitions("idx").write.mode("overwrite").json(f"{path}/{name}")
+    manifest(spark, path).coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
+    frozen = spark.read.schema("file string, sha256 string, bytes long").json(f"{path}.manifest")
+    if not (found := verify_manifest(manifest(spark, path), frozen)).isEmpty():
+        raise ValueError(f"freeze does not verify: {found.limit(5).collect()}")
+    return frozen

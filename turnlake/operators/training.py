@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.functions import seq
+from turnlake.schemas import NO_LOSS
+
 
 def _break_table(n, cap: int):
     """How a run of lengths acts on a pack with `used` tokens: if it first breaks at record k
@@ -193,3 +196,17 @@ def simulate(rows: DataFrame, k: int, budget: int, eos: int, make_proposer=Ngram
             yield pd.DataFrame(got, columns=["query_id", "step", "draft_tokens", "accept_mask", "correction_token", "eos", "step_type"]).astype({"correction_token": "Int32"})
 
     return rows.select("query_id", "prompt_ids", "target_ids").mapInPandas(run, "query_id string, step int, draft_tokens array<int>, accept_mask array<boolean>, correction_token int, eos boolean, step_type string")
+
+
+def simulate_turns(records: DataFrame, k: int, budget: int, eos: int, make_proposer=NgramProposer) -> DataFrame:
+    """Every assistant turn of records (query_id, input_ids, labels): each turn starts from the
+    true tokens before it, whatever the turn before came to, and its own labelled tokens are
+    the target. Events with turn; null for records of one turn."""
+    r = records.select("query_id", "input_ids", "labels", seq.turn_starts(F.col("labels")).alias("starts"))
+    ends = lambda s: F.coalesce(F.get(F.filter(seq.indices(F.col("labels")), lambda i: (i > s) & (F.get("labels", i) == NO_LOSS)), F.lit(0)), F.size("labels"))
+    t = r.select("query_id", "input_ids", "labels", F.size("starts").alias("n"), F.posexplode("starts").alias("turn", "s"))
+    t = t.withColumn("e", ends(F.col("s")))
+    key = F.to_json(F.struct(F.col("query_id").alias("q"), F.when(F.col("n") > 1, F.col("turn")).alias("t")))
+    rows = t.select(key.alias("query_id"), F.slice("input_ids", F.lit(1), F.col("s")).alias("prompt_ids"), F.slice("input_ids", F.col("s") + 1, F.col("e") - F.col("s")).alias("target_ids"))
+    out = simulate(rows, k, budget, eos, make_proposer).withColumn("_k", F.from_json("query_id", "q string, t int"))
+    return out.select(F.col("_k.q").alias("query_id"), F.col("_k.t").alias("turn"), *[c for c in out.columns if c not in ("query_id", "_k")])

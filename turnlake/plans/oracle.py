@@ -268,6 +268,19 @@ SELECT count(*) AS n_positions, count(*) FILTER (WHERE x.alpha >= y.alpha) AS n_
     "q53_teacher_width": "SELECT CAST(greatest(1, max(least(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 25, 20))) AS BIGINT) AS width FROM events",
     "q54_cyclic_contexts": "WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) SELECT o_orderkey, n_name FROM orders JOIN n ON n.i = o_orderkey % (SELECT count(*) FROM nation)",
 }
+ORACLE |= {
+    "q55_messages": f"""
+WITH {_CALLS}, a AS (SELECT *, CASE WHEN k % 7 = 1 THEN 'nope' ELSE event_type END AS name, CASE WHEN k % 7 = 2 THEN '"city":"c' || k || '","zoom":1' WHEN k % 7 = 3 THEN '"unit":"m"' ELSE '"city":"c' || k || '","unit":"m"' END AS args FROM c),
+n AS (SELECT *, length('{{"name": "' || name || '", "arguments": {{' || args || '}}}}') + CASE WHEN k % 7 = 3 THEN 1 ELSE 3 END AS l FROM a)
+SELECT CAST(event_id AS VARCHAR) AS query_id, 1 + k % 2 AS n_answers, name AS first_name, '{{' || args || '}}' AS first_arguments, '3' AS default_n,
+  CASE WHEN k % 7 = 4 THEN 15 WHEN k % 7 = 5 THEN 20 WHEN k % 7 = 6 THEN 2 * l + 24 ELSE l + 16 END AS n_query FROM n""",
+    "q56_dataset_stats": f"""WITH {_CODES}, u AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE code IN (2, 3)) AS t FROM codes GROUP BY query_id)
+SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens_total, quantile_cont(n, 0.5) AS n_tokens_median, quantile_cont(n, 0.95) AS n_tokens_p95, max(n) AS n_tokens_max, round(100.0::DOUBLE * CAST(sum(t) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 1) AS pct_tool_call FROM u""",
+    "q57_carve_stats": f"""WITH {_CARVE} SELECT (SELECT count(DISTINCT example) FROM uses) AS n_examples, (SELECT count(*) FROM evals) AS eval_size, (SELECT count(*) FROM heldout) AS heldout_tools, (SELECT count(*) FROM pool) AS pool,
+  round(100.0::DOUBLE * (SELECT count(*) FROM pool) / (SELECT count(DISTINCT example) FROM uses), 1) AS pool_pct""",
+    "q58_gather": "WITH i AS (SELECT doc_id AS raw_idx, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE n_chars >= 500) SELECT ord, raw_idx, n_chars FROM i WHERE ord % 3 = 0",
+    "q59_run_totals": f"SELECT count(*) AS n_prompts, CAST(sum(coalesce(len({WORDS_SQL}), 0)) AS BIGINT) AS n_tokens, 1.5::DOUBLE AS wall_s FROM documents",
+}
 ORACLE["q04b_funnel"] = f"SELECT reason, count(*) AS n FROM ({ORACLE['q04_conv_filter']}) GROUP BY reason"
 
 

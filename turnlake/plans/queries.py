@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import losses, render, seq
 from turnlake.functions import text as T
-from turnlake.operators import assemble, bench, clean, integrity, metrics, training
+from turnlake.operators import assemble, bench, clean, integrity, metrics, reporting, training
 from turnlake.plans import proxies
 from turnlake.plans.proxies import table
 
@@ -481,5 +481,39 @@ def q54_cyclic_contexts(spark, sf):
     return training.cyclic(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "nation").select("n_nationkey", "n_name"), "o_orderkey", "n_nationkey").select("o_orderkey", "n_name")
 
 
+def q55_messages(spark, sf):
+    """events as raw single-turn rows: a tool named by the type, one or two answers by k."""
+    c = proxies.calls(spark, sf)
+    tools = F.concat(F.lit('[{"name": "'), F.col("event_type"), F.lit('", "description": "d", "parameters": {"city": {"type": "str", "description": "c"}, "n": {"type": "int, optional", "description": "n", "default": 3}}}]'))
+    answers = F.concat(F.lit("["), F.col("call"), F.when(F.col("k") % 2 == 1, F.concat(F.lit(", "), F.col("call"))).otherwise(F.lit("")), F.lit("]"))
+    m = assemble.single_turn_messages(c.select(F.col("event_id").alias("id"), F.col("text").alias("query"), tools.alias("tools"), answers.alias("answers")))
+    first = F.get("messages", F.lit(1))["tool_calls"]
+    return m.select("query_id", F.col("n_answers").cast("bigint").alias("n_answers"), F.get(first, F.lit(0))["name"].alias("first_name"), F.get(first, F.lit(0))["arguments"].alias("first_arguments"), F.get("tools", F.lit(0))["parameters"]["n"]["default"].alias("default_n"), F.length(F.get("messages", F.lit(0))["content"]).cast("bigint").alias("n_query"))
+
+
+def q56_dataset_stats(spark, sf):
+    codes = proxies.user_codes(spark, sf)
+    s = reporting.dataset_stats(codes.select(F.size("codes").alias("n_tokens"), seq.rle(F.col("codes")).alias("regions")))
+    return s.select("n", "tokens_total", "n_tokens_median", "n_tokens_p95", "n_tokens_max", "pct_tool_call")
+
+
+def q57_carve_stats(spark, sf):
+    uses = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("example"), F.col("l_partkey").alias("tool"))
+    return reporting.carve_stats(clean.rarity_carve(uses, 100), uses)
+
+
+def q58_gather(spark, sf):
+    """Every third document of the index of long ones, dereferenced and gathered."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("raw_idx"), "n_chars")
+    index = bench.chunked(d.where("n_chars >= 500").select("raw_idx"), "raw_idx", 1 << 62).select(F.col("place").alias("ord"), "raw_idx")
+    positions = index.where("ord % 3 = 0").select("ord", F.col("ord").alias("idx"))
+    return reporting.gather(d, reporting.dereference(positions, index)).select(F.col("ord").cast("bigint").alias("ord"), "raw_idx", "n_chars")
+
+
+def q59_run_totals(spark, sf):
+    d = table(spark, sf, "documents").select(F.coalesce(proxies.words(), F.expr("cast(array() as array<string>)")).alias("output_ids"))
+    return reporting.run_totals(d, 1.5).withColumn("wall_s", F.col("wall_s").cast("double"))
+
+
 def catalogue() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("q") and k[1:3].isdigit()}

@@ -35,6 +35,19 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def report_json(report: dict, path: str) -> None:
+    """A full report: per_prompt as JSON lines in path, the rest as one line in path.json."""
+    per_prompt = report["per_prompt"]
+    jsonl(per_prompt, path, "query_id")
+    rest = json.dumps({k: v for k, v in report.items() if k != "per_prompt"}, sort_keys=True)
+    per_prompt.sparkSession.createDataFrame([(rest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.json")
+
+
+def append_samples(samples: DataFrame, path: str) -> None:
+    """A log of sampled contexts: micro, source, context and sampled tokens."""
+    samples.select("micro", "source", F.size("input_ids").alias("n_ctx_tokens"), "n_sampled").write.mode("append").json(path)
+
+
 def index_json(df: DataFrame, path: str, column: str = "idx") -> None:
     """A sorted JSON array of a small index on the driver's disk."""
     with open(path, "w") as f:
