@@ -382,3 +382,17 @@ def test_repeated_ids_with_other_texts(spark):
         out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(part)).collect()
         assert len(out) == len(rows)
         assert {(r.doc_id, r.component_id) for r in out} == want
+
+
+def test_shingle_sets_of_a_batch():
+    """Sets of whole batches, of slices and of single texts agree, and have one hash per distinct shingle."""
+    import pyarrow as pa
+
+    from turnlake.llm import minhash
+
+    texts = [None, "", " \t", "\x0b a", "A b c d", "a B c d e", "x" * 64, "x" * 65 + " y", "é É \x85 　 z", "a b " * 2000, "a b c d  e"]
+    sets = list(minhash.shingle_sets(pa.array(texts, pa.string())))
+    assert [len(x) for x in sets] == [0, 0, 0, 1, 1, 1, 1, 1, 1, 2, 1]
+    assert all((a == minhash.shingles(t)).all() for a, t in zip(sets, texts, strict=True))
+    assert all((a == b).all() for a, b in zip(sets[3:9], minhash.shingle_sets(pa.array(texts, pa.string()).slice(3, 6)), strict=True))
+    assert sets[5] == sets[10] and len({x.tobytes() for x in sets}) == 8

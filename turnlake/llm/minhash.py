@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,36 +43,46 @@ BANDS, ROWS = 32, 4
 LEAST_ESTIMATE = 0.56
 #: A block's rows and bytes of hashed sets; a tile compares two blocks.
 TILE, TILE_BYTES = 1024, 16 << 20
-_CACHE = 500_000
+#: Bytes of texts and number of words hashed at once; words of more bytes are hashed singly.
+TEXT_BYTES, WORDS_AT_ONCE, SHORT_WORD = 4 << 20, 1 << 14, 64
 _WORDS = np.uint64(0x9E3779B97F4A7C15)
 _SIGMA = np.uint64(0xBF58476D1CE4E5B9)
 _PI = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
-class _WordHash(dict):
-    def __init__(self):
-        import xxhash
-
-        self.hash = xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.hash(word)
-        if len(self) < _CACHE:
-            self[word] = h
-        return h
-
-
 @functools.cache
-def _word_hash() -> _WordHash:
-    return _WordHash()
+def _byte_table() -> np.ndarray:
+    """A mixed 64-bit value for each (place in a word, byte)."""
+    x = np.arange(1, SHORT_WORD * 256 + 1, dtype=np.uint64) * _WORDS
+    for shift in (30, 27):
+        x = (x ^ (x >> np.uint64(shift))) * _SIGMA
+    return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: ASCII letters and white space only
-    if not words:
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of non-empty words, by tabulation; those of over SHORT_WORD bytes by xxhash."""
+    import xxhash
+
+    offsets, size = words.buffers()[1], words.buffers()[2]
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, length = np.frombuffer(size, np.uint8), np.diff(at)
+    out = np.empty(len(words), np.uint64)
+    for lo in range(0, len(words), WORDS_AT_ONCE):
+        ids = lo + np.flatnonzero(length[lo : lo + WORDS_AT_ONCE] <= SHORT_WORD)
+        if len(ids):
+            n = length[ids]
+            first = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(first, n)
+            out[ids] = np.add.reduceat(_byte_table()[place * 256 + data[place + np.repeat(at[ids], n)]], first)
+    for i in np.flatnonzero(length > SHORT_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i + 1]].tobytes())
+    return out
+
+
+def _set_of(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of words with hashes h."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash().__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, np.uint64(min(len(h), width)))
     for k in range(min(len(h), width)):
@@ -82,6 +93,25 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return out[np.r_[True, out[1:] != out[:-1]]] if len(out) > 1 else out
 
 
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; about TEXT_BYTES of texts are split at once."""
+    part = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_BYTES
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(texts)] if len(texts) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo).fill_null("")))
+        words, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        real = pc.greater(pc.binary_length(words), 0)  # not so at the ends of a text in white space
+        ends = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends]
+        h = _word_hashes(words.filter(real))
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield _set_of(h[a:b], width)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return next(shingle_sets(pa.array([text], pa.string()), width))
+
+
 @functools.cache
 def _shifts(n: int) -> np.ndarray:
     return (np.arange(n, dtype=np.uint32) * _PI[0])[:, None]
@@ -124,8 +154,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         n, key, bands, sig = [], [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py())
+        for s in shingle_sets(batch.column(1)):
             n.append(len(s))
             if len(s):
                 c = signature(s)
@@ -148,10 +177,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) whose full sets are similar enough."""
     for batch in batches:
         keep, seen = [], {}
-        for b, one, two in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+        for b, one, two in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(2)), batch.column(3), strict=True):
             if b not in seen:  # neighbours often share one side
                 seen = {b: shingles(two.as_py())}
-            keep.append(_similar(shingles(one.as_py()), seen[b]))
+            keep.append(_similar(one, seen[b]))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -211,7 +240,7 @@ def _exact_tile(g: dict[str, np.ndarray]) -> tuple | None:
     """A forest over a tile's components with links between them, verified on full sets."""
     sig, (one, two) = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), -1), _sides(g)
     comp, n = g["comp"], g["n"]
-    sets = [shingles(t) for t in g["text"]]
+    sets = list(shingle_sets(pa.array(g["text"], pa.string())))
     words, ids = np.unique(np.concatenate(sets), return_inverse=True)
     sets = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
     size, mark = np.array([len(x) for x in sets]), np.zeros(len(words), np.int64)
