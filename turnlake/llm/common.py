@@ -114,26 +114,23 @@ def components(edges: DataFrame) -> DataFrame:
     with aggregates and joins alone; the work tables stay no larger than the edges.
     Ids without an edge are not in the result. Self-loops and repeats are ignored."""
 
-    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
-        """Materialised, with its count and a checksum that the same job observes."""
-        seen = Observation()
-        out = materialize(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
-        return out, (seen.get.get("n", 0), seen.get.get("x"))
-
-    cur, mark = written(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
-    while mark[0]:
+    cur = materialize(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
+    while True:
         # both joins read written tables on both sides, so that Spark can split a hub's rows
-        both = cur.unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        both, seen = cur.unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u"))), Observation()
+        ends = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
+        # stars: no vertex has two smaller neighbours, or both a smaller and a larger one
+        ends = ends.observe(seen, F.count_if((F.col("below") > 1) | (F.col("below") > 0) & (F.col("above") > 0)).alias("open"))
+        low = materialize(ends.select("u", F.least("m", "u").alias("m")))
+        if not seen.get.get("open"):
+            discard(low)
+            break
         large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = large.join(low2, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        nxt, now = written(small)
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        nxt = materialize(large.join(low2, "u").select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         for x in (cur, low, large, low2):
             discard(x)
-        same, mark, cur = now == mark, now, nxt
-        if same:
-            break
+        cur = nxt
     # every edge now joins a vertex with its component's smallest id
     return cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionAll(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
