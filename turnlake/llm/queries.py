@@ -97,6 +97,77 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS id, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents WHERE text IS NOT NULL)),
+words AS (SELECT lang, id, unnest(w) AS w1, unnest(range(len(w))) AS pos FROM pieces),
+runs AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY id ORDER BY pos)),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+f1 AS (SELECT lang, w1 AS p, count(*) AS c FROM runs GROUP BY 1, 2),
+f2 AS (SELECT lang, w1 || ' ' || w2 AS p, count(*) AS c FROM runs WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS p, count(*) AS c FROM runs WHERE w3 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10),
+two AS (
+  SELECT f.lang, f.p AS phrase, f.c AS a, l.c AS l, r.c AS r, CAST(f.c AS HUGEINT) * f.c * 1000000 // (CAST(l.c AS HUGEINT) * r.c) AS score
+  FROM f2 f JOIN f1 l ON l.lang = f.lang AND l.p = split_part(f.p, ' ', 1) JOIN f1 r ON r.lang = f.lang AND r.p = split_part(f.p, ' ', 2)
+  WHERE f.c >= 10),
+parts AS (
+  SELECT lang, p, c, 1 AS k, split_part(p, ' ', 1) AS lp, split_part(p, ' ', 2) || ' ' || split_part(p, ' ', 3) AS rp FROM f3
+  UNION ALL SELECT lang, p, c, 2, split_part(p, ' ', 1) || ' ' || split_part(p, ' ', 2), split_part(p, ' ', 3) FROM f3),
+f12 AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+cuts AS (
+  SELECT f.lang, f.p AS phrase, f.c AS a, f.k, l.c AS l, r.c AS r, CAST(f.c AS HUGEINT) * f.c * 1000000 // (CAST(l.c AS HUGEINT) * r.c) AS score
+  FROM parts f JOIN f12 l ON l.lang = f.lang AND l.p = f.lp JOIN f12 r ON r.lang = f.lang AND r.p = f.rp),
+three AS (SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner2 AS (
+  SELECT lang, p, max(c) AS longer FROM (
+    SELECT lang, split_part(p, ' ', 1) || ' ' || split_part(p, ' ', 2) AS p, c FROM f3
+    UNION ALL SELECT lang, split_part(p, ' ', 2) || ' ' || split_part(p, ' ', 3), c FROM f3) GROUP BY ALL),
+kept AS (
+  SELECT t.* FROM two t LEFT JOIN inner2 i ON i.lang = t.lang AND i.p = t.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * t.a
+  UNION ALL SELECT * FROM three)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.conversation_repair import audit, damaged
+
+    return audit(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+#: The checksum goes over half bytes; the 16 values are its table for them.
+OP13_SQL = r"""
+WITH draws AS (
+  SELECT doc_id, coalesce(text, '') AS t, 'shard-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' AS k FROM documents),
+best AS (
+  SELECT *, list_max(list_transform(range(0, 16), lambda s: md5(k || CAST(s AS VARCHAR)) || printf('%06d', s))) AS b, md5(k || '16') || '000016' AS g FROM draws),
+rows_ AS (
+  SELECT doc_id, md5(k) AS h, CAST(strlen(t) + 1 AS BIGINT) AS size, CAST(right(b, 6) AS INTEGER) AS shard, CAST(right(greatest(b, g), 6) AS INTEGER) AS grown_shard,
+    list_reduce(
+      [CAST(4294967295 AS BIGINT)] || flatten(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: [CAST(strpos('0123456789ABCDEF', b[2]) - 1 AS BIGINT), CAST(strpos('0123456789ABCDEF', b[1]) - 1 AS BIGINT)])),
+      lambda c, x: xor([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][xor(c & 15, x) + 1], c >> 4)) AS c
+  FROM best)
+SELECT doc_id, size, xor(c, 4294967295) AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size, text_crc32, grown_shard) - 1 AS slot, grown_shard
+FROM rows_
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -104,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op11_collocations": OP11_SQL, "op13_sharding": OP13_SQL}
