@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,10 @@ SCALE = 1_000_000
 #: Bits per frequent phrase, and the most bits of a broadcast bitmap.
 BITS, LEAST_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 #: Bytes of text split at once; words and phrases that a task holds before it emits them.
-SLICE, WORDS, PHRASES = 1 << 22, 1_000_000, 2_000_000
+SLICE, WORDS, PHRASES = 1 << 22, 900_000, 2_000_000
+#: Bits of a word's number in a phrase's code, and the numbers that fit. A slice adds at most
+#: a million different words to WORDS.
+WORD_BITS, FIT = 21, 3
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TO_BREAK = bytes.maketrans(_BREAKS, b"." * len(_BREAKS))
@@ -89,15 +93,17 @@ class Words(dict):
 
 
 class Counter:
-    """Counts of one language's k-word phrases in a task."""
+    """Counts of one language's k-word phrases in a task. A phrase is a code of its words' numbers;
+    result batches wait in `out`."""
 
     def __init__(self, lang: str, k: int, bitmap: np.ndarray | None):
         self.lang, self.k, self.bitmap, self.seed = lang, k, bitmap, word_hash(lang.encode())
+        self.out: list[pa.RecordBatch] = []
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.hash_array, self.frequent = Words(), np.zeros(1, np.uint64), np.zeros(1, bool)
-        self.keys, self.counts, self.held = [], [], 0
+        self.words, self.hashes, self.frequent = Words(), np.zeros(1, np.uint64), np.zeros(1, bool)
+        self.codes, self.counts, self.new, self.n_new = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
     def hit(self, hashes: list[np.ndarray]) -> np.ndarray:
         at = phrase_hash(hashes, self.seed) & np.uint64(len(self.bitmap) * 8 - 1)
@@ -105,69 +111,76 @@ class Counter:
 
     def add(self, text: bytes) -> None:
         """Count a text that is already lower-cased and has one kind of break."""
-        tail = np.zeros(0, np.int64)
+        tail = []
         for part in slices(text):
-            tokens = part.replace(b".", b" . ").split()
+            if len(self.words.list) > WORDS or len(self.codes) > PHRASES:
+                self.emit()
+            tokens = tail + part.replace(b".", b" . ").split()
+            tail = tokens[len(tokens) - self.k + 1 :] if self.k > 1 else []
             ids = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
-            new = len(self.hash_array)
-            if len(self.words.list) > new:
-                self.hash_array = np.append(self.hash_array, np.array(self.words.hashes[new:], np.uint64))
+            known = len(self.hashes)
+            if len(self.words.list) > known:
+                self.hashes = np.append(self.hashes, np.array(self.words.hashes[known:], np.uint64))
                 if self.k == 2:
-                    self.frequent = np.append(self.frequent, self.hit([self.hash_array[new:]]))
-            ids = np.concatenate([tail, ids])
-            tail = ids[len(ids) - self.k + 1 :] if self.k > 1 else ids[:0]
+                    self.frequent = np.append(self.frequent, self.hit([self.hashes[known:]]))
             self._count(ids)
 
     def _count(self, ids: np.ndarray) -> None:
         k, n = self.k, len(ids) - self.k + 1
         if n <= 0:
             return
-        at = [ids[j : j + n] for j in range(k)]
         if k == 1:
-            keep = at[0] > 0
+            keep = ids > 0
         elif k == 2:
-            keep = self.frequent[at[0]] & self.frequent[at[1]]
+            ok = self.frequent[ids]
+            keep = ok[:-1] & ok[1:]
         else:  # both overlapping phrases of k - 1 words
-            whole = np.lib.stride_tricks.sliding_window_view(ids > 0, k - 1).all(1)
-            where = np.flatnonzero(whole)
-            ok = np.zeros(len(whole), bool)
-            ok[where] = self.hit([self.hash_array[ids[where + j]] for j in range(k - 1)])
+            ok = np.lib.stride_tricks.sliding_window_view(ids > 0, k - 1).all(1)
+            where = np.flatnonzero(ok)
+            ok[where] = self.hit([self.hashes[ids[where + j]] for j in range(k - 1)])
             keep = ok[:-1] & ok[1:]
-        rows = np.stack([a[keep] for a in at], 1)
-        if not len(rows):
-            return
-        self.keys.append(rows)
-        self.counts.append(np.ones(len(rows), np.int64))
-        self.held += len(rows)
-        if self.held > PHRASES:
+        at = np.flatnonzero(keep)
+        code = ids[at]
+        for j in range(1, min(k, FIT)):
+            code = code << WORD_BITS | ids[at + j]
+        self.new.append(code if k <= FIT else np.stack([code, *(ids[at + j] for j in range(FIT, k))], 1))
+        self.n_new += len(at)
+        if self.n_new > PHRASES:
             self.merge()
 
     def merge(self) -> None:
-        if len(self.keys) > 1 or self.counts and self.counts[0].min() == 1:
-            rows, n = np.concatenate(self.keys), np.concatenate(self.counts)
-            size, code = len(self.words.list), np.zeros(len(rows), np.int64)
-            for j in range(self.k):  # words are at most a few million: codes of two fit, of three are renumbered
-                if j == 2:
-                    code = np.unique(code, return_inverse=True)[1]
-                code = code * size + rows[:, j]
-            order = np.argsort(code, kind="stable")
-            first = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
-            self.keys, self.counts = [rows[order[first]]], [np.add.reduceat(n[order], first)]
-        self.held = sum(map(len, self.keys))
-
-    def full(self) -> bool:
-        return self.held > PHRASES // 2 or len(self.words.list) > WORDS
-
-    def emit(self) -> Iterator[pa.RecordBatch]:
+        """Sum equal codes; longer phrases than fit in a code are rows of numbers."""
+        if self.n_new:
+            new, n = np.unique(np.concatenate(self.new), return_counts=True, axis=0 if self.k > FIT else None)
+            if len(self.codes):
+                both, place = np.unique(np.concatenate([self.codes, new]), return_inverse=True, axis=0 if self.k > FIT else None)
+                self.counts = np.bincount(place.ravel(), np.concatenate([self.counts, n]), len(both)).astype(np.int64)
+                self.codes = both
+            else:
+                self.codes, self.counts = new, n
+        self.new, self.n_new = [], 0
+
+    def size(self) -> int:
+        return len(self.codes) + self.n_new + len(self.words.list)
+
+    def emit(self) -> None:
         self.merge()
-        if self.keys:
-            rows, counts, words = self.keys[0], self.counts[0], self.words.list
-            for a in range(0, len(rows), 100_000):
-                part = rows[a : a + 100_000]
-                phrases = pa.array([b" ".join(map(words.__getitem__, r)) for r in part.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(part), pa.string()), phrases, pa.array(counts[a : a + 100_000])], ["lang", "phrase", "n"])
+        words = pa.array(self.words.list, pa.binary())
+        for a in range(0, len(self.codes), 100_000):
+            part = self.codes[a : a + 100_000]
+            first, rest = (part[:, 0], list(part.T[1:])) if self.k > FIT else (part, [])
+            k = min(self.k, FIT)
+            ids = [first >> (WORD_BITS * (k - 1 - j)) & ((1 << WORD_BITS) - 1) for j in range(k)] + rest
+            parts = [words.take(pa.array(i)) for i in ids]
+            phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if self.k > 1 else parts[0]
+            lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int32)), pa.array([self.lang])).cast(pa.string())
+            self.out.append(pa.RecordBatch.from_arrays([lang, phrases.cast(pa.string()), pa.array(self.counts[a : a + 100_000])], ["lang", "phrase", "n"]))
         self.clear()
 
+    def taken(self) -> list[pa.RecordBatch]:
+        out, self.out = self.out, []
+        return out
+
 
 def counted(docs: DataFrame, k: int, bitmap: np.ndarray | None) -> DataFrame:
     """(lang, phrase, n) of the k-word phrases that a bitmap of the level below lets through."""
@@ -183,16 +196,15 @@ def counted(docs: DataFrame, k: int, bitmap: np.ndarray | None) -> DataFrame:
             for lang, parts in texts.items():
                 c = counters.get(lang) or counters.setdefault(lang, Counter(lang, k, bits))
                 c.add(b"".join(x.lower().translate(_TO_BREAK) + b"." for x in parts))
-                if c.full():
-                    c.merge()
-                    if c.full():
-                        yield from c.emit()
-            if sum(c.held for c in counters.values()) > 2 * PHRASES or sum(len(c.words.list) for c in counters.values()) > 2 * WORDS:
+                yield from c.taken()
+            if sum(c.size() for c in counters.values()) > 2 * (WORDS + PHRASES):
                 for c in counters.values():
-                    yield from c.emit()
+                    c.emit()
+                    yield from c.taken()
                 counters = {}
         for c in counters.values():
-            yield from c.emit()
+            c.emit()
+            yield from c.taken()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
     return rows.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
