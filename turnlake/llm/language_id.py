@@ -6,13 +6,14 @@ found by spherical k-means among its training vectors; a text gets the language
 centroid with the highest cosine. It is rejected where its distance exceeds what nearly
 all training texts of that centroid have, by a margin that shrinks with the text's length.
 
-The classifier is fitted on at most SAMPLE texts per language, those with the lowest hash
-of doc_id among the rows allowed for training; every language is learned, BLOCK of them
+The classifier is fitted on at most SAMPLE texts per language, the different rows with the
+lowest hash of doc_id and text among those allowed for training; every language is learned, BLOCK of them
 at a time. Everything else covers all rows, and whole texts.
 
 Edge cases: null text or text without a letter is ``und`` with score 0, and rejected;
 without any training row all texts are ``und``; languages with one text have one centroid;
-repeated rows repeat; an empty table gives an empty result; other columns are ignored.
+repeated rows repeat, but are learned once; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -147,30 +148,34 @@ def _counted(text: pa.Array) -> pa.Array:
     return pa.array([counts(t.as_py() or "").tobytes() for t in text], pa.binary())
 
 
+def _empty() -> tuple[np.ndarray, list[str]]:
+    return np.zeros((0, 1 << BITS), np.float32), []
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on rows (doc_id, text, lang): per language the sample texts with the lowest hashes."""
+    """Fit on rows (doc_id, text, lang): per language the sample different rows with the lowest hashes
+    of id and text; rows equal in both are learned once, however often they come."""
     bounded_batches(rows.sparkSession)
-    rows = rows.where("text is not null and lang is not null").withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.where("text is not null and lang is not null").withColumn("h", F.xxhash64(F.lit("lang"), "doc_id", "text"))
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()}
     if not per:
-        return Model(np.ones(1 << BITS, np.float32), [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
-    # a hash limit per language that lets about 1.2 samples through
-    limits = rows.sparkSession.createDataFrame([(k, min(2**32, int(1.2 * sample / n * 2**32) + 1)) for k, n in per.items()], "lang string, most long")
-    some = rows.join(F.broadcast(limits), "lang").where("h < most").select("lang", "h", "doc_id", arrow_udf(_counted, "binary")("text").alias("v"))
-    some, names = materialize(some), sorted(per)
+        return fit(*_empty())
+    # a hash limit per language that lets about 1.2 samples of different rows through
+    limits = rows.sparkSession.createDataFrame([(k, min(2**32, int(1.2 * sample / max(n, 1) * 2**32) + 1)) for k, n in per.items()], "lang string, most long")
+    some = rows.join(F.broadcast(limits), "lang").where("(h & 4294967295) < most").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.expr("h & 4294967295"), "h")  # of about 1.2 samples
+    some = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample)
+    some, names = materialize(some.select("lang", "r", arrow_udf(_counted, "binary")("text").alias("v"))), sorted(per)
 
     def block(at: int) -> tuple[np.ndarray, list[str]]:
-        """Sampled vectors that are not empty, and their languages: about 1.2 x sample x BLOCK are collected."""
+        """Sampled vectors that are not empty, and their languages: sample x BLOCK are collected at most."""
         got = some.where(F.col("lang").isin(names[at : at + BLOCK])).collect()
-        got.sort(key=lambda r: (r.lang, r.h, r.doc_id))
-        kept, seen = [], {}
-        for r in got:
-            seen[r.lang] = seen.get(r.lang, 0) + 1
-            if seen[r.lang] <= sample:
-                kept.append(r)
-        vectors = np.stack([np.frombuffer(r.v, np.float32) for r in kept])
+        if not got:
+            return _empty()
+        got.sort(key=lambda r: (r.lang, r.r))
+        vectors = np.stack([np.frombuffer(r.v, np.float32) for r in got])
         full = vectors.sum(axis=1) > 0
-        return vectors[full], [r.lang for r, f in zip(kept, full, strict=True) if f]
+        return vectors[full], [r.lang for r, f in zip(got, full, strict=True) if f]
 
     starts = range(0, len(names), BLOCK)
     if len(starts) == 1:
