@@ -4,7 +4,7 @@ Grades: 0 toxic, 1 of low quality, 2 good. P(grade <= k) = sigmoid(threshold_k -
 with one weight vector for all thresholds and increasing thresholds. x holds hashed
 words of the whole text (damped counts) and the shares of word shapes.
 
-Fitted by Adam on at most SAMPLE labelled texts, those with the lowest hash of doc_id;
+Fitted by Adam on at most SAMPLE different rows of labelled texts, of the ids with the lowest hashes;
 all texts are scored. Features are screened first: a weight is learned where a feature is
 in LEAST_TEXTS texts and its share of low grades is LEAST_Z standard errors off chance,
 so that words of single documents are not learned by heart. A text is kept while its
@@ -12,7 +12,8 @@ probability of at least grade 2 is not under KEEP.
 
 Edge cases: null or empty text has no features and gets the intercept's grade; without
 labels every grade is 2; labels of unknown documents are ignored; of several labels of a
-document the lowest grade counts; repeated rows repeat (and are fitted as often); a null
+document the lowest grade counts; repeated rows repeat, but are fitted once; of an id's different texts, all are fitted up
+to SAMPLE in all; a null
 doc_id is scored but not fitted; other columns are ignored.
 """
 
@@ -159,11 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         rows = [features(x.as_py()) for x in text]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["i", "v"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    got = materialize(joined.select("doc_id", "grade", arrow_udf(run, "struct<i: array<int>, v: array<float>>")("text").alias("f"))).collect()
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", F.lit("row")))
+    # an id may have many rows: different ones are fitted once, and the bound holds for them too
+    kept = materialize(joined.select("h").distinct().orderBy("h").limit(sample))
+    texts = joined.join(F.broadcast(kept), "h").groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("grade").alias("grade"), F.first("text").alias("text"))
+    got = materialize(texts.select("doc_id", "h", "grade", arrow_udf(run, "struct<i: array<int>, v: array<float>>")("text").alias("f"))).collect()
     if not got:
         return None
-    got.sort(key=lambda r: r.doc_id)
+    got.sort(key=lambda r: (r.doc_id, r.h))
     return fit([(np.array(r.f.i, np.int32), np.array(r.f.v, np.float32)) for r in got], np.array([r.grade for r in got]))
 
 
