@@ -37,6 +37,17 @@ def test_templates_choose_the_main_slot(spark):
         ('<body><div class="has-sidebar"><article><p>c</p></article></div></body>', "c"),
         ('<body class="sidebar"><nav>n</nav><main><header><h1>H</h1></header><p>d</p></main><footer>f</footer></body>', "H d"),
         ('<article><p>e<div class="share">s</div><ul><li>one<li>two</ul></article>', "e one two"),
+        ('<article><p>a</p><section id="ads"><h2>ADS</h2><p>Anti de Sitter</p></section></article>', "a ADS Anti de Sitter"),
+        ('<article><p>a</p><div id="share"><p>share of votes</p></div></article>', "a share of votes"),
+        ('<article><p>a</p><section class="related"><p>related work text</p></section></article>', "a related work text"),
+        ('<article><p>a</p><div class="comment"><p>the editors add</p></div></article>', "a the editors add"),
+        ('<article><blockquote><p>Q</p><footer>By X</footer></blockquote><footer>f</footer></article>', "Q By X"),
+        ("<main><form><p>all of the text</p><input></form></main>", "all of the text"),
+        ("<main><p>a long enough first text</p><form><p>Sign up</p><input></form></main>", "a long enough first text"),
+        ('<article><p>a</p><div class="ad">Buy</div><div class="related"><p><a>One</a></p><p><a>Two</a></p></div></article>', "a"),
+        ('<article><p>a</p><div class="comment"><p>me too</p></div><div class="comment"><p>first</p></div></article>', "a"),
+        ('<article><p>a</p><section class="comments"><p>Said</p><div class="comment"><p>me</p></div></section><div class="newsletter"><p>Join</p><input></div></article>', "a"),
+        ('<div id="top"><ul><li><a>Home</a><li><a>News</a></ul></div><div><h1>H</h1><p>text of the page that is long</p></div><div class="foot">(c) us</div>', "H text of the page that is long"),
         ("<article><p>a<b>b</b>c<br>d&amp;e&#233;&nbsp;f\n g</article>", "abc d&eé f g"),
         ("<p>no body", "no body"),
         ("<article></article><nav>x</nav>", ""),
@@ -74,3 +85,59 @@ def test_classes_nest():
     inner = [T(4, 2, 2, "B", 5), T(5, 4, 3, "B", 5), T(6, 4, 3, "B", 5)]
     astray = [T(7, 1, 1, "C", 6), T(8, 5, 4, "C", 6), T(9, 1, 1, "C", 6)]  # partly in B, which is on fewer pages
     assert [t.place for t in H.nested([*astray, *inner, *outer])] == [1, 2, 3, 4, 5, 6]
+
+
+def plain_template(pages):
+    """A host's template with all pages in memory: equal occurrence vectors, nested by their elements."""
+    seen = [H.Page(html).seen() for html in pages]
+    vector, info = {}, {}
+    for i, s in enumerate(seen):
+        for place, row in s.items():
+            vector.setdefault(place, {})[i] = row[0]
+            t = info.setdefault(place, [row[3], row[4], row[5], 0, 0, set()])
+            t[3], t[4] = max(t[3], row[0]), t[4] + row[2]
+            t[5].add(row[1])
+    shared = [p for p, v in vector.items() if len(v) >= H.LEAST_PAGES and len(v) >= H.LEAST_SHARE * len(pages)]
+    cls = {p: tuple(sorted(vector[p].items())) for p in shared}
+    members = {}
+    for p in shared:
+        members.setdefault(cls[p], []).append(p)
+    valid = {c for c, m in members.items() if len(m) >= H.LEAST_TOKENS}
+
+    def outside(p):
+        """The nearest valid class around p's class."""
+        q = info[p][0]
+        while q in cls and (cls[q] == cls[p] or cls[q] not in valid):
+            q = info[q][0]
+        return cls.get(q)
+
+    good = set()
+    for c in valid:
+        around = {outside(p) for p in members[c] if cls.get(info[p][0]) != c}
+        if len(around) == 1 and all(o is None or len(o) >= len(c) for o in around):
+            good.add(c)
+    return {p for p in shared if cls[p] in good}, info, cls
+
+
+def test_templates_equal_plain_deduction(spark):
+    """Pages under neutral names, so that only the host's template tells the article."""
+    import random
+    import re
+
+    rng, rows = random.Random(5), []
+    say = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(n))
+    for h in range(3):
+        for i in range(12):
+            items = "".join(f"<div class='i'><span>{w}</span></div>" for w in ("one", "two", "three"))
+            body = "".join(f"<div class='t'>{say(30)}</div>" for _ in range(rng.randrange(2, 6)))
+            extra = f"<div class='n{h}'><ul class='u'><li class='v'>same on most</li></ul></div>" if i % 4 else ""
+            rows.append((f"h{h}", f"<html><body><div class='a'>{items}</div><div class='b{h}'><div class='k'>{say(4)}</div>{body}{extra}</div><div class='c'>{say(2) if i % 5 == 0 else 'us'}</div></body></html>"))
+    got = {r.host: r for r in H.templates(spark.createDataFrame(rows, "host string, html string").repartition(4)).collect()}
+    for h in range(3):
+        pages = [html for host, html in rows if host == f"h{h}"]
+        places, info, cls = plain_template(pages)
+        assert set(got[f"h{h}"].template) == places and places
+        for html in pages:
+            want = re.search(rf"<div class='b{h}'>(.*)</div><div class='c'>", html)[1].replace("same on most", "")
+            text = H.main_text(html, got[f"h{h}"].mains, frozenset(got[f"h{h}"].constants))
+            assert text == " ".join(re.sub("<[^>]*>", " ", want).split())

@@ -245,3 +245,33 @@ def test_pipeline(spark, docs):
     want = sorted(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in now.select("text").collect())
     out = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert out.agg(F.sum("length")).first()[0] == sum(want)
+
+
+@pytest.mark.parametrize("doc_id", [0, 7, 9, None])
+def test_language_id_learns_from_many_rows_of_one_id(spark, doc_id):
+    from turnlake.llm import language_id as L
+
+    rows = [(doc_id, f"the cat sat on the mat {i}", "en", "s", 0) for i in range(5000)] + [(2 * i, "der Hund lag im Haus", "de", "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    model = L.train(docs.select("doc_id", "text", "lang"), 200)
+    assert set(model.languages) == {"en", "de"}
+    out = L.identify(docs)
+    assert out.count() == len(rows)
+    assert L.keep_identified(docs).columns == docs.columns
+    same = spark.createDataFrame([(doc_id, "one text", "en")] * 5000, "doc_id bigint, text string, lang string")
+    assert L.train(same).languages == ["en"]
+    assert L.train(spark.createDataFrame([(1, "123", "en")], same.schema)).languages == []
+
+
+def test_quality_grade_sample_bounds_rows(spark, monkeypatch):
+    from turnlake.llm import ordinal_quality as Q
+
+    fitted = []
+    real = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda rows, grades: fitted.append(len(rows)) or real(rows, grades))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    copies = spark.createDataFrame([(1, "good words here")] * 20_000 + [(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    other = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.format_string("text %d", "id").alias("text"))
+    for docs, most in ((copies, 51), (other, 300)):
+        Q.train(docs, labels, 300)
+        assert 0 < fitted[-1] <= most

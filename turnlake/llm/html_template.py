@@ -12,7 +12,8 @@ An element of the template is a slot where its text differs between pages. The m
 is found from the root down: into the inner slot that holds nearly all page-specific text, or
 into one for each layout of the host, as long as no page-specific heading stays outside. An
 article or main element is a cue: it may hold less of the text, and the search ends there. A page's text is what its main slot holds, without elements that
-are furniture by role (navigation, forms, adverts, comments, scripts) and without named
+are furniture by role (navigation, forms, adverts, comments, scripts; in an article a
+name needs a second sign, such as links) and without named
 blocks that say the same on most pages of the host. Other repeated text stays: articles
 may quote each other. A page of a host without a template is treated as a template of its
 own, all of whose text is page-specific.
@@ -52,7 +53,7 @@ FURNITURE_NAMES = frozenset(
     "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies cookie-banner cookie-consent cookie-notice consent disqus gdpr modal nav navbar navigation newsletter popup promo promoted related related-articles related-posts share sharing sidebar signup social social-share sponsor sponsored subscribe toolbar widget".split()
 )
 #: Furniture outside articles only.
-OUTER_NAMES = frozenset("banner footer header login masthead menu notice notices search site-footer site-header".split())
+OUTER_NAMES = frozenset("banner colophon copyright foot footer header login masthead menu notice notices search site-footer site-header".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset("#root html body div main section article center table tbody tr td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,6 +75,14 @@ _MASK = (1 << 31) - 1
 CONTAINER, ARTICLE, HEADING, NAMED, FURNITURE = 1, 2, 4, 8, 16
 
 
+#: Why an element may be furniture: surely, by a name inside an article, a form, a menu by its links.
+SURE, NAME, FORM, LINKS = 1, 2, 3, 4
+#: Text in links that makes a block a menu: of a named one in an article, of any outside one.
+NAMED_LINKS, MENU_LINKS = 0.5, 0.8
+CONTROLS = frozenset("button input option select textarea".split())
+PROSE = frozenset("blockquote dd figure h1 h2 h3 h4 h5 h6 p pre table".split())
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 
@@ -83,7 +92,7 @@ class Page:
 
     An element holds pieces first to last; kind is a set of the bits above."""
 
-    __slots__ = ("tags", "places", "parents", "depths", "kinds", "in_article", "first", "last", "pieces", "owners")
+    __slots__ = ("tags", "places", "parents", "depths", "kinds", "in_article", "first", "last", "pieces", "owners", "whys", "quoted")
 
     def __init__(self, html: str):
         self.tags: list[str] = []
@@ -96,7 +105,10 @@ class Page:
         self.last: list[int] = []
         self.pieces: list[str | None] = []
         self.owners: list[int] = []
+        self.whys: list[int] = []
+        self.quoted: list[bool] = []
         self._parse(html)
+        self._judge()
 
     def _open(self, tag: str, rest: str, parent: int) -> int:
         names = []
@@ -112,11 +124,18 @@ class Page:
             kind |= HEADING
         if names and tag not in INLINE and tag not in ("html", "body"):
             kind |= NAMED
-        own = tag in FURNITURE_TAGS and not (tag == "header" and inside)
-        if not own and tag not in ("html", "body") and tag not in ARTICLE_TAGS:
-            own = any(n in FURNITURE_NAMES or (n in OUTER_NAMES and not inside) for n in names)
-        if own or (parent >= 0 and self.kinds[parent] & FURNITURE):
-            kind |= FURNITURE
+        why = 0
+        if tag == "form":
+            why = FORM
+        elif tag in FURNITURE_TAGS and not (inside and (tag == "header" or tag == "footer" and self.quoted[parent])):
+            why = SURE
+        elif tag not in ("html", "body") and tag not in ARTICLE_TAGS:
+            if any(n in FURNITURE_NAMES for n in names):
+                why = NAME if inside else SURE
+            elif not inside and any(n in OUTER_NAMES for n in names):
+                why = SURE
+        self.whys.append(why)
+        self.quoted.append(tag == "blockquote" or parent >= 0 and self.quoted[parent])
         self.tags.append(tag)
         self.places.append(_hash(f"{self.places[parent] if parent >= 0 else 0}/{tag}.{'.'.join(names)}"))
         self.parents.append(parent)
@@ -181,6 +200,42 @@ class Page:
         close(0 + 1)
         self.last[0] = len(self.pieces)
 
+    def _judge(self) -> None:
+        """Mark furniture. A name inside an article needs a second sign: links, form controls,
+        repeated items, another such name in it, or bare text without paragraphs. A form that
+        wraps an article, a heading of the page or most of its text is none. On pages without
+        an article, blocks of links are menus."""
+        n = len(self.tags)
+        chars, linked, links, controls, prose, wraps, names = ([0] * n for _ in range(7))
+        children: list[Counter] = [Counter() if self.whys[e] == NAME else None for e in range(n)]
+        for x, o in zip(self.pieces, self.owners):
+            if x and not x.isspace():
+                chars[o] += len(x.strip())
+        twins = Counter(zip(self.parents, self.places))
+        for e in range(n - 1, 0, -1):
+            tag, p = self.tags[e], self.parents[e]
+            if tag == "a":
+                linked[e], links[e] = chars[e], 1
+            for sums, own in ((chars, 0), (linked, 0), (links, 0), (controls, tag in CONTROLS), (prose, tag in PROSE), (wraps, tag in ARTICLE_TAGS or tag == "h1"), (names, self.whys[e] == NAME)):
+                sums[p] += sums[e] + own
+            if children[p] is not None and tag not in PROSE and tag not in INLINE and tag not in VOID:
+                children[p][self.places[e]] += 1
+        article = any(self.in_article)
+        menus = not article and linked[0] < NAMED_LINKS * chars[0]
+        for e in range(n):
+            p, why = self.parents[e], self.whys[e]
+            if not why and menus and links[e] > 1 and linked[e] >= MENU_LINKS * chars[e] and self.tags[e] not in INLINE and not prose[e]:
+                why = LINKS
+            if why == NAME:
+                items = max(children[e].values(), default=0) > 1 or twins[p, self.places[e]] > 1
+                own = linked[e] >= NAMED_LINKS * max(chars[e], 1) or controls[e] or items or names[e] or not prose[e]
+            elif why == FORM:
+                own = not (wraps[e] or 2 * chars[e] > chars[0] and prose[e])
+            else:
+                own = bool(why)
+            if own or p >= 0 and self.kinds[p] & FURNITURE:
+                self.kinds[e] |= FURNITURE
+
     def seen(self) -> dict[int, list]:
         """place -> [times, hash of its text, characters without furniture, parent's place, depth, kind],
         parents first; what lies inside furniture is left out."""
