@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnlake import schemas
+from turnlake.functions import literals
 from turnlake.functions import text as T
 from turnlake.operators import clean, integrity
 
@@ -19,14 +20,14 @@ from turnlake.operators import clean, integrity
     ],
 )
 def test_payload(spark, text, want):
-    got = spark.range(1).select(T.payload(F.lit(text)).alias("x")).first().x
+    got = spark.range(1).select(literals.payload(F.lit(text)).alias("x")).first().x
     assert (None if got is None else json.loads(got)) == want
 
 
 def test_thought_keeps_the_tail(spark):
     turn = "Thought: a\nThought:\nb\nAction: f\nAction Input: {'x': 1}\nAction: g\nArguments: {broken\nmore"
-    r = spark.range(1).select(T.thought(F.lit(turn)).alias("t"), T.actions(F.lit(turn)).alias("a")).first()
-    assert r.t == "a\nb\nAction: g\nArguments: {broken\nmore" and [x.name for x in r.a] == ["f"]
+    r = clean.read_turns(spark.range(1).select(F.lit(turn).alias("x")), "x").first()
+    assert r.thought == "a\nb\nAction: g\nArguments: {broken\nmore" and [x.name for x in r.calls] == ["f"]
 
 
 def finish(answer):
@@ -54,3 +55,70 @@ def test_manifest_tells_folders_apart(spark, tmp_path):
         (tmp_path / "x" / d).mkdir(parents=True)
         (tmp_path / "x" / d / "same.txt").write_text(d)
     assert {r.file for r in integrity.manifest(spark, str(tmp_path / "x")).collect()} == {"a/same.txt", "b/same.txt"}
+
+
+def some_literal(rng, depth=0):
+    """A random JSON or Python literal as text, with odd spacing, repeated keys and odd numbers."""
+    kinds = ["num", "str", "word", "list", "dict", "dict"] if depth < 3 else ["num", "str", "word"]
+    kind = rng.choice(kinds) if depth else "dict"
+    sub = lambda: some_literal(rng, depth + 1)
+    if kind == "num":
+        return rng.choice(["1", "1.0", "-0.50", "1e3", "12345678901234567890123456789012345678901", "NaN", "0x1f", "1_000", "-Infinity"])
+    if kind == "str":
+        return rng.choice(['"a\\n"', "'it\\'s'", '"q\\"x"', "'\\x41'", '"\\u00e9"', "'é' 'b'", '"\\ud800"', "b'x'"])
+    if kind == "word":
+        return rng.choice(["true", "false", "null", "True", "None", "f(1)"])
+    if kind == "list":
+        o, c = rng.choice(["[]", "()", "[]"])
+        return o + ", ".join(sub() for _ in range(rng.randrange(3))) + rng.choice(["", ",", " "]) + c
+    return "{" + rng.choice([", ", ","]).join(f"{rng.choice(chr(34) + chr(39))}{rng.choice('zab')}{rng.choice(chr(34) + chr(39))}: {sub()}" for _ in range(rng.randrange(4))) + "}" + ("" if depth else rng.choice(["", "", " tail", "}"]))
+
+
+def test_payload_equals_pythons_readers(spark):
+    import ast
+    import random
+
+    rng = random.Random(11)
+    texts = [some_literal(rng) for _ in range(10_000)]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4).select("i", literals.payload(F.col("t")).alias("x")).orderBy("i").collect()]
+    parsed = 0
+    for t, g in zip(texts, got, strict=True):
+        try:
+            want = json.JSONDecoder().raw_decode(t.strip())[0]
+        except ValueError:
+            try:
+                want = ast.literal_eval(t.strip())
+                want = json.dumps(want) and want if isinstance(want, dict) else None
+            except (ValueError, SyntaxError, TypeError):
+                want = None
+        assert (g is None) == (want is None), t
+        if want is not None:
+            parsed += 1
+            assert json.dumps(json.loads(g)) == json.dumps(want), t
+    assert parsed > 2000
+
+
+def test_payload_keeps_what_variants_lose(spark):
+    texts = ['{"b": 1, "a": 2}', '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1.0}', "{'a': (1)}", "{'a': (1,)}", "null", "[" * 100_000, None]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", literals.payload(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == ['{"b":1,"a":2}', '{"a":2}', '{"a":NaN}', '{"a":1.0}', '{"a":1}', '{"a":[1]}', None, None, None]
+
+
+def test_tool_schemas_keep_all_properties(spark):
+    tool = {"name": "f", "parameters": {"properties": {"b": {"type": "string", "enum": ["x", 1.0], "example_value": 3, "description": ""}, "a": "str"}, "required": ["b", "gone"], "optional": ["a"]}}
+    got = spark.range(1).select(literals.tool_schemas(F.lit(json.dumps([tool]))).alias("x")).first().x
+    want = {"type": "function", "function": {"name": "f", "description": "", "parameters": {"type": "object", "properties": {"b": {"type": "string", "enum": ["x", 1.0]}, "a": {"type": "string"}}, "required": ["b"]}}}
+    assert [json.loads(x) for x in got] == [want]
+
+
+def test_single_turn_keeps_arguments_and_defaults(spark):
+    from turnlake.operators import assemble
+
+    tools = json.dumps([{"name": "f", "parameters": {"p": {"type": "int", "default": 3}, "q": {"type": "str", "default": "3"}, "r": {"type": "float, default=2.5"}, "s": {"type": "str, optional"}, "t": {"type": "List[int]", "default": [1.5]}}}])
+    answers = '[{"name": "f", "arguments": {"z": 1, "a": 2.0, "z": 3}}, {"name": "g", "arguments": {}}]'
+    r = assemble.single_turn_messages(spark.createDataFrame([(1, "q", tools, answers)], schemas.RAW_SINGLE)).first()
+    assert [c.arguments for c in r.messages[1].tool_calls] == ['{"z":3,"a":2.0}', "{}"] and r.n_answers == 2
+    p = r.tools[0].parameters
+    assert [p[k].default_json for k in "pqrst"] == ["3", '"3"', "2.5", None, "[1.5]"] and [p[k].required for k in "pqrst"] == [False] * 5
+    with pytest.raises(Exception, match="broken JSON in row 7"):
+        assemble.single_turn_messages(spark.createDataFrame([(7, "q", tools, "[{")], schemas.RAW_SINGLE)).collect()

@@ -35,12 +35,9 @@ def assistant_spans(text: Column) -> Column:
 
 def tag_spans(text: Column, tag: str) -> Column:
     """All places of a tag."""
-    lengths = F.transform(F.split(text, T._quoted(tag)), F.length)
-    at = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("out")),
-        lambda a, n: F.struct((a["at"] + n + len(tag)).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + n).alias("s"), (a["at"] + n + len(tag)).alias("e")))).alias("out")), lambda a: a["out"],
-    )
-    return F.slice(at, F.lit(1), F.size(lengths) - 1)
+    parts = F.transform(F.split(text, T._quoted(tag)), lambda x: F.length(x) + len(tag))
+    ends = lambda v: F.transform(F.slice(seq.offsets(v), F.lit(1), F.size(v) - 1), lambda x: F.struct((x["e"] - len(tag)).alias("s"), x["e"].alias("e")))
+    return seq.let(parts, ends)
 
 
 def tokens(text: Column) -> Column:

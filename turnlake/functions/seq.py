@@ -33,6 +33,39 @@ def unrle(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["code"], r["len"].cast("int"))))
 
 
+def run_ends(runs: Column) -> Column:
+    """array<struct<code, e>> of runs (code, len): e is where a run ends."""
+    return let(runs, lambda v: F.zip_with(v, offsets(F.transform(v, lambda r: r["len"].cast("int"))), lambda r, o: F.struct(r["code"].cast("int").alias("code"), o["e"].alias("e"))))
+
+
+def touched(runs: Column, s: Column, e: Column) -> Column:
+    """array<struct<code, s, e>> of the runs (code, e) that meet places s to e - 1; prose behind the
+    last. The first is found by bisection among the ends."""
+
+    def of(v: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(32))
+
+        def first(at: Column) -> Column:  # the number of runs that end at or before a place
+            def half(a: Column, _: Column) -> Column:
+                mid = ((a["lo"] + a["hi"]) / 2).cast("int")
+                right = (a["lo"] < a["hi"]) & F.coalesce(F.get(v, mid)["e"] <= at, F.lit(False))
+                return F.when(a["lo"] >= a["hi"], a).otherwise(F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(right, a["hi"]).otherwise(mid).alias("hi")))
+
+            return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(v).alias("hi")), half, lambda a: a["lo"])
+
+        def some(lo: Column) -> Column:
+            hi = first(e - 1)  # the run of the last place
+            inside = F.transform(F.slice(v, lo + 1, F.greatest(F.lit(0), F.least(hi + 1, F.size(v)) - lo)), lambda r, i: F.struct(r["code"].alias("code"), F.coalesce(F.get(v, lo + i - 1)["e"], F.lit(0)).alias("s"), r["e"].alias("e")))
+            end = F.coalesce(F.try_element_at(v, F.lit(-1))["e"], F.lit(0))
+            beyond = F.array(F.struct(F.lit(REGION_PROSE).alias("code"), end.alias("s"), F.greatest(e, end).alias("e")))
+            none = F.expr("cast(array() as array<struct<code: int, s: int, e: int>>)")
+            return F.concat(inside, F.when(e > end, beyond).otherwise(none))
+
+        return let(first(s), some)
+
+    return let(runs, of)
+
+
 def turn_starts(labels: Column) -> Column:
     """Places where a label follows a place without loss, or the start."""
     return let(labels, lambda v: F.filter(indices(v), lambda i: (F.get(v, i) != NO_LOSS) & ((i == 0) | (F.get(v, i - 1) == NO_LOSS))))
@@ -114,6 +147,34 @@ def verify_round(proposal: Column, preds: Column, budget: Column, eos: int) -> C
     )
 
 
+def round_events(prompt: Column, target: Column, k: int, budget: int, eos: int) -> Column:
+    """The rounds of one turn as array<struct<step, draft_tokens, accept_mask, correction_token, eos,
+    step_type>>, folded over verify_round.
+
+    Whatever is proposed, what is emitted are the target's next tokens, so the state is their number."""
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    event = "struct<step: int, draft_tokens: array<int>, accept_mask: array<boolean>, correction_token: int, eos: boolean, step_type: string>"
+    zero = F.struct(F.lit(0).alias("n"), F.lit(budget < 1).alias("end"), F.expr(f"cast(array() as array<{event}>)").alias("events"))
+
+    def played(a: Column, p: Column, target: Column) -> Column:
+        preds = F.transform(F.sequence(F.lit(0), F.size(p)), lambda j: F.coalesce(F.get(target, a["n"] + j), F.lit(eos)))
+
+        def after(r: Column) -> Column:
+            e = F.struct(F.size(a["events"]).alias("step"), F.slice(p, F.lit(1), F.size(r["mask"])).alias("draft_tokens"), r["mask"].alias("accept_mask"), r["correction"].alias("correction_token"), r["eos"].alias("eos"), r["step_type"].alias("step_type"))
+            n = a["n"] + F.size(F.filter(r["mask"], lambda x: x)) + r["correction"].isNotNull().cast("int")
+            return F.struct(n.alias("n"), (r["eos"] | (n >= budget)).alias("end"), F.concat(a["events"], F.array(e)).alias("events"))
+
+        return let(verify_round(p, preds, F.lit(budget) - a["n"], eos), after)
+
+    def step(a: Column, prompt: Column, target: Column) -> Column:
+        proposal = ngram_propose(F.concat(prompt, F.slice(target, F.lit(1), a["n"])), F.least(F.lit(k), F.lit(budget) - a["n"]))
+        return F.when(a["end"], a).otherwise(let(proposal, lambda p: played(a, p, target)))
+
+    turns = F.sequence(F.lit(1), F.lit(max(budget, 1)))
+    return let(prompt, lambda x: let(target, lambda y: F.aggregate(turns, zero, lambda a, _: step(a, x, y), lambda a: a["events"])))
+
+
 def sort_logprobs(entries: Column) -> Column:
     """array<struct<id, lp>> by lp down, then id up; null becomes empty."""
     order = F.array_sort(F.transform(entries, lambda x: F.struct((-x["lp"]).alias("key"), x["id"].alias("id"), x["lp"].alias("lp"))))
@@ -125,6 +186,28 @@ def with_eos(ids: Column, finish: Column, eos: int) -> Column:
     return F.when((finish == "stop") & ~F.element_at(ids, -1).eqNullSafe(F.lit(eos)), F.concat(ids, F.array(F.lit(eos)))).otherwise(ids)
 
 
+def scan(values: Column, zero: Column, kind: str, step) -> Column:
+    """The states after each value: step(state, value) from zero on. kind: the state's type.
+
+    Appending copies what is there, so the states before runs of RUN values come first."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def after(run: Column, state: Column) -> Column:
+        both = lambda acc, x: let(step(acc["state"], x), lambda n: F.struct(n.alias("state"), F.concat(acc["out"], F.array(n)).alias("out")))
+        return F.aggregate(run, F.struct(state.alias("state"), none.alias("out")), both, lambda a: a["out"])
+
+    def joined(runs: Column) -> Column:
+        ahead = lambda acc, run: F.struct(F.aggregate(run, acc["state"], step).alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out"))
+        states = F.aggregate(runs, F.struct(zero.alias("state"), none.alias("out")), ahead, lambda a: a["out"])
+        return F.flatten(F.zip_with(runs, states, after))
+
+    return let(values, lambda v: let(_runs(v), joined))
+
+
+def _runs(v: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(RUN)), lambda at: F.slice(v, at + 1, F.lit(RUN)))
+
+
 def offsets(lengths: Column) -> Column:
     """array<struct<s, e>> of tokens from their lengths, by a running sum.
 
@@ -141,8 +224,7 @@ def offsets(lengths: Column) -> Column:
         starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
         return F.flatten(F.zip_with(runs, starts, of_run))
 
-    runs = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(RUN)), lambda at: F.slice(v, at + 1, F.lit(RUN)))
-    return let(lengths, lambda v: let(runs(v), joined))
+    return let(lengths, lambda v: let(_runs(v), joined))
 
 
 def regions_of(offs: Column, spans: list[tuple[Column, int]], default: int = REGION_PROSE) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions import seq
+from turnlake.functions import literals, seq
 from turnlake.functions import text as T
 from turnlake.schemas import NO_LOSS, REGION_CONTEXT, REGION_TAG, REGION_TOOL_CALL
 
@@ -80,13 +80,15 @@ def opener_distribution(df: DataFrame, by: str) -> DataFrame:
 def single_turn_messages(raw: DataFrame) -> DataFrame:
     """Raw single-turn rows (id, query, tools and answers as JSON) to query_id, messages (a user
     turn, then one assistant turn with all answer calls), converted tools and n_answers.
-    Broken JSON is an error."""
-    tools = F.from_json("tools", "array<struct<name: string, description: string, parameters: map<string, struct<type: string, description: string, default: string>>>>", {"mode": "FAILFAST"})
-    answers = F.from_json("answers", "array<struct<name: string, arguments: variant>>", {"mode": "FAILFAST"})
-    call = lambda a: F.struct(a["name"].alias("name"), F.to_json(a["arguments"]).alias("arguments"))
+    Arguments keep their keys' order and their numbers; broken JSON is an error."""
+    broken = lambda kind: F.raise_error(F.concat(F.lit("broken JSON in row "), F.col("id").cast("string"))).cast(kind)
+    of_tool = "array<struct<name: string, description: string, parameters: map<string, struct<type: string, description: string, default: variant>>>>"
+    of_call = "array<struct<name: string, arguments: string>>"
+    rows = raw.withColumns({"_a": literals.calls(F.col("answers")), "_t": literals.json_text(F.col("tools"))})
+    rows = rows.withColumn("_a", F.when(F.col("_a").isNull() & F.col("answers").isNotNull(), broken(of_call)).otherwise(F.col("_a")))
+    tools = F.when(F.col("_t").isNull() & F.col("tools").isNotNull(), broken(of_tool)).otherwise(F.from_json("_t", of_tool, {"mode": "FAILFAST"}))
     none = F.expr("cast(null as array<struct<name: string, arguments: string>>)")
     user = F.struct(F.lit("user").alias("role"), F.col("query").alias("content"), none.alias("tool_calls"))
-    turn = F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content"), F.transform("_a", call).alias("tool_calls"))
-    tool = lambda t: F.struct(t["name"].alias("name"), F.coalesce(t["description"], F.lit("")).alias("description"), T.convert_flat_tool(t["parameters"]).alias("parameters"))
-    rows = raw.withColumn("_a", answers)
+    turn = F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content"), F.col("_a").alias("tool_calls"))
+    tool = lambda t: F.struct(t["name"].alias("name"), F.coalesce(t["description"], F.lit("")).alias("description"), T.convert_flat_tool(t["parameters"], True).alias("parameters"))
     return rows.select(F.col("id").cast("string").alias("query_id"), F.array(user, turn).alias("messages"), F.transform(tools, tool).alias("tools"), F.size("_a").alias("n_answers"))

@@ -8,18 +8,57 @@ from pyspark.sql import functions as F
 from turnlake.functions import seq
 
 
+#: Keys whose hashes are lowest, from which the bounds of ranges are taken; ranges at most.
+SAMPLED, RANGES = 20_000, 1024
+
+
+def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> list:
+    """Keys that cut df into about even ranges: quantiles of the SAMPLED keys with the lowest hashes.
+    Keys, not rows, are sampled, so that reruns agree whatever the input's partitions are."""
+    ranges = min(ranges or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), RANGES)
+    keys = df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(SAMPLED)
+    found = [r[0] for r in keys.distinct().orderBy(order).collect()]
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if len(found) > 1 else []
+
+
+def range_of(key: Column, bounds: list, kind) -> Column:
+    """The number of bounds at or below a key, by bisection; nulls are in range 0."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*(F.lit(b).cast(kind) for b in bounds))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def half(at: Column, _: Column) -> Column:  # the answer lies in at.lo..at.hi
+        mid = ((at["lo"] + at["hi"]) / 2).cast("int")
+        right = (at["lo"] < at["hi"]) & F.coalesce(F.get(held, mid) <= key, F.lit(False))
+        return F.struct(F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), half, lambda a: a["lo"])
+
+
+def numbered(df: DataFrame, order: str, name: str = "at") -> DataFrame:
+    """df plus its rows' places from 0 in order of a key (nulls first; equal keys in any order).
+
+    Ranges have fixed bounds, so their counts and the rows' numbers always agree, whatever
+    partitions Spark makes of them. Bounds and counts are a few numbers per range; a range is
+    one task's sort, so `order` should be nearly unique. Runs two small jobs when called."""
+    bounds = range_bounds(df, order)
+    at = range_of(F.col(order), bounds, df.schema[order].dataType)
+    found = {r[0]: r[1] for r in df.select(at.alias("p")).groupBy("p").agg(F.count(F.lit(1))).collect()}
+    base, before = [], 0
+    for p in range(len(bounds) + 1):
+        base.append(before)
+        before += found.get(p, 0)
+    rows = df.withColumn("_p", at)
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.get(F.array(*(F.lit(b).cast("bigint") for b in base)), F.col("_p"))
+    return rows.withColumn(name, place).drop("_p")
+
+
 def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
-    """df plus chunk and place in it, in order; the remainder is last. Places come from counts
-    of range partitions, so no task sees all rows."""
+    """df plus chunk and place in it, in order; the remainder is last."""
     if size < 1:
         raise ValueError("size must be >= 1")
-    parts = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(order)
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    at = parts.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(base), F.col("_p") == F.col("_q"))
-    at = at.withColumn("_at", F.col("_base") + F.col("_r"))
+    at = numbered(df, order, "_at")
     return at.select(*df.columns, F.floor(F.col("_at") / size).alias("chunk"), (F.col("_at") % size).alias("place"))
 
 

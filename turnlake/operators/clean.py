@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
+from turnlake.functions import literals
 from turnlake.functions import text as T
 
 FINISH, GIVE_ANSWER, SCAFFOLD = "Finish", "give_answer", "\nBegin!\n"
@@ -36,24 +40,30 @@ def funnel(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_turns(df: DataFrame, text: str) -> DataFrame:
+    """df plus calls (array<struct<name, arguments>> of a turn's parseable action blocks, in order)
+    and thought (its prose)."""
+    d = df.withColumn("_b", T.blocks(F.col(text))).withColumn("_a", literals.payloads(F.transform("_b", lambda x: x["raw"])))
+    d = d.withColumn("_f", T.read_blocks(F.col("_b"), F.col("_a")))
+    return d.select(*df.columns, T.calls_of(F.col("_f")).alias("calls"), T.prose_of(F.col(text), F.col("_f")).alias("thought"))
+
+
 def converted(raw: DataFrame) -> DataFrame:
-    """Raw multi-turn conversations with a drop reason and, where kept, messages and meta.
+    """Raw multi-turn conversations with a drop reason and, where kept, messages, tools (function
+    schemas as JSON text) and meta.
 
     Rules, all must hold: system then user first; assistant last; the list after "APIs:" is a
     non-empty JSON array; each assistant turn has a parseable action, whose last one counts;
     its name is in the list, or Finish in the last assistant turn alone, with give_answer and
     a non-blank answer; a function turn follows a turn with a call; no other roles."""
     c = raw.withColumn("turns", F.arrays_zip(F.col("conversations.from").alias("role"), F.col("conversations.value").alias("text")))
-    c = c.withColumn("apis", F.from_json(T.api_list(F.get("turns", F.lit(0))["text"]), "array<struct<name: string, description: string>>"))
-    c = c.withColumn("names", F.col("apis.name"))
-    parsed = F.transform(
-        "turns",
-        lambda t: F.struct(
-            t["role"].alias("role"), t["text"].alias("text"),
-            F.when(t["role"] == "assistant", F.try_element_at(T.actions(t["text"]), F.lit(-1))).alias("call"),
-            F.when(t["role"] == "assistant", T.thought(t["text"])).alias("thought"),
-        ),
-    )
+    c = c.withColumn("listed", literals.api_list(F.get("turns", F.lit(0))["text"]))
+    c = c.withColumn("apis", F.from_json("listed", "array<struct<name: string>>")).withColumn("names", F.col("apis.name"))
+    c = c.withColumn("blocks", F.transform("turns", lambda t: F.when(t["role"] == "assistant", T.blocks(t["text"]))))
+    c = c.withColumn("arguments", literals.payloads_of_turns(F.transform("blocks", lambda b: F.transform(b, lambda x: x["raw"]))))
+    c = c.withColumn("found", F.zip_with("blocks", "arguments", T.read_blocks))
+    one = lambda t, f: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.try_element_at(T.calls_of(f), F.lit(-1)).alias("call"), T.prose_of(t["text"], f).alias("thought"))
+    parsed = F.zip_with("turns", "found", one)
     c = c.withColumn("p", parsed).withColumn("n", F.size("turns"))
     last_assistant = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.when(F.get("p", i)["role"] == "assistant", i)))
     c = c.withColumn("last", last_assistant)
@@ -93,7 +103,7 @@ def converted(raw: DataFrame) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.filter("names", lambda x: x != FINISH)))
     meta = F.struct(T.norm_query(F.col("id")).alias("query"), F.col("n").alias("n_turns_raw"), names.alias("tool_names"), F.btrim(answer, F.lit(" \n\t\r")).alias("final_answer"))
     kept = F.col("reason") == "kept"
-    return c.select("id", "reason", F.when(kept, messages).alias("messages"), F.when(kept, meta).alias("meta"))
+    return c.select("id", "reason", F.when(kept, messages).alias("messages"), F.when(kept, literals.tool_schemas(F.col("listed"))).alias("tools"), F.when(kept, meta).alias("meta"))
 
 
 def dedupe_first(df: DataFrame, key, order: str) -> DataFrame:
@@ -152,13 +162,43 @@ def mixed_contexts(df: DataFrame, key: str, capped: str, share: float, seed: str
     return ranked.where((F.col("source") != capped) | (F.col("_r") <= F.col("cap"))).drop("_h", "_r", "cap")
 
 
-def contamination(queries: DataFrame, corpus: DataFrame, width: int = 5) -> DataFrame:
+#: Hashes of queries' n-grams that are sent to every task as a filter; with more, all n-grams are dealt.
+FILTERED = 4_000_000
+
+
+def contamination(queries: DataFrame, corpus: DataFrame, width: int = 5, most: int = FILTERED) -> DataFrame:
     """queries (item_id, text) by corpus (doc_id, text): documents that share a word n-gram, and n-grams shared.
-    N-grams are compared by 64-bit hashes; each text's are distinct before they are dealt."""
+    N-grams are compared by 64-bit hashes; each text's are distinct before they are dealt. Up to
+    `most` of the queries' hashes filter the documents' n-grams inside their arrays, so that about
+    the matches alone are exploded. Counts the queries' n-grams when called."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = df.select(key, F.split(F.lower(T.collapse(F.col("text"))), " ").alias("w"))
         g = F.expr(f"transform(sequence(1, greatest(size(w) - {width - 1}, 1)), i -> xxhash64(slice(w, i, {width})))")
-        return words.where(F.size("w") >= width).select(key, F.explode(F.array_distinct(g)).alias("g"))
-
-    return grams(queries, "item_id").join(grams(corpus, "doc_id"), "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("g").alias("n_grams"))
+        return words.where(F.size("w") >= width).select(key, F.array_distinct(g).alias("g"))
+
+    # outer: no filter on the arrays is inferred, which would be pushed down and make each n-gram from the text anew
+    asked = grams(queries, "item_id").select("item_id", F.explode_outer("g").alias("g"))
+    hashes = asked.select("g").distinct()
+    found = grams(corpus, "doc_id")
+    if hashes.count() <= most:
+        found = found.select("doc_id", _among(hashes)("g").alias("g"))
+    return asked.join(found.select("doc_id", F.explode_outer("g").alias("g")), "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("g").alias("n_grams"))
+
+
+def _among(hashes: DataFrame):
+    """A function of array columns that keeps the elements found among hashes (of a checked number)."""
+    known = np.sort(np.array([r[0] for r in hashes.toLocalIterator()], np.int64))
+    shared = hashes.sparkSession.sparkContext.broadcast(known)
+
+    def run(arrays: pa.Array) -> pa.Array:
+        values, ends = arrays.flatten().to_numpy(zero_copy_only=False), np.cumsum(arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        at = np.searchsorted(shared.value, values)
+        hit = np.zeros(len(values), bool)
+        if len(shared.value):
+            hit = shared.value[np.minimum(at, len(shared.value) - 1)] == values
+        before = np.r_[0, np.cumsum(hit)]
+        return pa.ListArray.from_arrays(pa.array(before[np.r_[0, ends]], pa.int32()), pa.array(values[hit], pa.int64()))
+
+    # not to be repeated in pushed-down filters
+    return arrow_udf(run, "array<bigint>").asNondeterministic()

@@ -67,26 +67,29 @@ def per_prompt(stats: DataFrame) -> DataFrame:
 
 
 def with_cursor(stats: DataFrame, records: DataFrame) -> DataFrame:
-    """stats joined with records (query_id, regions RLE, labels, n_prompt_tokens) plus map and
-    cursor: the output place where a step begins. With turns, it restarts at each turn's
-    start, and at the map's end for turns that the record does not have. A missing record is an error."""
-    r = records.select("query_id", seq.unrle(F.col("regions")).alias("map"), seq.turn_starts(F.col("labels")).alias("starts"), "n_prompt_tokens")
+    """stats joined with records (query_id, regions RLE, labels, n_prompt_tokens) plus runs (the
+    regions' codes with their ends) and cursor: the output place where a step begins. With turns,
+    it restarts at each turn's start, and at the record's end for turns that the record does not
+    have. A missing record is an error."""
+    r = records.select("query_id", seq.run_ends(F.col("regions")).alias("runs"), seq.turn_starts(F.col("labels")).alias("starts"), "n_prompt_tokens")
     w = Window.partitionBy("query_id", "turn").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     before = stats.withColumn("before", F.coalesce(F.sum("emitted").over(w), F.lit(0)))
-    j = before.join(r, "query_id", "left").withColumn("map", F.when(F.col("map").isNull(), F.raise_error(F.lit("event without a record")).cast("array<int>")).otherwise(F.col("map")))
-    start = F.when(F.col("turn").isNull(), F.col("n_prompt_tokens")).otherwise(F.coalesce(F.get("starts", F.col("turn")), F.size("map")))
+    missing = F.raise_error(F.lit("event without a record")).cast("array<struct<code: int, e: int>>")
+    j = before.join(r, "query_id", "left").withColumn("runs", F.when(F.col("runs").isNull(), missing).otherwise(F.col("runs")))
+    last = F.coalesce(F.try_element_at("runs", F.lit(-1))["e"], F.lit(0))
+    start = F.when(F.col("turn").isNull(), F.col("n_prompt_tokens")).otherwise(F.coalesce(F.get("starts", F.col("turn")), last))
     return j.withColumn("cursor", (start + F.col("before")).cast("int")).drop("before", "starts")
 
 
 def region_metrics(placed: DataFrame) -> DataFrame:
-    """Per region: alpha and counts of verified, accepted and proposed by place of proposal, emitted by output place."""
-    n = F.size("draft_tokens")
-    at = placed.select("map", "cursor", "accepted", "emitted", "accept_mask", F.explode(F.sequence(F.lit(0), F.greatest(n, F.col("emitted").cast("int")) - 1)).alias("i"), n.alias("n"))
-    one = lambda c: F.sum(c.cast("bigint"))
-    verified = (F.col("i") < F.col("n")) & (F.col("i") <= F.col("accepted"))
-    out = at.withColumn("region", seq.region_at(F.col("map"), F.col("cursor") + F.col("i"))).groupBy("region").agg(
-        one(verified).alias("n_verified"), one(verified & F.coalesce(F.get("accept_mask", F.col("i")), F.lit(False))).alias("n_accepted"), one(F.col("i") < F.col("n")).alias("n_proposed"), one(F.col("i") < F.col("emitted")).alias("n_emitted")
-    )
+    """Per region: alpha and counts of verified, accepted and proposed by place of proposal, emitted
+    by output place. An event is one row per run that it touches: each count is the overlap of
+    the run with the first places that count (verified up to the first rejection)."""
+    n, accepted, emitted = F.size("draft_tokens"), F.col("accepted").cast("int"), F.col("emitted").cast("int")
+    ends = {"n_verified": F.least(n, accepted + 1), "n_accepted": accepted, "n_proposed": n, "n_emitted": emitted}
+    at = placed.select(F.explode(seq.touched(F.col("runs"), F.col("cursor"), F.col("cursor") + F.greatest(n, emitted))).alias("r"), "cursor", *(v.alias(k) for k, v in ends.items()))
+    overlap = lambda to: F.greatest(F.lit(0), F.least(F.col("r.e"), F.col("cursor") + F.col(to)) - F.greatest(F.col("r.s"), F.col("cursor"))).cast("bigint")
+    out = at.groupBy(F.col("r.code").alias("region")).agg(*(F.sum(overlap(k)).alias(k) for k in ends))
     return out.withColumn("alpha", F.try_divide("n_accepted", "n_verified"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from datetime import datetime, timezone
 
@@ -123,12 +124,12 @@ def temperature(text: str) -> float:
 
 
 def call_tags(rendered: str, header: str, end: str) -> tuple[str, str]:
-    """The lines around the call in the last assistant turn of a probe's rendering."""
-    turn = rendered[rendered.rindex(header) + len(header) :]
-    lines = [x for x in turn[: turn.index(end)].split("\n") if x]
-    if len(lines) < 3 or lines[0] == lines[-1]:
-        raise ValueError(f"no pair of tags around the probe's call: {lines}")
-    return lines[0], lines[-1]
+    """The words before and behind the JSON object of the last assistant turn in a probe's rendering."""
+    turn = rendered.rpartition(header)[2].partition(end)[0]
+    around = re.search(r"(\S+)\s+\{.*\}\s+(\S+)", turn, re.S)
+    if not around or around[1] == around[2]:
+        raise ValueError(f"no pair of tags around the probe's call: {turn!r}")
+    return around[1], around[2]
 
 
 def provenance(folder: str = ".") -> dict[str, str | None]:

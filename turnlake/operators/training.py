@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
-from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -107,98 +105,14 @@ def cyclic(df: DataFrame, items: DataFrame, at: str, order: str) -> DataFrame:
     return df.withColumn("_i", F.pmod(F.col(at), F.lit(n)).cast("int")).join(numbered, "_i").drop("_i")
 
 
-class Proposer(Protocol):
-    def propose(self, sequence: list[int], k: int) -> list[int]: ...
-
-
-class Verifier(Protocol):
-    def predict(self, sequence: list[int], proposal: list[int]) -> list[int]: ...
-
-
-class NgramProposer:
-    """Followers of the earliest earlier occurrence of the longest suffix; else one pad token."""
-
-    def __init__(self, max_n: int = 3, min_n: int = 1, pad: int = 0):
-        self.max_n, self.min_n, self.pad = max_n, min_n, pad
-        self.seen, self.text = [], ""
-
-    def propose(self, sequence: list[int], k: int) -> list[int]:
-        # token ids as code points: the search is str.find; a longer sequence only adds its new tokens
-        n = len(self.seen) if sequence[: len(self.seen)] == self.seen else 0
-        self.seen, self.text = sequence, self.text[:n] + "".join(map(chr, sequence[n:]))
-        text = self.text
-        for n in range(min(self.max_n, len(text)), self.min_n - 1, -1):
-            at = text.find(text[len(text) - n :], 0, len(text) - 1)
-            if at >= 0:
-                return sequence[at + n : at + n + k]
-        return [self.pad]
-
-
-class TableVerifier:
-    """Predicts a fixed continuation, then the end token."""
-
-    def __init__(self, prompt_len: int, target: list[int], eos: int):
-        self.prompt_len, self.target, self.eos = prompt_len, target, eos
-
-    def predict(self, sequence: list[int], proposal: list[int]) -> list[int]:
-        at = len(sequence) - self.prompt_len
-        return [self.target[at + j] if at + j < len(self.target) else self.eos for j in range(len(proposal) + 1)]
-
-
-def judge(proposal: list[int], preds: list[int], budget: int, eos: int) -> tuple[list[bool], int | None, str, bool]:
-    """Mask, correction, kind and whether the turn ends, as seq.verify_round for one round."""
-    n = len(proposal)
-    if len(preds) != n + 1:
-        raise AssertionError("predictions must be one longer than the proposal")
-    agreed = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(proposal, preds)))
-    open_end = agreed == n and (proposal[-1] == eos or budget <= n)  # nothing may follow
-    token = None if open_end else preds[agreed]
-    ends = open_end or token == eos
-    if agreed < n:
-        kind = "reject"
-    elif open_end and proposal[-1] != eos:
-        kind = "budget"
-    else:
-        kind = "full_eos" if ends else "full_bonus"
-    return [True] * agreed + [False] * (agreed < n), token, kind, ends
-
-
-def rounds(prompt: list[int], proposer: Proposer, verifier: Verifier, k: int, budget: int, eos: int, max_steps: int | None = None) -> tuple[list[dict], list[int]]:
-    """The propose-verify loop of one turn: events and output."""
-    if k < 1:
-        raise ValueError("k must be >= 1")
-    events, out = [], []
-    while len(out) < budget and (max_steps is None or len(events) < max_steps):
-        left = budget - len(out)
-        seq = prompt + out
-        proposal = proposer.propose(seq, min(k, left))
-        if not 1 <= len(proposal) <= min(k, left):
-            raise AssertionError("a proposal has 1 to k tokens")
-        mask, fix, kind, end = judge(proposal, verifier.predict(seq, proposal), left, eos)
-        n = sum(mask)
-        events.append({"step": len(events), "draft_tokens": proposal[: len(mask)], "accept_mask": mask, "correction_token": fix, "eos": end, "step_type": kind})
-        out += proposal[:n] + ([] if fix is None else [fix])
-        if end:
-            break
-    return events, out
-
-
-def simulate(rows: DataFrame, k: int, budget: int, eos: int, make_proposer=NgramProposer) -> DataFrame:
-    """rows (query_id, prompt_ids, target_ids) to events: each row's loop runs in its own task slot."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = []
-            for q, prompt, target in zip(f["query_id"], f["prompt_ids"], f["target_ids"]):
-                prompt = [int(x) for x in prompt]
-                verifier = TableVerifier(len(prompt), [int(x) for x in target], eos)
-                got += [{"query_id": q, **e} for e in rounds(prompt, make_proposer(), verifier, k, budget, eos)[0]]
-            yield pd.DataFrame(got, columns=["query_id", "step", "draft_tokens", "accept_mask", "correction_token", "eos", "step_type"]).astype({"correction_token": "Int32"})
-
-    return rows.select("query_id", "prompt_ids", "target_ids").mapInPandas(run, "query_id string, step int, draft_tokens array<int>, accept_mask array<boolean>, correction_token int, eos boolean, step_type string")
-
-
-def simulate_turns(records: DataFrame, k: int, budget: int, eos: int, make_proposer=NgramProposer) -> DataFrame:
+def simulate(rows: DataFrame, k: int, budget: int, eos: int) -> DataFrame:
+    """rows (query_id, prompt_ids, target_ids) to events: proposals by n-gram lookup, verified against
+    the target and the end token behind it (seq.round_events)."""
+    events = rows.select("query_id", F.explode(seq.round_events(F.col("prompt_ids"), F.col("target_ids"), k, budget, eos)).alias("e"))
+    return events.select("query_id", "e.*")
+
+
+def simulate_turns(records: DataFrame, k: int, budget: int, eos: int) -> DataFrame:
     """Every assistant turn of records (query_id, input_ids, labels): each turn starts from the
     true tokens before it, whatever the turn before came to, and its own labelled tokens are
     the target. Events with turn; null for records of one turn."""
@@ -208,5 +122,5 @@ def simulate_turns(records: DataFrame, k: int, budget: int, eos: int, make_propo
     t = t.withColumn("e", ends(F.col("s")))
     key = F.to_json(F.struct(F.col("query_id").alias("q"), F.when(F.col("n") > 1, F.col("turn")).alias("t")))
     rows = t.select(key.alias("query_id"), F.slice("input_ids", F.lit(1), F.col("s")).alias("prompt_ids"), F.slice("input_ids", F.col("s") + 1, F.col("e") - F.col("s")).alias("target_ids"))
-    out = simulate(rows, k, budget, eos, make_proposer).withColumn("_k", F.from_json("query_id", "q string, t int"))
+    out = simulate(rows, k, budget, eos).withColumn("_k", F.from_json("query_id", "q string, t int"))
     return out.select(F.col("_k.q").alias("query_id"), F.col("_k.t").alias("turn"), *[c for c in out.columns if c not in ("query_id", "_k")])

@@ -194,7 +194,7 @@ SELECT doc_id, source FROM r WHERE source = 'single' OR r <= CAST(floor((SELECT
     "q31_pack": f"WITH RECURSIVE {_PACK.format(cap=8192)} SELECT ord, n, pack, used - n AS \"offset\" FROM p",
     "q31b_pack_stats": f"""WITH RECURSIVE {_PACK.format(cap=1024)}, per AS (SELECT pack, sum(n) AS len, count(*) AS records FROM p GROUP BY pack)
 SELECT count(*) AS n_packs, quantile_cont(len, 0.5) AS median_len, CAST(max(len) AS BIGINT) AS max_len, quantile_cont(records, 0.5) AS median_records, (SELECT count(*) FROM d WHERE n > 1024) AS n_skipped FROM per""",
-    "q32_chunks": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS chunk, (row_number() OVER (ORDER BY doc_id) - 1) % 32 AS place FROM documents",
+    "q32_chunks": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS chunk, (row_number() OVER (ORDER BY doc_id) - 1) % 32 AS place FROM documents",
     "q33_first_divergence": f"""
 WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), p AS (SELECT a.doc_id, a.w AS a, b.w AS b FROM w a JOIN w b ON b.doc_id + 1 = a.doc_id),
 x AS (SELECT doc_id, unnest(range(0, least(len(a), len(b)))) AS i, unnest(a[1:least(len(a), len(b))]) AS l, unnest(b[1:least(len(a), len(b))]) AS r FROM p),
@@ -274,6 +274,16 @@ WITH {_CALLS}, a AS (SELECT *, CASE WHEN k % 7 = 1 THEN 'nope' ELSE event_type E
 n AS (SELECT *, length('{{"name": "' || name || '", "arguments": {{' || args || '}}}}') + CASE WHEN k % 7 = 3 THEN 1 ELSE 3 END AS l FROM a)
 SELECT CAST(event_id AS VARCHAR) AS query_id, 1 + k % 2 AS n_answers, name AS first_name, '{{' || args || '}}' AS first_arguments, '3' AS default_n,
   CASE WHEN k % 7 = 4 THEN 15 WHEN k % 7 = 5 THEN 20 WHEN k % 7 = 6 THEN 2 * l + 24 ELSE l + 16 END AS n_query FROM n""",
+    "q55b_typed_messages": f"""
+WITH {_CALLS} SELECT CAST(event_id AS VARCHAR) AS query_id,
+  CASE k % 3 WHEN 0 THEN '{{"z":' || k || ',"a":2.0,"n":null}}' WHEN 1 THEN '{{"a":"' || k || '","z":[1.5,true]}}' ELSE '{{"z":' || k || ',"a":NaN}}' END AS arguments,
+  CASE k % 2 WHEN 0 THEN '3' ELSE '"3"' END AS default_n, '2.5' AS default_m FROM c""",
+    "q60_converted": f"""
+WITH {_CALLS}, r AS (SELECT *, CASE k % 8 WHEN 2 THEN 'unparseable_turn' WHEN 3 THEN 'unknown_action' WHEN 4 THEN 'early_finish' WHEN 5 THEN 'gave_up' WHEN 6 THEN 'blank_answer' ELSE 'kept' END AS reason FROM c)
+SELECT 'Step 1: event ' || event_id AS id, reason, CASE WHEN reason = 'kept' THEN CASE k % 8 WHEN 0 THEN '{{"z":' || k || ',"a":1,"b":[1],"c":null}}' WHEN 1 THEN '{{"z":2,"a":"' || k || '"}}' ELSE '{{}}' END END AS arguments,
+  CASE WHEN reason = 'kept' THEN 'ask' END AS first, CASE WHEN reason = 'kept' THEN event_type END AS answers_to, CASE WHEN reason = 'kept' THEN 'done' || chr(10) || chr(10) || 'is ' || k END AS final,
+  CASE WHEN reason = 'kept' THEN '{{"type":"function","function":{{"name":"' || event_type || '","description":"","parameters":{{"type":"object","properties":{{"z":{{"type":"integer","enum":[1,2.0]}}}},"required":["z"]}}}}}}' END AS tool,
+  CASE WHEN reason = 'kept' THEN 2 END AS n_tools, CASE WHEN reason = 'kept' THEN 'event ' || event_id END AS query FROM r""",
     "q56_dataset_stats": f"""WITH {_CODES}, u AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE code IN (2, 3)) AS t FROM codes GROUP BY query_id)
 SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens_total, quantile_cont(n, 0.5) AS n_tokens_median, quantile_cont(n, 0.95) AS n_tokens_p95, max(n) AS n_tokens_max, round(100.0::DOUBLE * CAST(sum(t) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 1) AS pct_tool_call FROM u""",
     "q57_carve_stats": f"""WITH {_CARVE} SELECT (SELECT count(DISTINCT example) FROM uses) AS n_examples, (SELECT count(*) FROM evals) AS eval_size, (SELECT count(*) FROM heldout) AS heldout_tools, (SELECT count(*) FROM pool) AS pool,

@@ -306,8 +306,8 @@ def q31b_pack_stats(spark, sf):
 
 
 def q32_chunks(spark, sf):
-    c = bench.chunked(table(spark, sf, "documents").select("doc_id"), "doc_id", 32)
-    return c.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("place").cast("bigint").alias("place"))
+    c = bench.chunked(table(spark, sf, "documents"), "doc_id", 32)
+    return c.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.col("chunk").cast("bigint").alias("chunk"), F.col("place").cast("bigint").alias("place"))
 
 
 def _outputs(spark, sf, shift):
@@ -491,6 +491,41 @@ def q55_messages(spark, sf):
     return m.select("query_id", F.col("n_answers").cast("bigint").alias("n_answers"), F.get(first, F.lit(0))["name"].alias("first_name"), F.get(first, F.lit(0))["arguments"].alias("first_arguments"), F.get("tools", F.lit(0))["parameters"]["n"]["default"].alias("default_n"), F.length(F.get("messages", F.lit(0))["content"]).cast("bigint").alias("n_query"))
 
 
+def q55b_typed_messages(spark, sf):
+    """events as raw single-turn rows with keys in both orders, repeated keys, numbers and defaults of all types."""
+    c = proxies.calls(spark, sf).select("event_id", "event_type", "k")
+    k = F.col("k").cast("string")
+    args = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"z": '), k, F.lit(', "a": 2.0, "n": null}'))).when(F.col("k") % 3 == 1, F.concat(F.lit('{"a": "'), k, F.lit('", "z": [1.50, true]}'))).otherwise(F.concat(F.lit('{"z": 1, "a": NaN, "z": '), k, F.lit("}")))
+    default = F.when(F.col("k") % 2 == 0, F.lit("3")).otherwise(F.lit('"3"'))
+    tools = F.concat(F.lit('[{"name": "f", "parameters": {"n": {"type": "int", "default": '), default, F.lit('}, "m": {"type": "float, default=2.5"}}}]'))
+    answers = F.concat(F.lit('[{"name": "'), F.col("event_type"), F.lit('", "arguments": '), args, F.lit("}]"))
+    m = assemble.single_turn_messages(c.select(F.col("event_id").alias("id"), F.lit("q").alias("query"), tools.alias("tools"), answers.alias("answers")))
+    p = F.get("tools", F.lit(0))["parameters"]
+    return m.select("query_id", F.get(F.get("messages", F.lit(1))["tool_calls"], F.lit(0))["arguments"].alias("arguments"), p["n"]["default_json"].alias("default_n"), p["m"]["default_json"].alias("default_m"))
+
+
+def q60_converted(spark, sf):
+    """events as raw multi-turn conversations: a call with arguments of all kinds, its result, and an end; k decides
+    what is wrong with them."""
+    c = proxies.calls(spark, sf).select("event_id", "event_type", "k")
+    k, kind = F.col("k").cast("string"), F.col("k") % 8
+    args = (
+        F.when(kind == 0, F.concat(F.lit("{'z': "), k, F.lit(", 'a': (1), 'b': (1,), 'c': None}"))).when(kind == 1, F.concat(F.lit('{"z": 1.0, "a": "'), k, F.lit('", "z": 2} so'))).when(kind == 2, F.lit("{broken"))
+        .otherwise(F.lit("{}"))
+    )
+    name = F.when(kind == 3, "other").when(kind == 4, "Finish").otherwise(F.col("event_type"))
+    final = F.when(kind == 5, F.lit('{"return_type": "give_up"}')).when(kind == 6, F.lit('{"return_type": "give_answer", "final_answer": 5}')).otherwise(F.concat(F.lit('{"return_type": "give_answer", "final_answer": "is '), k, F.lit('"}')))
+    apis = F.concat(F.lit("You may use APIs: [{'name': '"), F.col("event_type"), F.lit("', 'parameters': {'properties': {'z': {'type': 'integer', 'enum': [1, 2.0], 'example_value': 1}}, 'required': ['z', 'y']}}, {'name': 'Finish'}]"))
+    value = F.array(apis, F.lit("ask\nBegin!\n"), F.concat(F.lit("Thought: try\nAction: "), name, F.lit("\nAction Input: "), args), F.lit("found"), F.concat(F.lit("Thought: done\nAction: Finish\nAction Input: "), final))
+    raw = c.select(F.concat(F.lit("Step 1: event "), F.col("event_id").cast("string")).alias("id"), F.struct(F.array(*map(F.lit, ("system", "user", "assistant", "function", "assistant"))).alias("from"), value.alias("value")).alias("conversations"))
+    m = clean.converted(raw)
+    at = lambda i: F.get("messages", F.lit(i))
+    return m.select(
+        "id", "reason", F.get(at(1)["tool_calls"], F.lit(0))["arguments"].alias("arguments"), at(0)["content"].alias("first"), at(2)["name"].alias("answers_to"), at(3)["content"].alias("final"),
+        F.get("tools", F.lit(0)).alias("tool"), F.size("tools").cast("bigint").alias("n_tools"), "meta.query",
+    )
+
+
 def q56_dataset_stats(spark, sf):
     codes = proxies.user_codes(spark, sf)
     s = reporting.dataset_stats(codes.select(F.size("codes").alias("n_tokens"), seq.rle(F.col("codes")).alias("regions")))
