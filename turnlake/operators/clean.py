@@ -57,7 +57,7 @@ def converted(raw: DataFrame) -> DataFrame:
     its name is in the list, or Finish in the last assistant turn alone, with give_answer and
     a non-blank answer; a function turn follows a turn with a call; no other roles."""
     c = raw.withColumn("turns", F.arrays_zip(F.col("conversations.from").alias("role"), F.col("conversations.value").alias("text")))
-    c = c.withColumn("listed", literals.api_list(F.get("turns", F.lit(0))["text"]))
+    c = c.withColumn("listed", literals.api_list(F.get("turns", F.lit(0))["text"])).withColumn("tools", literals.tool_schemas(F.col("listed")))
     c = c.withColumn("apis", F.from_json("listed", "array<struct<name: string>>")).withColumn("names", F.col("apis.name"))
     c = c.withColumn("blocks", F.transform("turns", lambda t: F.when(t["role"] == "assistant", T.blocks(t["text"]))))
     c = c.withColumn("arguments", literals.payloads_of_turns(F.transform("blocks", lambda b: F.transform(b, lambda x: x["raw"]))))
@@ -103,7 +103,7 @@ def converted(raw: DataFrame) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.filter("names", lambda x: x != FINISH)))
     meta = F.struct(T.norm_query(F.col("id")).alias("query"), F.col("n").alias("n_turns_raw"), names.alias("tool_names"), F.btrim(answer, F.lit(" \n\t\r")).alias("final_answer"))
     kept = F.col("reason") == "kept"
-    return c.select("id", "reason", F.when(kept, messages).alias("messages"), F.when(kept, literals.tool_schemas(F.col("listed"))).alias("tools"), F.when(kept, meta).alias("meta"))
+    return c.select("id", "reason", F.when(kept, messages).alias("messages"), F.when(kept, F.col("tools")).alias("tools"), F.when(kept, meta).alias("meta"))
 
 
 def dedupe_first(df: DataFrame, key, order: str) -> DataFrame:
