@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from turnlake import schemas
 from turnlake.functions import literals
-from turnlake.functions import text as T
 from turnlake.operators import clean, integrity
 
 

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from turnlake.functions import render as R
 from turnlake.functions import seq
 from turnlake.functions import text as T
-from turnlake.operators import bench, clean, metrics
+from turnlake.operators import bench, clean
 from turnlake.plans import proxies
 
 SF = "/root/testdata/sf0.001"
