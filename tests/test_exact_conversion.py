@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from turnlake import schemas
 from turnlake.functions import literals
-from turnlake.operators import clean, integrity
+from turnlake.operators import clean, integrity, metrics
 
 
 @pytest.mark.parametrize(
@@ -44,6 +44,39 @@ def test_bootstrap_resamples(spark):
         assert r.lo < r.mean < r.hi
 
 
+@pytest.mark.parametrize("n", [1, 128, 129, 700])
+def test_draws_by_counts(spark, n):
+    """Totals are exactly n, counts spread as binomial ones, and intervals are numpy's but for chance."""
+    import numpy as np
+
+    depth = (-(-n // metrics.LEAF) - 1).bit_length()
+    rows = spark.range(1 << depth).withColumnRenamed("id", "leaf").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(1999))))
+    got = rows.withColumn("m", metrics._share(n, depth, 42)).toPandas()
+    assert (got.groupby("b")["m"].sum() == n).all()
+    if depth:
+        share = 1 / (1 << depth)
+        assert 0.88 < got["m"].var() / (n * share * (1 - share)) < 1.12
+    values = np.random.default_rng(n).random(n)
+    p = spark.createDataFrame([(f"q{i:04}", float(v), None) for i, v in enumerate(values)], "query_id string, alpha double, tau double")
+    alpha, tau = metrics.bootstrap_cis(p, ["alpha", "tau"], 400).collect()
+    exact = metrics.bootstrap_ci_numpy(p, "alpha", 400)
+    assert alpha.n_prompts == n and abs(alpha.mean - values.mean()) < 1e-6 and (tau.mean, tau.lo, tau.hi) == (0, 0, 0)
+    width = exact["ci95"][1] - exact["ci95"][0]
+    assert abs(alpha.hi - alpha.lo - width) <= 0.25 * width + 1e-6 and abs(alpha.lo - exact["ci95"][0]) <= 0.25 * width + 1e-6
+
+
+def test_draws_of_no_prompts(spark):
+    r = metrics.bootstrap_ci(spark.createDataFrame([], "query_id string, alpha double"), "alpha").first()
+    assert (r.mean, r.lo, r.hi, r.n_prompts) == (None, None, None, 0)
+
+
+def test_draws_are_never_rows(spark):
+    """The plan has no cross join with the prompts and shuffles sums only."""
+    p = spark.range(1000).select(F.col("id").cast("string").alias("query_id"), F.rand(1).alias("alpha"))
+    plan = metrics.bootstrap_ci(p, "alpha", 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join Inner" not in plan
+
+
 def test_numpy_sample():
     got = clean.numpy_sample(100, 10)
     assert got == sorted(set(got)) and len(got) == 10 and max(got) < 100 and got == clean.numpy_sample(100, 10)

@@ -37,7 +37,12 @@ def range_of(key: Column, bounds: list, kind) -> Column:
 
 
 def numbered(df: DataFrame, order: str, name: str = "at") -> DataFrame:
-    """df plus its rows' places from 0 in order of a key (nulls first; equal keys in any order).
+    """The rows of numbered_total alone."""
+    return numbered_total(df, order, name)[0]
+
+
+def numbered_total(df: DataFrame, order: str, name: str = "at") -> tuple[DataFrame, int]:
+    """df, and how many rows it has, plus its rows' places from 0 in order of a key (nulls first; equal keys in any order).
 
     Ranges have fixed bounds, so their counts and the rows' numbers always agree, whatever
     partitions Spark makes of them. Bounds and counts are a few numbers per range; a range is
@@ -51,7 +56,7 @@ def numbered(df: DataFrame, order: str, name: str = "at") -> DataFrame:
         before += found.get(p, 0)
     rows = df.withColumn("_p", at)
     place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.get(F.array(*(F.lit(b).cast("bigint") for b in base)), F.col("_p"))
-    return rows.withColumn(name, place).drop("_p")
+    return rows.withColumn(name, place).drop("_p"), before
 
 
 def chunked(df: DataFrame, order: str, size: int) -> DataFrame:

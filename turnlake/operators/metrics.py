@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import seq
@@ -93,20 +93,86 @@ def region_metrics(placed: DataFrame) -> DataFrame:
     return out.withColumn("alpha", F.try_divide("n_accepted", "n_verified"))
 
 
+#: Prompts that a leaf of the tree of draws holds at most.
+LEAF = 128
+
+
+def _hex_number(digest: Column, at: Column, digits: int) -> Column:
+    """Digits of a hex text, from place `at` (from 0), as a number."""
+    return F.conv(F.substring(digest, at + 1, F.lit(digits)), 16, 10).cast("bigint")
+
+
+def _share(n: int, depth: int, seed: int) -> Column:
+    """How many of the n draws of replicate b fall into leaf `leaf` of a tree with 2^depth leaves.
+
+    At each node on the leaf's path its draws part between its halves: a binomial number in its
+    normal limit (a node above the leaves holds over LEAF prompts), the normal number being the
+    sum of eight 16-bit numbers of the node's MD5. The right half takes the rest, so that the
+    leaves' draws are n in all, and no leaf has to know another."""
+    begin = lambda q, k: F.expr(f"({q} * {n}L + {(1 << k) - 1}L) div {1 << k}L")  # the first place of node q at level k
+
+    def parted(m: Column, k: int) -> Column:
+        """The draws of the path's node at level k, m being those of the node above."""
+        above = f"shiftright(leaf, {depth - k + 1})"
+        left = begin(f"(2 * {above} + 1)", k) - begin(f"(2 * {above})", k)
+        p = left / (begin(f"({above} + 1)", k - 1) - begin(above, k - 1))
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.lit(f"t{k}"), F.expr(f"cast({above} as string)")))
+        total = seq.let(digest, lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("bigint"), lambda a, i: a + _hex_number(h, i * 4, 4)))
+        z = (total - 262140) / F.lit(65536.0) * F.lit(1.5**0.5)
+        to_left = lambda x: F.least(x["m"], F.greatest(F.lit(0).cast("bigint"), F.floor(x["m"] * x["p"] + x["z"] * F.sqrt(x["m"] * x["p"] * (1 - x["p"])) + 0.5)))
+        is_left = F.expr(f"shiftright(leaf, {depth - k}) % 2 = 0")
+        return seq.let(F.struct(m.alias("m"), p.alias("p"), z.alias("z")), lambda x: F.when(is_left, to_left(x)).otherwise(x["m"] - to_left(x)))
+
+    m = F.lit(n).cast("bigint")
+    for k in range(1, depth + 1):
+        m = parted(m, k)
+    return m
+
+
+def _resampled(width: int, seed: int) -> Column:
+    """The sums of a leaf's m draws with repeats from its rows `vals` (arrays of `width` numbers);
+    four draws a hash."""
+    plus = lambda a, x: F.zip_with(a, x, lambda u, v: u + v)
+
+    def four(acc: Column, j: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.concat(F.lit("d"), F.col("leaf").cast("string")), j.cast("string")))
+        some = F.sequence(F.lit(0), F.least(F.lit(3), F.col("m") - 1 - 4 * j).cast("int"))
+        draw = lambda h: F.aggregate(some, acc, lambda a, i: plus(a, F.get("vals", (_hex_number(h, i * 7, 7) % F.size("vals")).cast("int"))))
+        return seq.let(digest, draw)
+
+    zero = F.array_repeat(F.lit(0).cast("bigint"), F.lit(width))
+    return F.when(F.col("m") > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / 4)), zero, four)).otherwise(zero)
+
+
+def bootstrap_cis(prompts: DataFrame, stats: list[str], n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """95% intervals of the means of stats (null: 0) over prompts; all stats share their draws.
+
+    Prompts in order of query_id are cut into even leaves of at most LEAF. What a replicate draws
+    from a leaf follows from hashes alone (_share), so a replicate is a sum over leaves: a row per
+    leaf and replicate is made and added up where the leaf lies, no draw is a row, and n_boot
+    rows a task are shuffled. Hashes are MD5, so that other engines can draw the same. Up to
+    3 * 10^10 prompts. Numbering the prompts runs jobs when called."""
+    if n_boot < 1:
+        raise ValueError("n_boot must be >= 1")
+    micro = F.array(*(F.round(F.coalesce(F.col(s), F.lit(0.0)) * 1e6).cast("bigint") for s in stats))
+    placed, n = bench.numbered_total(prompts.select("query_id", micro.alias("v")), "query_id")
+    depth = (-(-n // LEAF) - 1).bit_length() if n else 0
+    leaf = F.expr(f"shiftleft(cast(at as bigint), {depth}) div {max(n, 1)}L")
+    tasks = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: leaves are small, their draws are not
+    leaves = placed.withColumn("leaf", leaf).repartition(tasks, "leaf").groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vals"))
+    drawn = leaves.select("leaf", "vals", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("m", _share(n, depth, seed))
+    sums = drawn.select("b", _resampled(len(stats), seed).alias("s"))
+    mean = lambda i, rows: F.sum(F.get(rows, F.lit(i))) / n / 1e6
+    means = sums.groupBy("b").agg(*(mean(i, "s").alias(f"m{i}") for i in range(len(stats)))) if n else sums.select("b", *(F.lit(None).cast("double").alias(f"m{i}") for i in range(len(stats))))
+    cuts = means.agg(*(F.percentile(f"m{i}", q).alias(f"{side}{i}") for i in range(len(stats)) for side, q in (("lo", 0.025), ("hi", 0.975))))
+    truth = placed.agg(*((mean(i, "v") if n else F.sum(F.lit(None).cast("double"))).alias(f"mean{i}") for i in range(len(stats))))
+    rows = [F.struct(F.lit(s).alias("stat"), F.col(f"mean{i}").alias("mean"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.lit(n).cast("bigint").alias("n_prompts")) for i, s in enumerate(stats)]
+    return cuts.crossJoin(F.broadcast(truth)).select(F.inline(F.array(*rows)))  # one row each
+
+
 def bootstrap_ci(prompts: DataFrame, stat: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """95% interval of the mean over prompts. Draw i of replicate b takes the prompt at place
-    hash(seed, b, i) mod n in order of query_id, with repeats: 60 bits of an MD5, so that other
-    engines can draw the same. Draws are n_boot times prompts, dealt by replicate."""
-    placed = bench.chunked(prompts.select("query_id", F.coalesce(F.col(stat), F.lit(0.0)).alias("v")), "query_id", 1 << 62)
-    values = placed.select("v", F.col("place").cast("bigint").alias("at"))
-    n = values.agg(F.count(F.lit(1)).alias("n"))
-    draws = prompts.sparkSession.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), F.lit(15)), 16, 10).cast("bigint")
-    draws = draws.where("n > 0").withColumn("at", F.pmod(h, F.col("n")))
-    means = draws.join(values, "at").groupBy("b").agg((F.sum(F.round(F.col("v") * 1e6).cast("bigint")) / F.count(F.lit(1)) / 1e6).alias("m"))
-    lohi = means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    mean = values.agg((F.sum(F.round(F.col("v") * 1e6).cast("bigint")) / F.count(F.lit(1)) / 1e6).alias("mean"), F.count(F.lit(1)).alias("n_prompts"))
-    return lohi.crossJoin(mean).select(F.lit(stat).alias("stat"), "mean", "lo", "hi", "n_prompts")
+    """bootstrap_cis of one stat."""
+    return bootstrap_cis(prompts, [stat], n_boot, seed)
 
 
 def bootstrap_ci_numpy(prompts: DataFrame, stat: str, n_boot: int = 1000, seed: int = 42) -> dict:

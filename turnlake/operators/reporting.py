@@ -23,7 +23,7 @@ def full_report(events: DataFrame, records: DataFrame | None = None, k_max: int
     flat["alpha_n"] = [r.alpha_n for r in metrics.alpha_by_position(stats, k_max).orderBy("pos").collect()]
     timing = metrics.phase_timing(events).collect()
     flat |= timing[0].asDict() if timing else {}
-    ci = {s: {"mean": r.mean, "ci95": [r.lo, r.hi], "n_prompts": r.n_prompts} for s in ("alpha", "tau") for r in metrics.bootstrap_ci(prompts, s, n_boot).collect()}
+    ci = {r.stat: {"mean": r.mean, "ci95": [r.lo, r.hi], "n_prompts": r.n_prompts} for r in metrics.bootstrap_cis(prompts, ["alpha", "tau"], n_boot).collect()}
     out = {"flat": flat, "ci": ci, "per_prompt": prompts.orderBy("query_id")}
     if records is not None:
         rows = metrics.region_metrics(metrics.with_cursor(stats, records)).orderBy("region").collect()

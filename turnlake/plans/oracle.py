@@ -42,12 +42,20 @@ _PER_PROMPT = "per AS (SELECT query_id, count(*) AS n_steps, CAST(sum(scored) AS
 
 
 def _boot(name: str, value: str, n_boot: int, per: str) -> str:
+    """Draws by counts down a tree of ranges (needs WITH RECURSIVE), then within leaves of at most 128."""
+    begin = lambda q, k: f"(({q}) * n + (1::BIGINT << ({k})) - 1) // (1::BIGINT << ({k}))"
     return f"""
-{name}_v AS (SELECT CAST(round(coalesce({value}, 0.0::DOUBLE) * 1e6::DOUBLE) AS BIGINT) AS v, row_number() OVER (ORDER BY query_id) - 1 AS slot FROM {per}),
-{name}_n AS (SELECT count(*) AS n FROM {name}_v),
-{name}_d AS (SELECT b, CAST('0x' || left(md5('42:' || b || ':' || i), 15) AS BIGINT) % (SELECT n FROM {name}_n) AS slot
-  FROM (SELECT unnest(range(0, {n_boot})) AS b), (SELECT unnest(range(0, (SELECT n FROM {name}_n))) AS i)),
-{name}_m AS (SELECT b, CAST(sum(v) AS DOUBLE) / count(*) / 1e6::DOUBLE AS m FROM {name}_d JOIN {name}_v USING (slot) GROUP BY b),
+{name}_v AS (SELECT CAST(round(coalesce({value}, 0.0::DOUBLE) * 1e6::DOUBLE) AS BIGINT) AS v, row_number() OVER (ORDER BY query_id) - 1 AS place FROM {per}),
+{name}_n AS (SELECT n, (SELECT min(x) FROM (SELECT unnest(range(0, 40)) AS x) WHERE n <= 128 * (1::BIGINT << x)) AS d FROM (SELECT count(*) AS n FROM {name}_v)),
+{name}_l AS (SELECT v, (place << d) // n AS leaf, row_number() OVER (PARTITION BY (place << d) // n ORDER BY place) - 1 AS slot FROM {name}_v, {name}_n),
+{name}_t AS (SELECT b, 0::BIGINT AS k, 0::BIGINT AS q, n AS m FROM (SELECT unnest(range(0, {n_boot})) AS b), {name}_n
+  UNION ALL SELECT b, k + 1, 2 * q + side, CASE side WHEN 0 THEN l ELSE m - l END FROM (SELECT *, least(m, greatest(0, CAST(floor(m * p + z * sqrt(m * p * (1 - p)) + 0.5::DOUBLE) AS BIGINT))) AS l FROM (
+    SELECT b, k, q, m, CAST({begin("2 * q + 1", "k + 1")} - {begin("2 * q", "k + 1")} AS DOUBLE) / ({begin("q + 1", "k")} - {begin("q", "k")}) AS p,
+      CAST(list_sum(list_transform(range(0, 8), lambda i: CAST('0x' || substr(md5('42:' || b || ':t' || (k + 1) || ':' || q), 1 + 4 * i, 4) AS BIGINT))) - 262140 AS DOUBLE) / 65536.0::DOUBLE * sqrt(1.5::DOUBLE) AS z
+    FROM {name}_t, {name}_n WHERE k < d)), (SELECT unnest([0, 1]) AS side)),
+{name}_d AS (SELECT b, leaf, CAST('0x' || substr(md5('42:' || b || ':d' || leaf || ':' || (i // 4)), 1 + 7 * (i % 4), 7) AS BIGINT) % size AS slot
+  FROM (SELECT b, q AS leaf, unnest(range(0, m)) AS i FROM {name}_t, {name}_n WHERE k = d) JOIN (SELECT leaf, count(*) AS size FROM {name}_l GROUP BY leaf) USING (leaf)),
+{name}_m AS (SELECT b, CAST(sum(v) AS DOUBLE) / count(*) / 1e6::DOUBLE AS m FROM {name}_d JOIN {name}_l USING (leaf, slot) GROUP BY b),
 {name}_ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM {name}_m)"""
 
 
@@ -163,7 +171,7 @@ SELECT CAST(region AS BIGINT) AS region, count(*) FILTER (WHERE i < n AND i <= a
   count(*) FILTER (WHERE i < emitted) AS n_emitted, round(CAST(count(*) FILTER (WHERE i < accepted) AS DOUBLE) / nullif(count(*) FILTER (WHERE i < n AND i <= accepted), 0), 6) AS alpha FROM rg GROUP BY region""",
     "q25_per_prompt": f"""WITH {EVENTS_SQL}, {_PER_PROMPT.format(src="st")} SELECT query_id, n_steps, n_scored, n_accepted, round(CAST(n_accepted AS DOUBLE) / n_scored, 6) AS alpha,
   round(CAST(n_accepted AS DOUBLE) / n_steps, 6) AS tau, n_emitted FROM per""",
-    "q26_bootstrap_ci": f"""WITH {EVENTS_SQL}, {_PER_PROMPT.format(src="st")}, {_boot("a", "CAST(n_accepted AS DOUBLE) / n_scored", 1000, "per")}, {_boot("t", "CAST(n_accepted AS DOUBLE) / n_steps", 1000, "per")}
+    "q26_bootstrap_ci": f"""WITH RECURSIVE {EVENTS_SQL}, {_PER_PROMPT.format(src="st")}, {_boot("a", "CAST(n_accepted AS DOUBLE) / n_scored", 1000, "per")}, {_boot("t", "CAST(n_accepted AS DOUBLE) / n_steps", 1000, "per")}
 SELECT 'alpha' AS stat, round((SELECT CAST(sum(v) AS DOUBLE) / count(*) / 1e6::DOUBLE FROM a_v), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, (SELECT n FROM a_n) AS n_prompts FROM a_ci
 UNION ALL SELECT 'tau', round((SELECT CAST(sum(v) AS DOUBLE) / count(*) / 1e6::DOUBLE FROM t_v), 6), round(lo, 6), round(hi, 6), (SELECT n FROM t_n) FROM t_ci""",
     "q27_name_args_cut": f"""
@@ -321,7 +329,7 @@ def _overlap() -> None:
         ctes.append(_PER_PROMPT.format(src=f"(SELECT * FROM st WHERE event_type = '{t}')").replace("per AS", f"per_{t} AS"))
         ctes.append(_boot(t, "CAST(n_accepted AS DOUBLE) / n_steps", 1000, f"per_{t}"))
     union = " UNION ALL ".join(f"SELECT '{t}' AS run, lo, hi FROM {t}_ci" for t in types)
-    ORACLE["q46_ci_overlap"] = f"WITH {', '.join(ctes)}, ci AS ({union}) SELECT a.run AS run_a, b.run AS run_b, greatest(a.lo, b.lo) > least(a.hi, b.hi) AS apart FROM ci a JOIN ci b ON a.run < b.run"
+    ORACLE["q46_ci_overlap"] = f"WITH RECURSIVE {', '.join(ctes)}, ci AS ({union}) SELECT a.run AS run_a, b.run AS run_b, greatest(a.lo, b.lo) > least(a.hi, b.hi) AS apart FROM ci a JOIN ci b ON a.run < b.run"
 
 
 _overlap()

@@ -254,8 +254,7 @@ def q25_per_prompt(spark, sf):
 
 
 def q26_bootstrap_ci(spark, sf):
-    p = metrics.per_prompt(_stats(spark, sf))
-    out = metrics.bootstrap_ci(p, "alpha").unionByName(metrics.bootstrap_ci(p, "tau"))
+    out = metrics.bootstrap_cis(metrics.per_prompt(_stats(spark, sf)), ["alpha", "tau"])
     return out.select("stat", R6("mean").alias("mean"), R6("lo").alias("lo"), R6("hi").alias("hi"), "n_prompts")
 
 
