@@ -49,6 +49,30 @@ def token_ids(toks: Column, vocab: int = 50_000) -> Column:
     return F.transform(toks, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab)) + 1).cast("int"))
 
 
+def piece_lengths(pieces: Column, binary: bool = False) -> Column:
+    """The code points that each piece adds to the text. A binary piece may end inside a character,
+    which then counts where it begins, as decoding ever longer prefixes would count it."""
+    if not binary:
+        return F.transform(pieces, F.length)
+    return F.transform(pieces, lambda p: F.length(F.regexp_replace(F.decode(p, "ISO-8859-1"), "[\\x{80}-\\x{BF}]", "")))
+
+
+def aligned(df, pieces: str = "pieces", tokenize=tokens):
+    """df with generated tokens' texts (strings, or bytes) plus text, offsets of the pieces in it, and
+    roundtrip_exact: whether tokenising the text gives the same pieces again. Where it does not,
+    the offsets are still those of the given pieces. No pieces: an empty text, exact. Bytes that
+    are not UTF-8 become replacement characters in the text and are never exact."""
+    binary = df.schema[pieces].dataType.elementType.typeName() == "binary"
+    if binary:
+        joined = F.encode(F.array_join(F.transform(pieces, lambda p: F.decode(p, "ISO-8859-1")), ""), "ISO-8859-1").cast("string")
+        text, same = F.make_valid_utf8(joined), F.transform(pieces, lambda p: F.hex(p))
+        again = lambda t: F.transform(tokenize(t), lambda x: F.hex(F.encode(x, "UTF-8")))
+    else:
+        text, same, again = F.array_join(pieces, ""), F.col(pieces), tokenize
+    out = df.withColumns({"text": text, "offsets": seq.offsets(piece_lengths(F.col(pieces), binary))})
+    return out.withColumn("roundtrip_exact", F.coalesce(again(F.col("text")) == same, F.lit(False)))
+
+
 def with_offsets(df, text: str):
     """df plus tokens and offsets of column text; an assertion checks that tokens make up the text."""
     out = df.withColumn("tokens", tokens(F.col(text)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import seq
 from turnlake.operators import bench
-from turnlake.schemas import SUB_ARGS, SUB_NAME
+from turnlake.schemas import REGION_TOOL_CALL, SUB_ARGS, SUB_NAME
 
 
 def event_stats(events: DataFrame) -> DataFrame:
@@ -191,6 +191,22 @@ def ci_overlap(intervals: DataFrame) -> DataFrame:
     return a.join(b, F.col("run_a") < F.col("run_b")).select("run_a", "run_b", (F.greatest("lo_a", "lo_b") > F.least("hi_a", "hi_b")).alias("apart"))
 
 
+def sub_regions(regions: Column, pieces: Column, key: str = '"arguments"') -> Column:
+    """Region runs with each call run parted at the key: tokens that end before it are SUB_NAME, the
+    rest SUB_ARGS; without the key all are SUB_NAME. pieces: the text of each token."""
+
+    def parted(r: Column, o: Column) -> Column:
+        inside = F.slice(pieces, o["s"] + 1, o["e"] - o["s"])
+        cut = F.locate(key, F.array_join(inside, ""))
+        before = lambda at: F.when(at == 0, o["e"] - o["s"]).otherwise(F.size(F.filter(seq.offsets(F.transform(inside, F.length)), lambda x: x["e"] < at)))
+        run = lambda code, n: F.struct(F.lit(code).alias("code"), n.cast("int").alias("len"))
+        both = lambda n: F.filter(F.array(run(SUB_NAME, n), run(SUB_ARGS, o["e"] - o["s"] - n)), lambda x: x["len"] > 0)
+        same = F.array(F.struct(r["code"].cast("int").alias("code"), r["len"].cast("int").alias("len")))
+        return F.when(r["code"] == REGION_TOOL_CALL, seq.let(seq.let(cut, before), both)).otherwise(same)
+
+    return F.flatten(seq.let(regions, lambda v: F.zip_with(v, seq.offsets(F.transform(v, lambda r: r["len"].cast("int"))), parted)))
+
+
 def name_arguments_cut(tokens: DataFrame, key: str = '"arguments"') -> DataFrame:
     """tokens (span id, pos, piece) of payload spans plus sub: name up to the key, arguments after it."""
     run = Window.partitionBy("span").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -14,8 +14,9 @@ from turnlake.operators import metrics
 from turnlake.schemas import REGION_TAG, REGION_TOOL_CALL
 
 
-def full_report(events: DataFrame, records: DataFrame | None = None, k_max: int | None = None, n_boot: int = 1000) -> dict:
-    """flat, per position, ci and, with records, regions, as plain values. per_prompt stays a
+def full_report(events: DataFrame, records: DataFrame | None = None, k_max: int | None = None, n_boot: int = 1000, pieces: str | None = None) -> dict:
+    """flat, per position, ci and, with records, regions, as plain values; with pieces (the column
+    of the records' token texts) also the cut of calls into name and arguments. per_prompt stays a
     DataFrame, as it grows with the input; all else is a few rows."""
     stats = metrics.event_stats(events)
     prompts = metrics.per_prompt(stats)
@@ -26,8 +27,12 @@ def full_report(events: DataFrame, records: DataFrame | None = None, k_max: int
     ci = {r.stat: {"mean": r.mean, "ci95": [r.lo, r.hi], "n_prompts": r.n_prompts} for r in metrics.bootstrap_cis(prompts, ["alpha", "tau"], n_boot).collect()}
     out = {"flat": flat, "ci": ci, "per_prompt": prompts.orderBy("query_id")}
     if records is not None:
-        rows = metrics.region_metrics(metrics.with_cursor(stats, records)).orderBy("region").collect()
+        of = lambda recs: metrics.region_metrics(metrics.with_cursor(stats, recs)).orderBy("region").collect()
+        rows = of(records)
         verified = [r for r in rows if r.n_verified]
+        if pieces is not None:
+            cut = [r for r in of(records.withColumn("regions", metrics.sub_regions(F.col("regions"), F.col(pieces)))) if r.n_verified]
+            out |= {"subcut_alpha": {str(r.region): r.alpha for r in cut}, "subcut_n_verified": {str(r.region): r.n_verified for r in cut}}
         out |= {"region_alpha": {str(r.region): r.alpha for r in verified}, "region_n_verified": {str(r.region): r.n_verified for r in verified}, "region_n_emitted": {str(r.region): r.n_emitted for r in rows if r.n_emitted}}
     return out
 
@@ -73,16 +78,16 @@ def teacher_rows(records: DataFrame) -> DataFrame:
     return records.where(checked).withColumn("teacher", F.zip_with("gen_logprob_token_ids", "gen_logprob_values", row))
 
 
-def batch_arrays(packs: DataFrame, width: int) -> DataFrame:
+def batch_arrays(packs: DataFrame, width: int, *also: str) -> DataFrame:
     """packs (pack, input_ids, loss_positions, teacher) to rectangles: ids and lps of each label
     padded to width (0, -inf), whether it has a teacher, its label, and keep: the logits row
-    before it."""
+    before it. also: further columns to keep."""
     cut = F.transform("teacher", lambda r: F.slice(F.coalesce(r, F.expr("cast(array() as array<struct<id: int, lp: double>>)")), 1, width))
     pad = lambda part, zero: F.transform(cut, lambda r: F.concat(F.transform(r, lambda x: x[part]), F.array_repeat(zero, F.lit(width) - F.size(r))))
     label = seq.let(F.col("input_ids"), lambda ids: F.transform("loss_positions", lambda p: F.get(ids, p)))
     return packs.select(
         "pack", pad("id", F.lit(0)).alias("teacher_ids"), pad("lp", F.lit(float("-inf"))).alias("teacher_lps"), F.transform("teacher", lambda r: F.coalesce(F.size(r) > 0, F.lit(False))).alias("valid"),
-        label.alias("labels"), F.array_sort(F.transform("loss_positions", lambda p: p - 1)).alias("keep"),
+        label.alias("labels"), F.array_sort(F.transform("loss_positions", lambda p: p - 1)).alias("keep"), *also,
     )
 
 

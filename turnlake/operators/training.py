@@ -68,16 +68,27 @@ def greedy_packs(sized: DataFrame, cap: int, order: str = "ord", length: str = "
 
 
 def pack_arrays(placed: DataFrame, order: str = "ord") -> DataFrame:
-    """placed (query_id, input_ids, labels, pack, offset) to packs with restarted positions and loss places."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "query_id", "input_ids", "labels", "offset")))
+    """placed (query_id, input_ids, labels, pack, offset and, if there, teacher: a row per label) to
+    packs with restarted positions, loss places and their teacher rows. A label at place 0 of a
+    record is an error: its predictor would be another record's. A pack holds at most the cap's tokens."""
+    teacher = ["teacher"] if "teacher" in placed.columns else []
+    at_start = F.raise_error(F.concat(F.lit("a label stands at place 0 of "), F.coalesce(F.col("query_id").cast("string"), F.lit("a record without id")))).cast("array<int>")
+    labels = F.when(F.get("labels", F.lit(0)) != NO_LOSS, at_start).otherwise(F.col("labels")).alias("labels")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "query_id", "input_ids", labels, "offset", *teacher)))
     p = placed.groupBy("pack").agg(rows.alias("r"))
     places = F.flatten(F.transform("r", lambda x: F.transform(F.filter(F.transform(x["labels"], lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda y: y["v"] != -100), lambda y: y["i"] + x["offset"].cast("int"))))
     return p.select(
-        "pack", F.flatten(F.col("r.input_ids")).alias("input_ids"), F.flatten(F.transform("r", lambda x: F.sequence(F.lit(0), F.size(x["input_ids"]) - 1))).alias("position_ids"),
-        places.alias("loss_positions"), F.col("r.query_id").alias("record_ids"), F.size("r").alias("n_records"),
+        "pack", F.flatten(F.col("r.input_ids")).alias("input_ids"), F.flatten(F.transform("r", lambda x: seq.indices(x["input_ids"]))).alias("position_ids"),
+        places.alias("loss_positions"), F.col("r.query_id").alias("record_ids"), F.size("r").alias("n_records"), *(F.flatten(F.col(f"r.{t}")).alias(t) for t in teacher),
     )
 
 
+def label_share(placed: DataFrame) -> DataFrame:
+    """One row: n_label_tokens and their share of the packed tokens (null without tokens)."""
+    n = F.coalesce(F.sum(F.size(F.filter("labels", lambda x: x != NO_LOSS))), F.lit(0)).cast("bigint")
+    return placed.agg(n.alias("n_label_tokens"), F.round(F.try_divide(n, F.sum(F.size("input_ids"))), 4).alias("label_share"))
+
+
 def pack_stats(placed: DataFrame, skipped: DataFrame) -> DataFrame:
     per = placed.groupBy("pack").agg(F.sum("n").alias("len"), F.count(F.lit(1)).alias("records"))
     s = per.agg(F.count(F.lit(1)).alias("n_packs"), F.percentile("len", 0.5).alias("median_len"), F.max("len").cast("bigint").alias("max_len"), F.percentile("records", 0.5).alias("median_records"))

@@ -298,6 +298,22 @@ SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens_total, quantile_cont(n, 0
   round(100.0::DOUBLE * (SELECT count(*) FROM pool) / (SELECT count(DISTINCT example) FROM uses), 1) AS pool_pct""",
     "q58_gather": "WITH i AS (SELECT doc_id AS raw_idx, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE n_chars >= 500) SELECT ord, raw_idx, n_chars FROM i WHERE ord % 3 = 0",
     "q59_run_totals": f"SELECT count(*) AS n_prompts, CAST(sum(coalesce(len({WORDS_SQL}), 0)) AS BIGINT) AS n_tokens, 1.5::DOUBLE AS wall_s FROM documents",
+    "q61_teacher_packs": rf"""WITH RECURSIVE d AS (SELECT doc_id AS ord, doc_id % 3 + 1 AS p, coalesce({WORDS_SQL}, []) AS w FROM documents),
+f AS (SELECT *, p + len(w) AS n, row_number() OVER (ORDER BY ord) AS i FROM d WHERE p + len(w) <= 8192),
+k(i, pack, used) AS (
+  SELECT i, 0::BIGINT, n FROM f WHERE i = 1
+  UNION ALL SELECT f.i, k.pack + CASE WHEN k.used + f.n > 8192 THEN 1 ELSE 0 END, CASE WHEN k.used + f.n > 8192 THEN f.n ELSE k.used + f.n END FROM k JOIN f ON f.i = k.i + 1),
+r AS (SELECT pack, used - n AS base, p, n, w FROM k JOIN f USING (i)),
+t AS (SELECT pack, base + p + i - 1 AS place, length(w[i]) AS x, least(2, (length(w[i]) + i - 1) % 4) AS c FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM r)),
+h AS (SELECT pack, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS positions FROM r GROUP BY pack),
+g AS (SELECT pack, count(*) AS n_labels, sum(x) AS labels, sum(place - 1) AS keep, count(*) FILTER (WHERE c > 0) AS n_valid, sum(c * x + c * (c - 1) // 2) AS teacher_ids, -sum(c * (c + 1) // 2) AS teacher_lps FROM t GROUP BY pack)
+SELECT pack, n_records, n_tokens, positions, coalesce(n_labels, 0) AS n_labels, CAST(coalesce(labels, 0) AS BIGINT) AS labels, CAST(coalesce(keep, 0) AS BIGINT) AS keep, coalesce(n_valid, 0) AS n_valid,
+  CAST(coalesce(teacher_ids, 0) AS BIGINT) AS teacher_ids, CAST(coalesce(teacher_lps, 0) AS BIGINT) AS teacher_lps, 2 * coalesce(n_labels, 0) AS n_cells FROM h LEFT JOIN g USING (pack)""",
+    "q62_keep_exact": rf"""WITH m AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, text, regexp_extract_all(text, {_TOKEN}) AS toks, CASE WHEN conv_id % 2 = 0 THEN regexp_extract_all(text, {_TOKEN}) ELSE regexp_extract_all(text, '(?s).{{1,4}}') END AS pieces FROM m),
+e AS (SELECT conv_id, text, pieces, unnest(pieces) AS x, unnest(range(0, len(pieces))) AS i FROM t WHERE pieces = toks AND length(text) % 5 <> 0),
+c AS (SELECT conv_id, length(text) AS n_chars, coalesce(sum(length(x)) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e)
+SELECT conv_id, count(*) AS n_pieces, CAST(sum(s) AS BIGINT) AS starts, CAST(any_value(n_chars) AS BIGINT) AS n_chars FROM c GROUP BY conv_id""",
 }
 ORACLE["q04b_funnel"] = f"SELECT reason, count(*) AS n FROM ({ORACLE['q04_conv_filter']}) GROUP BY reason"
 

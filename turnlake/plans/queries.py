@@ -549,5 +549,29 @@ def q59_run_totals(spark, sf):
     return reporting.run_totals(d, 1.5).withColumn("wall_s", F.col("wall_s").cast("double"))
 
 
+def q61_teacher_packs(spark, sf):
+    """Records of whole texts with teacher rows, packed and padded to rectangles."""
+    d = table(spark, sf, "documents").select("doc_id", F.transform(F.coalesce(proxies.words(), F.expr("cast(array() as array<string>)")), F.length).alias("lengths"))
+    row = lambda n, i: F.transform(F.filter(F.array(*map(F.lit, range(3))), lambda j: j < (n + i) % 4), lambda j: F.struct((n + j).alias("id"), (-j - 1).cast("double").alias("lp")))
+    none = F.expr("cast(array() as array<struct<s: int, e: int>>)")
+    rows = d.select(F.col("doc_id").alias("query_id"), F.array_repeat(F.lit(7), (F.col("doc_id") % 3 + 1).cast("int")).alias("prompt_ids"), F.col("lengths").alias("gen_ids"), "lengths", none.alias("calls"), none.alias("tags"), F.transform("lengths", row).alias("logprobs"))
+    sized = rows.select(F.col("query_id").alias("ord"), (F.size("prompt_ids") + F.size("lengths")).alias("n"))
+    placed = training.greedy_packs(sized, 8192).drop("n")  # sizes alone are packed, records follow
+    packs = training.pack_arrays(reporting.teacher_rows(assemble.kd_records(rows)).join(placed, F.col("query_id") == F.col("ord")))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    b = reporting.batch_arrays(packs, 2, "n_records", "position_ids").withColumns({"n_records": F.col("n_records").cast("bigint"), "n_tokens": F.size("position_ids").cast("bigint"), "positions": total("position_ids")})
+    finite = F.filter(F.flatten("teacher_lps"), lambda x: x > float("-inf"))
+    return b.select("pack", "n_records", "n_tokens", "positions", F.size("labels").cast("bigint").alias("n_labels"), total("labels").alias("labels"), total("keep").alias("keep"), F.size(F.filter("valid", lambda v: v)).cast("bigint").alias("n_valid"),
+                    total(F.flatten("teacher_ids")).alias("teacher_ids"), total(F.transform(finite, lambda x: x.cast("bigint"))).alias("teacher_lps"), F.size(F.flatten("teacher_ids")).cast("bigint").alias("n_cells"))
+
+
+def q62_keep_exact(spark, sf):
+    """Token texts aligned with what they spell; those that tokenise to themselves and are valid stay."""
+    t = _rendered(spark, sf).select("conv_id", F.when(F.col("conv_id") % 2 == 0, render.tokens(F.col("text"))).otherwise(F.regexp_extract_all("text", F.lit(r"(?s)(.{1,4})"), F.lit(1))).alias("pieces"))
+    v = render.aligned(t).withColumn("valid", F.length("text") % 5 != 0)
+    starts = F.aggregate("offsets", F.lit(0).cast("bigint"), lambda a, o: a + o["s"])
+    return reporting.keep_exact(v).select("conv_id", F.size("pieces").cast("bigint").alias("n_pieces"), starts.alias("starts"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 def catalogue() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("q") and k[1:3].isdigit()}
