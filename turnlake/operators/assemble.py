@@ -28,16 +28,17 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key).crossJoin(F.broadcast(r.select("bad"))).where(ok).drop("bad")
 
 
-def kd_records(rows: DataFrame) -> DataFrame:
+def kd_records(rows: DataFrame, *also: str) -> DataFrame:
     """rows (query_id, prompt_ids, gen_ids, lengths of generated tokens, calls and tags as spans,
-    logprobs) to training records: loss on the generation alone, regions as run lengths."""
+    logprobs) to training records: loss on the generation alone, regions as run lengths.
+    also: further columns to keep."""
     n = F.size("prompt_ids")
     gen_regions = seq.regions_of(seq.offsets(F.col("lengths")), [(F.col("tags"), REGION_TAG), (F.col("calls"), REGION_TOOL_CALL)])
     out = rows.withColumn("_r", F.concat(F.array_repeat(F.lit(REGION_CONTEXT), n), gen_regions))
     return out.select(
         "query_id", F.concat("prompt_ids", "gen_ids").alias("input_ids"), F.concat(F.array_repeat(F.lit(NO_LOSS), n), F.col("gen_ids")).alias("labels"), seq.rle(F.col("_r")).alias("regions"),
         n.alias("n_prompt_tokens"), (n + F.size("gen_ids")).alias("n_tokens"), F.size("calls").alias("n_tool_calls"), "gen_ids",
-        F.transform("logprobs", lambda p: F.transform(p, lambda x: x["id"])).alias("gen_logprob_token_ids"), F.transform("logprobs", lambda p: F.transform(p, lambda x: x["lp"])).alias("gen_logprob_values"),
+        F.transform("logprobs", lambda p: F.transform(p, lambda x: x["id"])).alias("gen_logprob_token_ids"), F.transform("logprobs", lambda p: F.transform(p, lambda x: x["lp"])).alias("gen_logprob_values"), *also,
     )
 
 

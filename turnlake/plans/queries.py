@@ -554,10 +554,13 @@ def q61_teacher_packs(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.transform(F.coalesce(proxies.words(), F.expr("cast(array() as array<string>)")), F.length).alias("lengths"))
     row = lambda n, i: F.transform(F.filter(F.array(*map(F.lit, range(3))), lambda j: j < (n + i) % 4), lambda j: F.struct((n + j).alias("id"), (-j - 1).cast("double").alias("lp")))
     none = F.expr("cast(array() as array<struct<s: int, e: int>>)")
-    rows = d.select(F.col("doc_id").alias("query_id"), F.array_repeat(F.lit(7), (F.col("doc_id") % 3 + 1).cast("int")).alias("prompt_ids"), F.col("lengths").alias("gen_ids"), "lengths", none.alias("calls"), none.alias("tags"), F.transform("lengths", row).alias("logprobs"))
-    sized = rows.select(F.col("query_id").alias("ord"), (F.size("prompt_ids") + F.size("lengths")).alias("n"))
-    placed = training.greedy_packs(sized, 8192).drop("n")  # sizes alone are packed, records follow
-    packs = training.pack_arrays(reporting.teacher_rows(assemble.kd_records(rows)).join(placed, F.col("query_id") == F.col("ord")))
+    n_prompt = (F.col("doc_id") % 3 + 1).cast("int")
+    placed = training.greedy_packs(d.select(F.col("doc_id").alias("ord"), (n_prompt + F.size("lengths")).alias("n")), 8192).drop("n")
+    # Records are built where their pack is: what is shuffled are lengths, not teacher rows.
+    at = d.join(placed, F.col("doc_id") == F.col("ord")).repartition("pack")
+    rows = at.select(F.col("doc_id").alias("query_id"), F.array_repeat(F.lit(7), n_prompt).alias("prompt_ids"), F.col("lengths").alias("gen_ids"), "lengths", none.alias("calls"), none.alias("tags"), F.transform("lengths", row).alias("logprobs"), "ord", "pack", "offset")
+    records = reporting.teacher_rows(assemble.kd_records(rows, "ord", "pack", "offset"))
+    packs = training.pack_arrays(records)
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     b = reporting.batch_arrays(packs, 2, "n_records", "position_ids").withColumns({"n_records": F.col("n_records").cast("bigint"), "n_tokens": F.size("position_ids").cast("bigint"), "positions": total("position_ids")})
     finite = F.filter(F.flatten("teacher_lps"), lambda x: x > float("-inf"))
