@@ -38,7 +38,7 @@ def kd_records(rows: DataFrame, *also: str) -> DataFrame:
     return out.select(
         "query_id", F.concat("prompt_ids", "gen_ids").alias("input_ids"), F.concat(F.array_repeat(F.lit(NO_LOSS), n), F.col("gen_ids")).alias("labels"), seq.rle(F.col("_r")).alias("regions"),
         n.alias("n_prompt_tokens"), (n + F.size("gen_ids")).alias("n_tokens"), F.size("calls").alias("n_tool_calls"), "gen_ids",
-        F.transform("logprobs", lambda p: F.transform(p, lambda x: x["id"])).alias("gen_logprob_token_ids"), F.transform("logprobs", lambda p: F.transform(p, lambda x: x["lp"])).alias("gen_logprob_values"), *also,
+        F.transform("logprobs", lambda p: p["id"]).alias("gen_logprob_token_ids"), F.transform("logprobs", lambda p: p["lp"]).alias("gen_logprob_values"), *also,
     )
 
 

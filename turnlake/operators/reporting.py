@@ -70,24 +70,27 @@ def run_totals(outputs: DataFrame, wall_s: float) -> DataFrame:
 def teacher_rows(records: DataFrame) -> DataFrame:
     """records (labels, gen_logprob_token_ids, gen_logprob_values) plus teacher: one row of
     (id, lp) per label, null where there was none. Another number of rows than of labels, or a
-    label at place 0, whose predictor would lie outside the record, is an error."""
+    label at place 0, whose predictor would lie outside the record, is an error of the column: a
+    filter would be pushed below what makes the arrays and make them anew for itself."""
     n = F.size(F.filter("labels", lambda x: x != -100))
-    fits = (F.size("gen_logprob_token_ids") == n) & (F.size("gen_logprob_values") == n)
-    checked = F.when(~F.coalesce(fits, F.lit(False)), F.raise_error(F.lit("teacher rows and labels differ in number")).cast("boolean")).when(F.get("labels", F.lit(0)) != -100, F.raise_error(F.lit("a label stands at place 0")).cast("boolean")).otherwise(F.lit(True))
-    row = lambda ids, lps: F.when(ids.isNotNull() & (F.size(ids) > 0), F.zip_with(ids, lps, lambda i, v: F.struct(i.alias("id"), v.alias("lp"))))
-    return records.where(checked).withColumn("teacher", F.zip_with("gen_logprob_token_ids", "gen_logprob_values", row))
+    fits = seq.let(n, lambda n: (F.size("gen_logprob_token_ids") == n) & (F.size("gen_logprob_values") == n))
+    row = lambda ids, lps: F.when(F.size(ids) > 0, F.arrays_zip(ids.alias("id"), lps.alias("lp")))
+    wrong = F.when(~F.coalesce(fits, F.lit(False)), F.lit("teacher rows and labels differ in number")).when(F.get("labels", F.lit(0)) != -100, F.lit("a label stands at place 0"))
+    kind = lambda c: records.schema[c].dataType.elementType.elementType.simpleString()
+    error = F.raise_error(wrong).cast(f"array<array<struct<id: {kind('gen_logprob_token_ids')}, lp: {kind('gen_logprob_values')}>>>")
+    return records.withColumn("teacher", F.when(wrong.isNotNull(), error).otherwise(F.zip_with("gen_logprob_token_ids", "gen_logprob_values", row)))
 
 
 def batch_arrays(packs: DataFrame, width: int, *also: str) -> DataFrame:
     """packs (pack, input_ids, loss_positions, teacher) to rectangles: ids and lps of each label
     padded to width (0, -inf), whether it has a teacher, its label, and keep: the logits row
     before it. also: further columns to keep."""
-    cut = F.transform("teacher", lambda r: F.slice(F.coalesce(r, F.expr("cast(array() as array<struct<id: int, lp: double>>)")), 1, width))
-    pad = lambda part, zero: F.transform(cut, lambda r: F.concat(F.transform(r, lambda x: x[part]), F.array_repeat(zero, F.lit(width) - F.size(r))))
+    padding = lambda zero: F.array(*[zero] * width)
+    pad = lambda part, zero: F.transform("teacher", lambda r: F.coalesce(F.slice(F.concat(r[part], padding(zero)), 1, width), padding(zero)))
     label = seq.let(F.col("input_ids"), lambda ids: F.transform("loss_positions", lambda p: F.get(ids, p)))
     return packs.select(
         "pack", pad("id", F.lit(0)).alias("teacher_ids"), pad("lp", F.lit(float("-inf"))).alias("teacher_lps"), F.transform("teacher", lambda r: F.coalesce(F.size(r) > 0, F.lit(False))).alias("valid"),
-        label.alias("labels"), F.array_sort(F.transform("loss_positions", lambda p: p - 1)).alias("keep"), *also,
+        label.alias("labels"), F.sort_array(F.transform("loss_positions", lambda p: p - 1)).alias("keep"), *also,
     )
 
 

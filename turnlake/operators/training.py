@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import seq
+from turnlake.llm.common import materialize
 from turnlake.schemas import NO_LOSS
 
 
@@ -33,8 +34,9 @@ def greedy_packs(sized: DataFrame, cap: int, order: str = "ord", length: str = "
 
     Ranges of the order are folded apart: each reports how it acts on any fill of the pack it
     is entered with (where it first breaks decides the rest), the driver chains these short
-    tables, and each range then places its records from its own entry."""
-    fits = sized.where(F.col(length) <= cap).select(F.col(order).alias("o"), F.col(length).cast("bigint").alias("n"))
+    tables, and each range then places its records from its own entry. The lengths are written
+    once: four jobs read them, and texts behind them would be cut into words for each."""
+    fits = materialize(sized.select(F.col(order).alias("o"), F.col(length).cast("bigint").alias("n"))).where(F.col("n") <= cap)
     parts = max(1, -(-fits.count() // rows_per_part))
     bounds = sorted(set(fits.approxQuantile("o", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     part = F.size(F.filter(F.lit(bounds), lambda b: F.col("o") > b)) if bounds else F.lit(0)
@@ -76,7 +78,7 @@ def pack_arrays(placed: DataFrame, order: str = "ord") -> DataFrame:
     labels = F.when(F.get("labels", F.lit(0)) != NO_LOSS, at_start).otherwise(F.col("labels")).alias("labels")
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "query_id", "input_ids", labels, "offset", *teacher)))
     p = placed.groupBy("pack").agg(rows.alias("r"))
-    places = F.flatten(F.transform("r", lambda x: F.transform(F.filter(F.transform(x["labels"], lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda y: y["v"] != -100), lambda y: y["i"] + x["offset"].cast("int"))))
+    places = F.flatten(F.transform("r", lambda x: seq.let(x["labels"], lambda v: F.transform(F.filter(seq.indices(v), lambda i: F.get(v, i) != NO_LOSS), lambda i: i + x["offset"].cast("int")))))
     return p.select(
         "pack", F.flatten(F.col("r.input_ids")).alias("input_ids"), F.flatten(F.transform("r", lambda x: seq.indices(x["input_ids"]))).alias("position_ids"),
         places.alias("loss_positions"), F.col("r.query_id").alias("record_ids"), F.size("r").alias("n_records"), *(F.flatten(F.col(f"r.{t}")).alias(t) for t in teacher),
