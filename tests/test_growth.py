@@ -1,7 +1,10 @@
 """Work that is done once, whatever the size: no expression is made anew by a filter or a second job."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from turnlake.functions import seq
 from turnlake.operators import assemble, reporting, training
 from turnlake.plans import proxies
 
@@ -21,3 +24,24 @@ def test_teacher_rows_make_no_filter_and_texts_are_cut_once(spark):
     records = reporting.teacher_rows(assemble.kd_records(rows))
     assert "Filter" not in optimized(records)
     assert all([[tuple(x) for x in t] for t in r.teacher] == [[(n, -1.0)] for n in r.gen_ids] for r in records.collect())
+
+
+def test_proposals_equal_the_search(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1, 2, 3, None]) for _ in range(rng.randrange(12))], [rng.randrange(1, 4) for _ in range(rng.randrange(8))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, p array<int>, t array<int>")
+    got = df.select("i", "p", "t", training.proposals(F.col("p"), F.col("t"), 3).alias("g"))
+    want = F.transform(F.sequence(F.lit(0), F.size("t")), lambda n: seq.ngram_propose(F.concat("p", F.slice("t", F.lit(1), n)), F.lit(3)))
+    assert got.where(~F.col("g").eqNullSafe(want)).count() == 0 and got.count() == 300
+
+
+def test_rounds_are_played_once(spark):
+    rows = spark.createDataFrame([("a", [1, 2, 3], [2, 3, 1]), ("b", [], [])], "query_id string, prompt_ids array<int>, target_ids array<int>")
+    events = training.simulate(rows, 2, 4, 1)
+    assert optimized(events).count("aggregate(") == 1 and {r.query_id for r in events.collect()} == {"a", "b"}
+
+
+def test_drop_reasons_find_problems_once(spark):
+    v = spark.createDataFrame([("x: 1|y 'q'",), ("",), ("x: 2",)], "t string").select(F.filter(F.split("t", "[|]"), lambda p: p != "").alias("problems"))
+    reasons = assemble.drop_reasons(v)
+    assert optimized(reasons).count("filter(") == 1 and {tuple(r) for r in reasons.collect()} == {("x", 2), ("y", 1)}

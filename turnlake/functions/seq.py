@@ -131,48 +131,56 @@ def ngram_propose(seq: Column, k: Column, max_n: int = 3, min_n: int = 1, pad: i
 
 def verify_round(proposal: Column, preds: Column, budget: Column, eos: int) -> Column:
     """struct<mask, correction, step_type, eos> of one round; preds has one more token than the proposal."""
-    n = F.size(proposal)
-    at = F.array_position(F.zip_with(proposal, F.slice(preds, F.lit(1), n), lambda x, y: x == y), F.lit(False)).cast("int")
-    fix, bonus = F.get(preds, at - 1), F.get(preds, n)
+    kind = "struct<mask: array<boolean>, correction: int, step_type: string, eos: boolean>"
     row = lambda mask, correction, kind, end: F.struct(mask.alias("mask"), correction.cast("int").alias("correction"), F.lit(kind).alias("step_type"), end.alias("eos"))
-    all_true = F.array_repeat(F.lit(True), n)
-    wrong = F.raise_error(F.lit("verifier predictions length is not proposal + 1")).cast("struct<mask: array<boolean>, correction: int, step_type: string, eos: boolean>")
-    return (
-        F.when(F.size(preds) != n + 1, wrong)
-        .when(at > 0, row(F.concat(F.array_repeat(F.lit(True), at - 1), F.array(F.lit(False))), fix, "reject", fix == eos))
-        .when(F.element_at(proposal, -1) == eos, row(all_true, F.lit(None), "full_eos", F.lit(True)))
-        .when((budget > n) & (bonus == eos), row(all_true, bonus, "full_eos", F.lit(True)))
-        .when(budget > n, row(all_true, bonus, "full_bonus", F.lit(False)))
-        .otherwise(row(all_true, F.lit(None), "budget", F.lit(True)))
-    )
-
-
-def round_events(prompt: Column, target: Column, k: int, budget: int, eos: int) -> Column:
+    wrong = F.raise_error(F.lit("verifier predictions length is not proposal + 1")).cast(kind)
+
+    def full(proposal: Column, preds: Column) -> Column:
+        n = F.size(proposal)
+        bonus, all_true = F.get(preds, n), F.array_repeat(F.lit(True), n)
+        return (
+            F.when(F.element_at(proposal, -1) == eos, row(all_true, F.lit(None), "full_eos", F.lit(True)))
+            .when((budget > n) & (bonus == eos), row(all_true, bonus, "full_eos", F.lit(True)))
+            .when(budget > n, row(all_true, bonus, "full_bonus", F.lit(False)))
+            .otherwise(row(all_true, F.lit(None), "budget", F.lit(True)))
+        )
+
+    def of(proposal: Column, preds: Column) -> Column:
+        at = F.array_position(F.zip_with(proposal, F.slice(preds, F.lit(1), F.size(proposal)), lambda x, y: x == y), F.lit(False)).cast("int")
+        rejected = lambda at: let(F.get(preds, at - 1), lambda fix: row(F.concat(F.array_repeat(F.lit(True), at - 1), F.array(F.lit(False))), fix, "reject", fix == eos))
+        return F.when(F.size(preds) != F.size(proposal) + 1, wrong).otherwise(let(at, lambda i: F.when(i > 0, rejected(i)).otherwise(full(proposal, preds))))
+
+    return let(proposal, lambda p: let(preds, lambda q: of(p, q)))
+
+
+def round_events(target: Column, found: Column, k: int, budget: int, eos: int) -> Column:
     """The rounds of one turn as array<struct<step, draft_tokens, accept_mask, correction_token, eos,
     step_type>>, folded over verify_round.
 
-    Whatever is proposed, what is emitted are the target's next tokens, so the state is their number."""
-    if k < 1:
-        raise ValueError("k must be >= 1")
+    Whatever is proposed, what is emitted are the target's next tokens, so the state is their number.
+    The text so far is then always a start of prompt and target: what ngram_propose finds in it is
+    known beforehand, as found, for each number (training.proposals, of k tokens at most)."""
     event = "struct<step: int, draft_tokens: array<int>, accept_mask: array<boolean>, correction_token: int, eos: boolean, step_type: string>"
     zero = F.struct(F.lit(0).alias("n"), F.lit(budget < 1).alias("end"), F.expr(f"cast(array() as array<{event}>)").alias("events"))
 
     def played(a: Column, p: Column, target: Column) -> Column:
-        preds = F.transform(F.sequence(F.lit(0), F.size(p)), lambda j: F.coalesce(F.get(target, a["n"] + j), F.lit(eos)))
+        preds = F.slice(target, a["n"] + 1, F.size(p) + 1)
 
         def after(r: Column) -> Column:
             e = F.struct(F.size(a["events"]).alias("step"), F.slice(p, F.lit(1), F.size(r["mask"])).alias("draft_tokens"), r["mask"].alias("accept_mask"), r["correction"].alias("correction_token"), r["eos"].alias("eos"), r["step_type"].alias("step_type"))
-            n = a["n"] + F.size(F.filter(r["mask"], lambda x: x)) + r["correction"].isNotNull().cast("int")
-            return F.struct(n.alias("n"), (r["eos"] | (n >= budget)).alias("end"), F.concat(a["events"], F.array(e)).alias("events"))
+            n = a["n"] + F.size(F.array_remove(r["mask"], False)) + r["correction"].isNotNull().cast("int")
+            return let(n, lambda n: F.struct(n.alias("n"), (r["eos"] | (n >= budget)).alias("end"), F.concat(a["events"], F.array(e)).alias("events")))
 
         return let(verify_round(p, preds, F.lit(budget) - a["n"], eos), after)
 
-    def step(a: Column, prompt: Column, target: Column) -> Column:
-        proposal = ngram_propose(F.concat(prompt, F.slice(target, F.lit(1), a["n"])), F.least(F.lit(k), F.lit(budget) - a["n"]))
+    def step(a: Column, target: Column, found: Column) -> Column:
+        proposal = F.slice(F.get(found, a["n"]), F.lit(1), F.lit(budget) - a["n"])
         return F.when(a["end"], a).otherwise(let(proposal, lambda p: played(a, p, target)))
 
     turns = F.sequence(F.lit(1), F.lit(max(budget, 1)))
-    return let(prompt, lambda x: let(target, lambda y: F.aggregate(turns, zero, lambda a, _: step(a, x, y), lambda a: a["events"])))
+    fold = lambda target, found: F.aggregate(turns, zero, lambda a, _: step(a, target, found), lambda a: a["events"])
+    ended = F.concat(F.transform(target, lambda t: F.coalesce(t, F.lit(eos))), F.array_repeat(F.lit(eos), k + 1))  # nothing but ends behind the target
+    return let(ended, lambda x: let(found, lambda y: fold(x, y)))
 
 
 def sort_logprobs(entries: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from turnlake.functions import seq
-from turnlake.llm.common import materialize
+from turnlake.llm.common import bounded_batches, materialize
 from turnlake.schemas import NO_LOSS
 
 
@@ -16,8 +19,6 @@ def _break_table(n, cap: int):
     """How a run of lengths acts on a pack with `used` tokens: if it first breaks at record k
     (used + sum before k fits, with k it does not), it opens packs[k] packs and the last holds
     tail[k]. Only records that some used in 0..cap can break at are listed, with the sum through k."""
-    import numpy as np
-
     cum = np.concatenate([[0], np.cumsum(n)])
     nxt = np.searchsorted(cum, cum[:-1] + cap, side="right") - 1  # a pack that starts at i ends before nxt[i]
     packs, tail = np.ones(len(n), np.int64), cum[-1] - cum[:-1]
@@ -117,11 +118,61 @@ def cyclic(df: DataFrame, items: DataFrame, at: str, order: str) -> DataFrame:
     return df.withColumn("_i", F.pmod(F.col(at), F.lit(n)).cast("int")).join(numbered, "_i").drop("_i")
 
 
+def _proposals(prompts: pa.Array, targets: pa.Array, k: int, pad: int) -> pa.Array:
+    """Of each text (a prompt and its target) and each number n of target tokens that may be out, from 0 to
+    all: what seq.ngram_propose finds in the text so far, the k followers of the earliest earlier
+    occurrence of the longest suffix (3 tokens at most), or pad.
+
+    An n-gram's number is the place where it first ends, so longer ones are pairs of numbers."""
+    texts = [a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (prompts, targets)]
+    size, total = texts[0] + texts[1], int(texts[0].sum() + texts[1].sum())
+    start = np.cumsum(size) - size
+    tokens = np.empty(total, np.int64)
+    for a, n, at in zip((prompts, targets), texts, (start, start + texts[0]), strict=True):
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        tokens[np.repeat(at, n) + within] = a.flatten().cast(pa.int64()).fill_null(1 << 31).to_numpy(zero_copy_only=False)
+
+    def first(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+        _, at, number = np.unique(left * most + right, return_index=True, return_inverse=True)
+        return at[number]
+
+    here = np.arange(total)
+    before = lambda x: np.r_[total, x[:-1]][:total]
+    one = first(np.repeat(np.arange(len(size)), size), tokens + (1 << 31), (1 << 32) + 1)
+    two = first(before(one), one, total + 1)
+    three = first(before(two), one, total + 1)
+    found = np.where(three < here, three, np.where(two < here, two, np.where(one < here, one, -1)))
+    n = texts[1] + 1
+    ends = np.cumsum(n)
+    place = np.repeat(start + texts[0] - 1, n) + np.arange(n.sum()) - np.repeat(ends - n, n)
+    found = np.where(place < np.repeat(start, n), -1, np.r_[found, -1][place])
+    many = np.where(found < 0, 1, np.minimum(k, place - found))
+    until = np.cumsum(many)
+    at = np.repeat(found + 1, many) + np.arange(many.sum()) - np.repeat(until - many, many)
+    value = np.where(np.repeat(found < 0, many), pad, np.r_[tokens, pad][at])
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[0, until], pa.int32()), pa.array(value, pa.int64(), mask=value == 1 << 31).cast(pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), inner)
+
+
+def proposals(prompts: Column, targets: Column, k: int, pad: int = 0) -> Column:
+    """array<array<int>> of _proposals; not to be repeated where it is used."""
+
+    def run(prompts: pa.Array, targets: pa.Array) -> pa.Array:
+        return _proposals(prompts, targets, k, pad)
+
+    return arrow_udf(run, "array<array<int>>").asNondeterministic()(prompts, targets)
+
+
 def simulate(rows: DataFrame, k: int, budget: int, eos: int) -> DataFrame:
     """rows (query_id, prompt_ids, target_ids) to events: proposals by n-gram lookup, verified against
     the target and the end token behind it (seq.round_events)."""
-    events = rows.select("query_id", F.explode(seq.round_events(F.col("prompt_ids"), F.col("target_ids"), k, budget, eos)).alias("e"))
-    return events.select("query_id", "e.*")
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    bounded_batches(rows.sparkSession)  # texts can be long
+    found = rows.select("query_id", "target_ids", proposals(F.col("prompt_ids"), F.col("target_ids"), k).alias("found"))
+    events = seq.round_events(F.col("target_ids"), F.col("found"), k, budget, eos)
+    # outer: no filter on the rounds is inferred, which would play them anew
+    return found.select("query_id", F.explode_outer(events).alias("e")).where("e is not null").select("query_id", "e.*")
 
 
 def simulate_turns(records: DataFrame, k: int, budget: int, eos: int) -> DataFrame:
