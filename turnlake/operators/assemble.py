@@ -43,8 +43,10 @@ def kd_records(rows: DataFrame, *also: str) -> DataFrame:
 
 
 def drop_reasons(verdicts: DataFrame) -> DataFrame:
-    """verdicts (problems array) to counts per reason."""
-    return verdicts.select(F.explode("problems").alias("p")).groupBy(T.reason_key(F.col("p")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """verdicts (problems array) to counts per reason.
+
+    outer: no filter on the problems is inferred, which would be pushed down and find them anew."""
+    return verdicts.select(F.posexplode_outer("problems").alias("i", "p")).where("i is not null").groupBy(T.reason_key(F.col("p")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def assembly_stats(verdicts: DataFrame) -> DataFrame:
