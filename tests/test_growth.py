@@ -1,10 +1,11 @@
 """Work that is done once, whatever the size: no expression is made anew by a filter or a second job."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from turnlake.functions import seq
+from turnlake.functions import literals, seq
 from turnlake.operators import assemble, reporting, training
 from turnlake.plans import proxies
 
@@ -45,3 +46,10 @@ def test_drop_reasons_find_problems_once(spark):
     v = spark.createDataFrame([("x: 1|y 'q'",), ("",), ("x: 2",)], "t string").select(F.filter(F.split("t", "[|]"), lambda p: p != "").alias("problems"))
     reasons = assemble.drop_reasons(v)
     assert optimized(reasons).count("filter(") == 1 and {tuple(r) for r in reasons.collect()} == {("x", 2), ("y", 1)}
+
+
+def test_repeated_texts_are_read_once():
+    seen, known = [], {}
+    read = lambda t: (seen.append(t), json.loads(t))[1]
+    assert [literals._apply(read, t, known) for t in (["[1]", "{bad"], ["[1]", None, "{bad"], None)] == [[[1], None], [[1], None, None], None]
+    assert seen == ["[1]", "{bad"]

@@ -75,20 +75,24 @@ def _tools(text: str) -> list[str]:
     return [compact(_schema(t)) for t in json.loads(text)]
 
 
-def _apply(read: Callable, value):
+def _apply(read: Callable, value, known: dict):
+    """known: what was read of the batch's texts so far; lists of tools and empty arguments repeat."""
     if value is None:
         return None
     if isinstance(value, list):
-        return [_apply(read, v) for v in value]
-    try:
-        return read(value)
-    except (*UNREADABLE, KeyError, AttributeError):
-        return None
+        return [_apply(read, v, known) for v in value]
+    if value not in known:
+        try:
+            known[value] = read(value)
+        except (*UNREADABLE, KeyError, AttributeError):
+            known[value] = None
+    return known[value]
 
 
 def _reader(read: Callable, kind: str, arrow: pa.DataType):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_apply(read, x) for x in texts.to_pylist()], arrow)
+        known: dict = {}
+        return pa.array([_apply(read, x, known) for x in texts.to_pylist()], arrow)
 
     return arrow_udf(run, kind)
 

@@ -67,8 +67,9 @@ def converted(raw: DataFrame) -> DataFrame:
     c = c.withColumn("p", parsed).withColumn("n", F.size("turns"))
     last_assistant = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.when(F.get("p", i)["role"] == "assistant", i)))
     c = c.withColumn("last", last_assistant)
-    finish = F.get("p", F.col("last"))["call"]
-    answer = F.get_json_object(finish["arguments"], "$.final_answer")
+    c = c.withColumn("finish", F.get("p", F.col("last"))["call"])
+    finish, answer = F.col("finish"), F.col("answer")
+    c = c.withColumn("answer", F.get_json_object(finish["arguments"], "$.final_answer"))
     kind = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(finish["arguments"]), "$.final_answer", "variant")), F.lit("VOID"))
     at = lambda i: F.get("p", i)
     any_turn = lambda test: F.exists(F.sequence(F.lit(0), F.col("n") - 1), test)
