@@ -1,12 +1,14 @@
 """Work that is done once, whatever the size: no expression is made anew by a filter or a second job."""
 
+import hashlib
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from turnlake.functions import literals, seq
-from turnlake.operators import assemble, reporting, training
+from turnlake.operators import assemble, metrics, reporting, training
 from turnlake.plans import proxies
 
 
@@ -53,3 +55,29 @@ def test_repeated_texts_are_read_once():
     read = lambda t: (seen.append(t), json.loads(t))[1]
     assert [literals._apply(read, t, known) for t in (["[1]", "{bad"], ["[1]", None, "{bad"], None)] == [[[1], None], [[1], None, None], None]
     assert seen == ["[1]", "{bad"]
+
+
+def test_grouped_leaves_draw_as_single_ones(spark):
+    """Groups of leaves, whose path is walked once, give the sums that the leaves' own shares and hashes give."""
+    n, n_boot = 128 * 33, 12
+    values = [(i * 37) % 101 / 100 for i in range(n)]
+    prompts = spark.createDataFrame([(f"q{i:05}", v) for i, v in enumerate(values)], "query_id string, alpha double")
+    depth = (-(-n // metrics.LEAF) - 1).bit_length()
+    shares = spark.range(1 << depth).withColumnRenamed("id", "leaf").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("m", metrics._share(n, depth, 42))
+    leaves, means = {}, [0] * n_boot
+    for i, v in enumerate(values):
+        leaves.setdefault((i << depth) // n, []).append(round(v * 1e6))
+    for leaf, b, m in shares.collect():
+        for i in range(m):
+            digest = hashlib.md5(f"42:{b}:d{leaf}:{i // 4}".encode()).hexdigest()
+            means[b] += leaves[leaf][int(digest[7 * (i % 4) : 7 * (i % 4) + 7], 16) % len(leaves[leaf])]
+    lo, hi = np.percentile([x / n / 1e6 for x in means], [2.5, 97.5])
+    r = metrics.bootstrap_ci(prompts, "alpha", n_boot).first()
+    assert abs(r.lo - lo) < 1e-12 and abs(r.hi - hi) < 1e-12
+    assert depth - (4 * 4 - 1).bit_length() == 2
+
+
+def test_prompts_are_written_once(spark):
+    """Neither numbers nor draws go back to what the prompts are made of."""
+    p = spark.range(1000).select(F.col("id").cast("string").alias("query_id"), F.sha2(F.col("id").cast("string"), 256).substr(1, 1).try_cast("double").alias("alpha"))
+    assert "sha2" not in optimized(metrics.bootstrap_ci(p, "alpha", 5))
